@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, mixing, pii, simhash, token_counts, toxicity
+from tidemark.llm import language_id, mixing, oracles, pii, secret_scan, simhash, token_counts, toxicity, winnowing
 from tidemark.llm.base import remainder, table
 
 
@@ -24,6 +24,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document counts as a repository, its source as the owner."""
+    return secret_scan.digest(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, remainder(3) != 1)
@@ -38,5 +47,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op7_language_id, op8_pii, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secret_scan, op6_winnowing, op7_language_id, op8_pii, op10_simhash)}
+ORACLES: dict[str, str] = {"op4_secret_scan": oracles.OP4}
