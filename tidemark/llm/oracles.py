@@ -21,7 +21,7 @@ raw AS ({raw}),
 each_one AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM raw WHERE len(whole) > 0),
 placed AS (
   SELECT row, doc_id, source, kind, rank, least, vals[i] AS value, length(whole[i]) AS n,
-    list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], x -> length(x))), 0) AS start
+    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start
   FROM each_one),
 found AS (SELECT row, doc_id, source, kind, rank, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop, value FROM placed WHERE length(value) >= least),
 owned AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS n_owners FROM found GROUP BY value),
