@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, mixing, oracles, pii, secret_scan, simhash, token_counts, toxicity, winnowing
+from tidemark.llm import decontamination, language_id, mixing, oracles, pii, secret_scan, simhash, token_counts, toxicity, winnowing
 from tidemark.llm.base import remainder, table
 
 
@@ -29,6 +29,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secret_scan, op6_winnowing, op7_language_id, op8_pii, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secret_scan, op5_decontamination, op6_winnowing, op7_language_id, op8_pii, op10_simhash)}
 ORACLES: dict[str, str] = {"op4_secret_scan": oracles.OP4}
