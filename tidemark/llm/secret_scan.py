@@ -56,23 +56,23 @@ def _matches(kind: str, rank: int) -> Column:
 
 
 def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """One row a document: ``doc_id``, ``repository``, ``owner``, ``found`` (spans by start, then kind) and ``row``.
+    """One row a document: ``doc_id``, ``text_hash``, ``repository``, ``owner``, ``found`` (spans by start, then kind), ``row``.
 
     ``row`` numbers the rows, so that repeated documents stay apart; the result is written to the shared
     checkpoint folder, and a later step reads it and not the texts again. Null and empty texts find nothing.
     """
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), repository.cast("string").alias("repository"), owner.cast("string").alias("owner"))
     every = F.array_sort(F.concat(*(_matches(k, i) for i, k in enumerate(KINDS))))
-    return checkpoint(held.select("doc_id", "repository", "owner", every.alias("found")).withColumn("row", F.monotonically_increasing_id()))
+    return checkpoint(held.select("doc_id", F.xxhash64("text").alias("text_hash"), "repository", "owner", every.alias("found")).withColumn("row", F.monotonically_increasing_id()))
 
 
 def candidates(scanned: DataFrame) -> DataFrame:
-    """One row a candidate: ``row``, ``doc_id``, ``repository``, ``owner``, ``kind``, ``start``, ``end``, ``hash``, ``random``."""
-    one = scanned.where(F.size("found") > 0).select("row", "doc_id", "repository", "owner", F.explode("found").alias("s"))
+    """One row a candidate: ``row``, ``doc_id``, ``text_hash``, ``repository``, ``owner``, ``kind``, ``start``, ``end``, ``hash``, ``random``."""
+    one = scanned.where(F.size("found") > 0).select("row", "doc_id", "text_hash", "repository", "owner", F.explode("found").alias("s"))
     value = F.col("s.value")
     kinds = sum(F.rlike(value, F.lit(p)).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]"))
     random = (F.length(value) >= 12) & (kinds >= 2) & ~F.rlike(value, F.lit(PLACEHOLDERS)) & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
-    return one.select("row", "doc_id", "repository", "owner", "s.kind", "s.start", "s.end", F.sha2(value, 256).alias("hash"), random.alias("random"))
+    return one.select("row", "doc_id", "text_hash", "repository", "owner", "s.kind", "s.start", "s.end", F.sha2(value, 256).alias("hash"), random.alias("random"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -111,3 +111,27 @@ def digest(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     counts = [F.size(F.filter("found", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
     rows = scanned.select("row", "doc_id", *counts, F.sha2(_text_of(base), 256).alias("base_sha256"), _text_of(F.col("found")).alias("spans"))
     return rows.join(verdicts, "row", "left").select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(F.coalesce(f"n_{v}", F.lit(0)).alias(f"n_{v}") for v in ("live", "copied", "unclear")))
+
+
+def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[SECRET]") -> DataFrame:
+    """``docs``, all columns, with the live-looking credentials in ``text`` replaced by ``mark`` and ``n_chars`` made to fit.
+
+    Copied examples and unclear values stay. Rows without a live-looking value, null texts among them, stay as
+    they are. A document's spans find it by doc_id and the hash of its text.
+    """
+    live = judged(candidates(scan(docs, repository, owner))).where("verdict = 'live'")
+    spans = live.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    joined = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = joined.join(spans, joined["doc_id"].eqNullSafe(spans["_doc"]) & (joined["_text_hash"] == spans["_hash"]), "left")
+    text = F.col("text")
+    cut = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
+    marked = F.aggregate(
+        "_spans",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda state, s: F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], cut(state["at"], s["start"]), F.lit(mark))).alias("out")),
+        lambda state: F.concat(state["out"], cut(state["at"], F.length(text))),
+    )
+    changed = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(marked))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return changed.select(*docs.columns)
