@@ -72,14 +72,20 @@ def requirements(tracks: DataFrame, range_end: Column) -> DataFrame:
 def greedy_universe(tracks: DataFrame, range_end: Column, quotas=QUOTAS) -> DataFrame:
     """``isin`` and ``requirement``: for each in turn, the most liquid instruments not yet chosen that meet it.
 
-    An under-filled quota is left so. Each step is a top-k over what is left.
+    An under-filled quota is left so. When a requirement's turn comes, at most the sum of all quotas is chosen, so
+    each needs that many candidates and no more: a top-k for each requirement in one pass, a few hundred rows
+    whatever the input, from which the driver picks.
     """
-    left, chosen = requirements(tracks, range_end), None
-    for name, wanted in quotas:
-        taken = left.where(F.col(name)).orderBy(F.col("liquidity").desc(), F.col("isin")).limit(wanted).select("isin", F.lit(name).alias("requirement"))
-        chosen = taken if chosen is None else chosen.unionByName(taken)
-        left = left.join(taken.select("isin"), "isin", "left_anti")
-    return chosen
+    most = sum(n for _, n in quotas)
+    met = F.filter(F.array(*(F.when(F.col(name), F.lit(i)) for i, (name, _) in enumerate(quotas))), lambda x: x.isNotNull())
+    rows = requirements(tracks, range_end).select("isin", "liquidity", F.explode(met).alias("i"))
+    best = rows.withColumn("_at", F.row_number().over(Window.partitionBy("i").orderBy(F.col("liquidity").desc(), "isin"))).where(F.col("_at") <= most)
+    candidates = sorted((r.i, r["_at"], r.isin) for r in best.select("i", "_at", "isin").collect())
+    chosen: dict[str, str] = {}
+    for i, (name, wanted) in enumerate(quotas):
+        free = [isin for j, _, isin in candidates if j == i and isin not in chosen]
+        chosen |= dict.fromkeys(free[:wanted], name)
+    return tracks.sparkSession.createDataFrame(list(chosen.items()), "isin string, requirement string")
 
 
 def chosen_only(rows: DataFrame, universe: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+import re
+
+from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType
 
 # Patterns, lists, limits and windows that results depend on.
 ISIN_PATTERN = "^[A-Z]{2}[A-Z0-9]{9}[0-9]$"
@@ -24,8 +26,17 @@ TURNOVER_WINDOW_DAYS = 90
 FOREVER = "9999-12-31"
 
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "short": ShortType(), "boolean": BooleanType(), "date": DateType(), "timestamp": TimestampType()}
+
+
+def _schema(text: str) -> StructType:
+    """A schema of ``name type`` pairs, without a session (which Spark's own parser needs)."""
+
+    def kind(name: str) -> DataType:
+        decimal = re.fullmatch(r"decimal\((\d+),(\d+)\)", name)
+        return DecimalType(*map(int, decimal.groups())) if decimal else _TYPES[name]
+
+    return StructType([StructField(n, kind(t)) for n, t in (pair.split(" ") for pair in text.split(", "))])
 
 
 BAR = _schema(
