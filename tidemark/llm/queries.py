@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, mixing, oracles, pii, secret_scan, simhash, token_counts, toxicity, winnowing
+from tidemark.llm import decontamination, language_id, mixing, oracles, pii, secret_scan, simhash, suffix_dedup, token_counts, toxicity, winnowing
 from tidemark.llm.base import remainder, table
 
 
@@ -47,9 +47,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secret_scan, op5_decontamination, op6_winnowing, op7_language_id, op8_pii, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secret_scan, op5_decontamination, op6_winnowing, op7_language_id, op8_pii, op9_suffix_dedup, op10_simhash)}
 ORACLES: dict[str, str] = {"op4_secret_scan": oracles.OP4}
