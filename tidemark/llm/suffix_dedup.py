@@ -5,7 +5,8 @@ hash of all 32-byte grams in a 100-byte window is its anchor, and equal windows
 next to each other mostly share theirs and form a segment, so there is about one segment for each 36 bytes.
 
 1. Segments are gathered by anchor. An anchor seen once has no repeated window. Segments of equal bytes are one
-   class; all windows of its later members repeat its first.
+   class; all windows of its later members repeat its first. A batch of documents finds its own later members
+   before anything is shuffled, so a passage of very many documents is a row a batch.
 2. Classes that share an anchor with other classes may share some of their windows. Their bytes, each class's
    with an end mark of its own, are laid side by side in shards of whole anchor groups. The difference-cover
    algorithm sorts each shard's suffixes: sampled triples are sorted and named, the string of names is sorted
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.base import checkpoint, map_batches
 
 WINDOW, GRAM = 100, 32
-#: Classes of one anchor group in a shard, and bytes of a shard before the next group opens another.
-GROUP, SHARD_BYTES = 2000, 1 << 20
+#: Classes of one anchor group in a shard (of some 170 bytes at most: a group is about as large as a shard), and bytes
+#: of a shard before the next group opens another.
+GROUP, SHARD_BYTES = 8000, 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -137,7 +139,7 @@ def repeats(pieces: list[bytes], place: np.ndarray) -> np.ndarray:
 def _documents(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``d`` (order of the document), ``t`` (16 bits of its text's hash) and ``text``."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).alias("t"), text.alias("text"))
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.coalesce(F.pmod(F.xxhash64(text), F.lit(1 << 16)), F.lit(0).cast("long")).alias("t"), text.alias("text"))
 
 
 # A segment's place: 16 bits of the text's hash, 38 bits of its start, 9 bits of its length.
@@ -150,7 +152,11 @@ def _start(pos: Column) -> Column:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """``gram``, ``class``, ``d``, ``pos`` of every segment."""
+    """Segments of a batch of documents: ``gram``, ``class``, ``d``, ``pos``, one row for each class in it.
+
+    Members of a class after its first in the batch come as rows with ``later`` set, merged where they overlap:
+    ``d``, ``pos`` (of the start) and, as ``gram``, the end.
+    """
 
     def make():
         from xxhash import xxh64_intdigest
@@ -164,63 +170,113 @@ def _found(docs: DataFrame) -> DataFrame:
                 out[1].append(np.fromiter((xxh64_intdigest(data[i:j]) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a)))
                 out[2].append(np.full(len(a), d, np.int64))
                 out[3].append(_pack(t, a, b - a))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in out], ["gram", "class", "d", "pos"])
+            rows = np.stack([np.concatenate(c).view(np.int64) for c in out])
+            rows = rows[:, np.lexsort((rows[3], rows[2], rows[1], rows[0]))]
+            _, new_class, later = _told_apart(rows)
+            ends = _merged(rows[2, later], rows[3, later])
+            columns = [np.concatenate(c) for c in zip(rows[:, new_class], (ends[2], np.zeros_like(ends[2]), ends[0], ends[1]))]
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(columns[0])) >= np.count_nonzero(new_class)), *map(pa.array, columns)], ["later", "gram", "class", "d", "pos"])
 
         return step
 
-    return map_batches(docs.select("d", "t", "text"), make, "gram long, class long, d long, pos long")
+    return map_batches(docs.select("d", "t", "text"), make, "later boolean, gram long, class long, d long, pos long")
+
+
+def _told_apart(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted (gram, class, d, pos): where a gram begins, where a class begins, and what is later in a class than its first."""
+    gram, cls, d, pos = rows
+    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)]
+    new_class = new_gram | np.concatenate([[True], cls[1:] != cls[:-1]])[: len(gram)]
+    first = np.maximum.accumulate(np.where(new_class, np.arange(len(gram)), 0))
+    return new_gram, new_class, ~new_class & ((d != d[first]) | (pos != pos[first]))
+
+
+def _merged(d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(d, pos of the start, end) of the stretches of each document that the segments at ``pos`` cover."""
+    order = np.lexsort((pos, d))
+    d, pos = d[order], pos[order]
+    start = pos >> 9 & (1 << 38) - 1
+    end = start + (pos & 511)  # a later start has a later end
+    fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (pos[1:] >> 47 != pos[:-1] >> 47) | (start[1:] > end[:-1])])[: len(d)]
+    last = np.concatenate([fresh[1:], [True]])[: len(d)]
+    return d[fresh], pos[fresh], end[last]
 
 
 def _classes(found: DataFrame) -> DataFrame:
     """``gram``, ``classes``, ``d``, ``pos`` of segments that matter; ``classes`` is 0 for later members of a class.
 
-    Rows arrive by anchor, sorted; runs are told apart as they pass, so a run's length doesn't count.
+    Where ``classes`` is 0, ``gram`` is the end. Rows arrive by anchor, sorted, and are told apart as they pass; of
+    an anchor still open the first of each class is held, and from ``GROUP`` on not even these. Rows that are
+    later members already are dealt by themselves.
     """
 
-    def run(batches):
-        held = None
-
-        def settle(a: np.ndarray) -> pa.RecordBatch:
-            gram, cls, d, pos = a
-            new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)]
-            new_class = new_gram | np.concatenate([[True], cls[1:] != cls[:-1]])[: len(gram)]
-            first = np.maximum.accumulate(np.where(new_class, np.arange(len(gram)), 0))
-            later = ~new_class & ((d != d[first]) | (pos != pos[first]))
-            group = np.cumsum(new_gram) - 1
-            count = np.bincount(group, new_class).astype(np.int64)[group] if len(gram) else np.zeros(0, np.int64)
-            keep = later | (new_class & (count > 1))
-            return pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(np.where(later, 0, count)[keep]), pa.array(d[keep]), pa.array(pos[keep])], ["gram", "classes", "d", "pos"])
+    def batch(gram, classes, d, pos) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(classes == 0, (pos >> 9 & (1 << 38) - 1) + (pos & 511), gram), classes, d, pos)], ["gram", "classes", "d", "pos"])
+
+    def settled(a: np.ndarray, large: bool) -> pa.RecordBatch:
+        """Whole groups. ``large``: the first row was given out before, and its group is a large one."""
+        new_gram, new_class, later = _told_apart(a)
+        group = np.cumsum(new_gram) - 1
+        count = np.bincount(group, new_class).astype(np.int64)[group]
+        if large:
+            count[group == 0] = GROUP + 1
+        keep = later | (new_class & (count > 1))
+        keep[0] &= not large
+        return batch(a[0, keep], np.where(later, 0, count)[keep], a[2, keep], a[3, keep])
+
+    def unsettled(a: np.ndarray, large: bool) -> tuple[pa.RecordBatch, np.ndarray, bool]:
+        """What can be told of a group that is still open, what must be held of it, and whether it is a large one."""
+        _, new_class, later = _told_apart(a)
+        firsts = a[:, new_class]
+        if not large and firsts.shape[1] <= GROUP:
+            return batch(a[0, later], np.zeros(later.sum(), np.int64), a[2, later], a[3, later]), firsts, False
+        keep = later | new_class
+        keep[0] &= not large
+        return batch(a[0, keep], np.where(later, 0, GROUP + 1)[keep], a[2, keep], a[3, keep]), firsts[:, -1:], True
 
-        for batch in batches:
-            a = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
-            held = a if held is None else np.concatenate([held, a], axis=1)
+    def run(batches):
+        held, large = np.zeros((4, 0), np.int64), False
+        for b in batches:
+            later = b.column(0).to_numpy(zero_copy_only=False)
+            a = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)])
+            if later.any():
+                done = a[:, later]
+                yield pa.RecordBatch.from_arrays([pa.array(done[0]), pa.array(np.zeros(done.shape[1], np.int64)), pa.array(done[2]), pa.array(done[3])], ["gram", "classes", "d", "pos"])
+            held = np.concatenate([held, a[:, ~later]], axis=1)
             cut = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
             if cut:
-                yield settle(held[:, :cut])
-                held = held[:, cut:]
-        if held is not None and held.shape[1]:
-            yield settle(held)
+                yield settled(held[:, :cut], large)
+                held, large = held[:, cut:], False
+            if held.shape[1]:
+                out, held, large = unsettled(held, large)
+                yield out
+        if held.shape[1]:
+            yield settled(held, large)
 
-    return found.repartition("gram").sortWithinPartitions("gram", "class", "d", "pos").mapInArrow(run, "gram long, classes long, d long, pos long")
+    dealt = found.repartition(F.when(F.col("later"), F.xxhash64("d", "pos")).otherwise(F.col("gram")))
+    return dealt.sortWithinPartitions("later", "gram", "class", "d", "pos").mapInArrow(run, "gram long, classes long, d long, pos long")
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``gram``, ``classes``, ``d``, ``pos`` and ``piece``, the segment's bytes."""
-    lists = wanted.groupBy("d", F.shiftright("pos", 47).alias("t")).agg(F.collect_list(F.struct("gram", "classes", "pos")).alias("w"))
+    """``gram``, ``d``, ``pos`` and ``piece``, the segment's bytes.
+
+    The documents are dealt as in ``dedup``, with the same columns, so that Spark shuffles the texts once.
+    """
+    lists = wanted.groupBy("d", F.shiftright("pos", 47).alias("t")).agg(F.collect_list(F.struct("gram", "pos")).alias("w"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for d, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            for d, text, wanted in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 data = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     a = w["pos"] >> 9 & (1 << 38) - 1
-                    out.append((w["gram"], w["classes"], d, w["pos"], data[a : a + (w["pos"] & 511)]))
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((*[pa.int64()] * 4, pa.binary()))], ["gram", "classes", "d", "pos", "piece"])
+                    out.append((w["gram"], d, w["pos"], data[a : a + (w["pos"] & 511)]))
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((*[pa.int64()] * 3, pa.binary()))], ["gram", "d", "pos", "piece"])
 
         return step
 
-    return map_batches(docs.join(lists, ["d", "t"]).select("d", "text", "w"), make, "gram long, classes long, d long, pos long, piece binary")
+    return map_batches(docs.join(lists, ["d", "t"]).select("doc_id", "d", "text", "w"), make, "gram long, d long, pos long, piece binary")
 
 
 def _runs(d: list, pos: list, pieces: list[bytes]) -> pa.RecordBatch:
@@ -301,9 +357,9 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def _removals(held: DataFrame) -> DataFrame:
     known = checkpoint(_classes(_found(held)))
-    whole = known.where("classes = 0").select("d", F.shiftright("pos", 47).alias("t"), _start(F.col("pos")).alias("start"), (_start(F.col("pos")) + F.col("pos").bitwiseAND(F.lit(511))).alias("end"))
-    pieces = checkpoint(_bytes_of(held, known.where("classes > 1")))
-    return whole.unionByName(_shards(pieces.where(F.col("classes") <= GROUP))).unionByName(_large_groups(pieces.where(F.col("classes") > GROUP)))
+    whole = known.where("classes = 0").select("d", F.shiftright("pos", 47).alias("t"), _start(F.col("pos")).alias("start"), F.col("gram").alias("end"))
+    small, large = (_bytes_of(held, known.where(c)) for c in (F.col("classes").between(2, GROUP), F.col("classes") > GROUP))
+    return whole.unionByName(_shards(small)).unionByName(_large_groups(large))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
