@@ -88,3 +88,34 @@ def test_empty_stages(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def brute(rows):
+    """Smallest document of each group, by all pairs."""
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in rows:
+        for j, y in rows:
+            if j < i and top(i) != top(j) and jaccard(x, y) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i, _ in rows}
+
+
+def test_lone_pairs_in_an_oversized_family(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SHARD", 2)
+    monkeypatch.setattr(nd, "BLOCK", 16, raising=False)
+    rng = random.Random(5)
+    lines = [" ".join(f"line{i}word{j}" for j in range(10)) for i in range(40)]
+    family = [sorted(rng.sample(range(40), 30)) for _ in range(150)]
+    family += [lines_of[:k] + lines_of[k + 1 :] for lines_of in family[::7] for k in [rng.randrange(30)]]
+    rows = [(d, " and so it goes ".join(lines[i] for i in chosen)) for d, chosen in enumerate(family)]
+    want = brute(rows)
+    got = {r.doc_id: r.group_id for r in nd.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(family) > len(set(want.values())) > 100
+    assert got == want
