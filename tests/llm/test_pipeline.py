@@ -119,3 +119,15 @@ def test_lone_pairs_in_an_oversized_family(spark, monkeypatch):
     got = {r.doc_id: r.group_id for r in nd.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(family) > len(set(want.values())) > 100
     assert got == want
+
+
+def test_repeated_lines_and_far_fingerprints(spark):
+    rng = random.Random(9)
+    rows = []
+    for d in range(0, 60, 2):
+        text = " ".join(f"t{rng.randrange(10**6)}" for _ in range(300))
+        line = " ".join(f"r{rng.randrange(10**6)}" for _ in range(10))
+        rows += [(d, f"{text} {line}"), (d + 1, " ".join([text, *[line] * 30]))]
+    got = {r.doc_id: r.group_id for r in nd.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+    assert nd.shard_links([(1, 0, b"s" * nd.SKETCH), (2, (1 << 40) - 1, b"s" * nd.SKETCH)])[0] == [(2, 1)]
