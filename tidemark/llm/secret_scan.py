@@ -25,6 +25,10 @@ BASE = ("assign", "access", "hex")
 _FIRST = {"hex": r"[0-9a-f]{24}", "access": "AKIA", "pem": "-----BEGIN ", "jwt": "eyJ"}
 # Words of placeholders.
 PLACEHOLDERS = r"(?i)example|sample|change_?me|placeholder|dummy|your[_-]|xxxx|0000|test"
+# A private key through its END line, or its header alone if it has none; the group is the body. Words
+# of placeholders that a long random body does not hold by chance.
+PEM = KINDS["pem"][0] + r"(?:([^-]*(?:-[^-]+){0,16})-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
+PEM_PLACEHOLDERS = r"(?i)example|sample|change_?me|placeholder|dummy|your[_-]"
 #: Owners from which on a value counts as copied about.
 COPIED_FROM = 3
 
@@ -32,13 +36,19 @@ COPIED_FROM = 3
 def _matches(kind: str, rank: int) -> Column:
     """Spans of one kind as (start, rank, end, kind, value), in code points; failing matches are dropped.
 
-    The pieces between matches and the matches themselves, in turn, give each match its place.
+    The pieces between matches and the matches themselves, in turn, give each match its place. A private key's
+    value is its body without white space, or its header if the key has no end.
     """
     pattern, group, least = KINDS[kind]
     if kind == "hex":
         pattern = r"[0-9a-f]{24,}"  # a run is as long as it can be either way, and short runs are most of a text
+    if kind == "pem":
+        pattern, group = PEM, 1
     text = F.col("text")
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    if kind == "pem":
+        body = lambda x: F.regexp_replace(x["value"], r"\s|\\[nr]", "")
+        pairs = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), x["whole"].alias("whole"), F.when(F.length(body(x)) > 0, body(x)).otherwise(x["whole"]).alias("value")))
     span = "struct<start: int, rank: int, end: int, kind: string, value: string>"
     start = lambda state, x: state["at"] + F.length(x["gap"])
     placed = F.aggregate(
@@ -71,7 +81,7 @@ def candidates(scanned: DataFrame) -> DataFrame:
     one = scanned.where(F.size("found") > 0).select("row", "doc_id", "text_hash", "repository", "owner", F.explode("found").alias("s"))
     value = F.col("s.value")
     kinds = sum(F.rlike(value, F.lit(p)).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    random = (F.length(value) >= 12) & (kinds >= 2) & ~F.rlike(value, F.lit(PLACEHOLDERS)) & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
+    random = (F.length(value) >= 12) & (kinds >= 2) & ~F.when(F.col("s.kind") == "pem", F.rlike(value, F.lit(PEM_PLACEHOLDERS))).otherwise(F.rlike(value, F.lit(PLACEHOLDERS))) & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
     return one.select("row", "doc_id", "text_hash", "repository", "owner", "s.kind", "s.start", "s.end", F.sha2(value, 256).alias("hash"), random.alias("random"))
 
 
