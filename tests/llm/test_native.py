@@ -42,6 +42,14 @@ def test_ownership(spark):
     assert {(0, "copied", 40, 4), (50, "live", 2, 1), (51, "live", 2, 1), (52, "unclear", 1, 1)} <= got
 
 
+def test_copied_in_one_source(spark):
+    values = {"f3ef4d6b2755a36d7d9c": (["hot"], 40, "copied"), "04dbebab91ab85687d33": (["hot", "b"], 40, "copied"), "9ae1c07be54f20d36b18": ([None], 40, "copied"), "5be2d19c7f0a4863e5d1": (["hot"], 9, "live"), "c7d20b6ef1839a54d06b": (["hot"], 10, "copied")}
+    rows = [(f"{v}/{i}", f"token={v}", owners[i % len(owners)]) for v, (owners, n, _) in values.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    found = secret_scan.judged(secret_scan.candidates(secret_scan.scan(docs, F.col("doc_id"), F.col("source")))).select(F.split("doc_id", "/")[0].alias("v"), "verdict").distinct().collect()
+    assert {(r.v, r.verdict) for r in found} == {(v, verdict) for v, (_, _, verdict) in values.items()}
+
+
 def test_private_keys(spark):
     rng = random.Random(6)
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

@@ -1,7 +1,7 @@
 """Secrets in texts, and who else has them.
 
 Patterns give candidates; the corpus decides what they are worth. Each candidate's hash is counted over distinct
-repositories and distinct owners: a value that many owners share is a copied example, a value that one owner
+repositories and distinct owners: a value that many owners or many repositories share is a copied example, a value that one owner
 alone has, and that looks random, is likely a live credential. Built-in functions only.
 """
 
@@ -31,6 +31,8 @@ PEM = KINDS["pem"][0] + r"(?:([^-]*(?:-[^-]+){0,16})-----END [A-Z ]{0,40}PRIVATE
 PEM_PLACEHOLDERS = r"(?i)example|sample|change_?me|placeholder|dummy|your[_-]"
 #: Owners from which on a value counts as copied about.
 COPIED_FROM = 3
+#: Repositories from which on it does, even with one owner or two.
+COPIED_REPOSITORIES = 10
 
 
 def _matches(kind: str, rank: int) -> Column:
@@ -96,8 +98,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """Candidates with ``verdict``: ``copied`` (many owners), ``live`` (one owner, looks random) or ``unclear``."""
-    verdict = F.when(F.col("n_owners") >= COPIED_FROM, "copied").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear")
+    """Candidates with ``verdict``: ``copied`` (many owners or repositories), ``live`` (one owner, looks random) or ``unclear``."""
+    verdict = F.when((F.col("n_owners") >= COPIED_FROM) | (F.col("n_repositories") >= COPIED_REPOSITORIES), "copied").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear")
     return found.join(ownership(found), "hash").withColumn("verdict", verdict)
 
 
