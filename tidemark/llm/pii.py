@@ -28,9 +28,10 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]*")
-_URL = re.compile(r"(?:https?|ftp)://[^\s<>\"']+")
+_URL = re.compile(r"(?i:https?|ftp)://[^\s<>\"']+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_ID = re.compile(r"[\x20:#=]{1,4}([A-Z0-9][A-Z0-9-]{5,19})(?![A-Za-z0-9-])")
+_ID = re.compile(r"(?:\x20(?:[Nn]o|[Nn]r|[Nn]umber)\b\.?)?[\x20:#=]{1,4}([A-Z0-9][A-Z0-9-]{5,19})(?![A-Za-z0-9-])")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @lru_cache(maxsize=1)
@@ -41,8 +42,7 @@ def automaton():
     for anchor, kind in [("@", "email"), *((f"+{d}", "phone") for d in DIGITS), *((f"{d}.{e}", "ip") for d in DIGITS for e in DIGITS), *((f"{d}{s}{e}", "card") for d in DIGITS for s in ("", " ", "-") for e in DIGITS)]:
         found.add_word(anchor, (kind, len(anchor)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("id", len(form)))
+        found.add_word(cue, ("id", len(cue)))
     for scheme in SCHEMES:
         found.add_word(scheme, ("url", len(scheme)))
     found.make_automaton()
@@ -54,6 +54,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255, whatever zeros lead."""
+    value = digits.lstrip("0")
+    return len(value) < 3 or (len(value) == 3 and value <= "255")
+
+
 def mod97(iban: str) -> bool:
     moved = iban[4:] + iban[:4]
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
@@ -100,13 +106,14 @@ def _numbers(text: str, anchors: list[int], pattern: re.Pattern, linked: str) ->
 def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Valid spans by kind, in code points."""
     anchors: dict[str, list[int]] = {k: [] for k in KINDS}
-    for end, (kind, n) in automaton().iter(text):
+    lowered = text.translate(_LOWER)  # of the same length, so that places hold
+    for end, (kind, n) in automaton().iter(lowered):
         anchors[kind].append(end - n + 1)
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if anchors["email"]:
         found["email"] = _emails(text, anchors["email"])
     if anchors["ip"]:
-        found["ip"] = [s for s in _numbers(text, anchors["ip"], _IP, DIGITS + ".") if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text[s[0] : s[1]].split("."))]
+        found["ip"] = [s for s in _numbers(text, anchors["ip"], _IP, DIGITS + ".") if all(map(octet, text[s[0] : s[1]].split(".")))]
     if anchors["card"]:
         for s in _numbers(text, anchors["card"], _CARD, DIGITS + " -"):
             digits = text[s[0] : s[1]].replace(" ", "").replace("-", "")
@@ -124,7 +131,7 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
             done = end
     done = 0
     for at in anchors["id"]:
-        cue_end = next(at + len(c) for c in CUES if text[at : at + len(c)].lower() == c)
+        cue_end = next(at + len(c) for c in CUES if lowered.startswith(c, at))
         if (m := _IBAN.search(text, cue_end, cue_end + 48)) and m.start() >= done and mod97(m[0].replace(" ", "")):
             found["iban"].append(m.span())
             done = m.end()
@@ -167,7 +174,12 @@ def redact(text: str, found: list) -> str:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of the four base kinds, the digest of their spans, and all spans as text, for each document."""
+    """Counts of the four base kinds, the digest of their spans, and all spans as text, for each document.
+
+    Null and empty texts count 0 and have the digest of an empty text and no spans; repeated rows give repeated
+    results, null ids among them; an empty table gives an empty one; columns other than ``doc_id`` and ``text`` are
+    left behind. Spans of one kind never overlap; spans of two kinds may.
+    """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
