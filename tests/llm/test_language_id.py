@@ -14,7 +14,7 @@ def filter_of(grams_by_language):
     for i, grams in enumerate(grams_by_language.values()):
         for p in language_id.positions(np.array(sorted(grams), np.uint64)):
             masks[p] |= np.uint8(1 << i)
-    return language_id.LanguageFilter(list(grams_by_language), masks)
+    return language_id.LanguageFilter(list(grams_by_language), [masks])
 
 
 def test_counts_equal_sets_up_to_false_positives():
@@ -36,7 +36,7 @@ def test_counts_equal_sets_up_to_false_positives():
 
 def test_a_full_filter_is_corrected():
     rng = np.random.default_rng(1)
-    model = language_id.LanguageFilter(["aa", "bb"], (rng.random(language_id.ROWS) < 0.3).astype(np.uint8))
+    model = language_id.LanguageFilter(["aa", "bb"], [(rng.random(language_id.ROWS) < 0.3).astype(np.uint8)])
     assert abs(model.false_positive[0] - 0.3**language_id.HASHES) < 0.01
     counts, n = model.counts("".join(map(chr, rng.integers(200, 60000, 3000) // 2048 * 8 + rng.integers(97, 50000, 3000) % 7919 + 200)))
     assert counts[0] < 0.05 * n
@@ -47,7 +47,7 @@ def test_undetermined():
     for text in (None, "", "  ", "123 456 !?", "😀"):
         assert model.predict(text) == (language_id.UNDETERMINED, 0.0)
     assert model.predict("unseen words") == ("aa", 0.0)
-    assert language_id.LanguageFilter([], np.zeros(language_id.ROWS, np.uint8)).predict("words") == ("und", 0.0)
+    assert language_id.LanguageFilter([], []).predict("words") == ("und", 0.0)
 
 
 def test_held_out_accuracy(spark):
@@ -63,7 +63,7 @@ def test_held_out_accuracy(spark):
 def test_reruns_agree(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (language_id.train(d, remainder(3) != 1) for d in (docs, docs.repartition(7)))
-    assert a.languages == b.languages and (a.masks == b.masks).all()
+    assert a.languages == b.languages and all((x == y).all() for x, y in zip(a.masks, b.masks))
 
 
 def test_edge_tables(spark):
@@ -73,3 +73,35 @@ def test_edge_tables(spark):
     assert len(out) == 6 and {r.lang_pred for r in out} <= {"aa", "bb", "und"}
     empty = language_id.train(docs.limit(0), F.lit(True))
     assert empty.languages == [] and language_id.predict(docs.limit(0), empty).count() == 0
+
+
+def test_more_languages_than_a_mask_word_has_bits(spark):
+    rng = random.Random(8)
+    alphabets = {f"l{i:03d}": [chr(0x4E00 + 40 * i + j) for j in range(40)] for i in range(150)}
+    rows = [(n, "".join(rng.choice(letters) for _ in range(60)), lang) for n, (lang, letters) in enumerate(list(alphabets.items()) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True))
+    assert len(model.languages) == 150 and len(model.masks) == 3
+    assert all(r.lang == r.lang_pred for r in language_id.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect())
+
+
+def test_training_equals_counting_in_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs, remainder(3) != 1)
+    from collections import Counter
+
+    counts: dict = {}
+    for r in docs.where(remainder(3) != 1).where("lang IS NOT NULL AND text IS NOT NULL").collect():
+        counts.setdefault(r.lang, Counter()).update(language_id.gram_hashes(r.text).tolist())
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    rates = {lang: {g: n / total[lang] for g, n in c.items() if n > 1 or total[lang] < language_id.MANY_GRAMS} for lang, c in counts.items()}
+    most: dict = {}
+    for own in rates.values():
+        for g, rate in own.items():
+            most[g] = max(most.get(g, 0), rate)
+    want = np.zeros(language_id.ROWS, np.uint64)
+    for i, lang in enumerate(sorted(counts)):
+        kept = np.array([g for g, rate in rates[lang].items() if rate >= language_id.SHARE * most[g]], np.uint64)
+        for p in language_id.positions(kept):
+            want[p] |= np.uint64(1 << i)
+    assert model.languages == sorted(counts) and (model.masks[0].astype(np.uint64) == want).all()

@@ -1,6 +1,6 @@
 """Language identification with a bit-sliced Bloom filter over character n-grams.
 
-Row ``p`` of the filter is a mask with one bit a language; an n-gram of language ``l`` sets bit ``l`` in the
+Row ``p`` of the filter is a mask with one bit a language (of several words if there are many); an n-gram of language ``l`` sets bit ``l`` in the
 rows of its ``HASHES`` positions. The AND of these rows is the set of all languages that hold the n-gram, from
 one look-up for all of them. A text's count for a language is the number of its n-grams whose set has the
 language; a filter whose bit ``l`` is set in a share ``f`` of the rows reports ``f ** HASHES`` of foreign
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import map_batches
+from tidemark.llm.base import checkpoint, map_batches
 
 GRAM = 4
 HASHES = 2
@@ -26,6 +26,10 @@ ROWS = 1 << 20
 TRAINING_ROWS = 12_000
 #: An n-gram belongs to a language that has it at least this often for each time the keenest language has it.
 SHARE = 0.2
+#: n-grams of a language from which on those seen once are left out.
+MANY_GRAMS = 10_000
+#: Languages of one mask word.
+WORD = 64
 UNDETERMINED = "und"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -50,22 +54,28 @@ def positions(hashes: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilter:
+    """Languages by code point, and for each ``WORD`` of them the filter's rows of one mask word."""
+
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
 
     def __post_init__(self):
-        n = max(1, len(self.languages))
-        fill = np.array([np.count_nonzero(self.masks & self.masks.dtype.type(1 << i)) for i in range(n)]) / len(self.masks)
-        self.false_positive = np.minimum(fill**HASHES, 0.99)
+        fill = [np.count_nonzero(word & word.dtype.type(1 << bit)) / len(word) for word, bit in self._bits()]
+        self.false_positive = np.minimum(np.array(fill) ** HASHES, 0.99)
+
+    def _bits(self):
+        return ((self.masks[i // WORD], i % WORD) for i in range(len(self.languages)))
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """Corrected popcounts by language, and the n-grams of the text."""
         first, *rest = positions(gram_hashes(text))
-        found = self.masks[first]
-        for p in rest:
-            found &= self.masks[p]
-        hits = np.array([np.count_nonzero(found & found.dtype.type(1 << i)) for i in range(len(self.languages))], float)
-        return np.maximum(0, (hits - len(found) * self.false_positive) / (1 - self.false_positive)), len(found)
+        hits = []
+        for at, word in enumerate(self.masks):
+            found = word[first]
+            for p in rest:
+                found &= word[p]
+            hits += [np.count_nonzero(found & found.dtype.type(1 << i)) for i in range(min(WORD, len(self.languages) - WORD * at))]
+        return np.maximum(0, (np.array(hits, float) - len(first) * self.false_positive) / (1 - self.false_positive)), len(first)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not text or not any(map(str.isalpha, text)):
@@ -79,16 +89,15 @@ class LanguageFilter:
 def train(docs: DataFrame, fold: Column, rows: int = TRAINING_ROWS) -> LanguageFilter:
     """Learn the filter from the documents of ``fold`` that have a language: ``rows`` of them at most.
 
-    Only n-gram counts of that sample are shuffled, and only filter rows (``ROWS`` at most) reach the driver.
-    Rows without text or language teach nothing; without any the filter knows no language.
+    The sample is read once and kept in the shared checkpoint folder. Only its n-gram counts are shuffled, and only
+    filter rows (``ROWS`` at most, for each 64 languages of the sample) reach the driver. Rows without text or
+    language teach nothing, nor does a null id; without any row the filter knows no language.
     """
     from pyspark.sql import Window
 
-    sample = docs.where(fold & F.col("lang").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    labelled = docs.where(fold & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id")
+    sample = docs.where(fold & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    labelled = checkpoint(docs.where(fold & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id"))
     languages = sorted(r.lang for r in labelled.select("lang").distinct().collect())
-    if len(languages) > 64:
-        raise ValueError(f"{len(languages)} languages in the sample; a mask has 64 bits")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -106,24 +115,30 @@ def train(docs: DataFrame, fold: Column, rows: int = TRAINING_ROWS) -> LanguageF
         return step
 
     grams = map_batches(labelled, make, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    kept = grams.where("n > 1").withColumn("rate", rate).withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("most")).select("lang", "gram")
+    total = F.sum("n").over(Window.partitionBy("lang"))
+    often = grams.withColumn("total", total).where((F.col("n") > 1) | (F.col("total") < MANY_GRAMS)).withColumn("rate", F.col("n") / F.col("total"))
+    kept = often.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("most")).select("lang", "gram")
 
     number = {lang: i for i, lang in enumerate(languages)}
 
     def rows_of():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bits = np.array([1 << number[x] for x in batch.column(0).to_pylist()], np.uint64)
+            which = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+            bits = np.left_shift(np.uint64(1), (which % WORD).astype(np.uint64))
             at = positions(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(at).astype(np.int64)), pa.array(np.tile(bits, HASHES).view(np.int64))], ["p", "mask"])
+            columns = np.tile(which // WORD, HASHES), np.concatenate(at).astype(np.int64), np.tile(bits, HASHES).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "p", "mask"])
 
         return step
 
-    built = map_batches(kept, rows_of, "p long, mask long").groupBy("p").agg(F.bit_or("mask").alias("mask")).toArrow()
-    width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.dtype(t).itemsize * 8)
-    masks = np.zeros(ROWS, width)
-    if built.num_rows:
-        masks[built["p"].to_numpy()] = built["mask"].to_numpy().view(np.uint64).astype(width)
+    built = map_batches(kept, rows_of, "word long, p long, mask long").groupBy("word", "p").agg(F.bit_or("mask").alias("mask")).toArrow()
+    word, at, mask = (built[c].to_numpy() for c in ("word", "p", "mask"))
+    masks = []
+    for i in range(0, len(languages), WORD):
+        width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if min(WORD, len(languages) - i) <= np.dtype(t).itemsize * 8)
+        masks.append(np.zeros(ROWS, width))
+        own = word == i // WORD
+        masks[-1][at[own]] = mask[own].view(np.uint64).astype(width)
     return LanguageFilter(languages, masks)
 
 
