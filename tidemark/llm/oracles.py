@@ -1,46 +1,52 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, written out by itself: nothing here comes from the operators."""
 
 from __future__ import annotations
 
-from tidemark.llm.secret_scan import BASE, COPIED_FROM, KINDS, PLACEHOLDERS
+def _found() -> str:
+    # DuckDB wants patterns as constants, so each kind is a select of its own.
+    kinds = {
+        "assign": (0, 6, r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2),
+        "access": (1, 20, "AKIA[A-Z0-9]+", 0),
+        "hex": (2, 24, "[0-9a-f]+", 0),
+        "pem": (3, 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:([^-]*(?:-[^-]+){0,16})-----END [A-Z ]{0,40}PRIVATE KEY-----)?", 1),
+        "jwt": (4, 1, "eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", 0),
+    }
+    return "\nUNION ALL ".join(
+        f"SELECT row, doc_id, source, '{k}' AS kind, {rank} AS rank, {least} AS least, string_split_regex(t, $${p}$$) AS gaps, regexp_extract_all(t, $${p}$$, 0) AS whole, regexp_extract_all(t, $${p}$$, {g}) AS vals FROM d"
+        for k, (rank, least, p, g) in kinds.items()
+    )
 
 
-def _secrets() -> str:
-    kinds = {k: (r"[0-9a-f]{24,}" if k == "hex" else p, g, n) for k, (p, g, n) in KINDS.items()}
-    raw = "\nUNION ALL ".join(
-        f"SELECT row, doc_id, source, '{k}' AS kind, {i} AS rank, {n} AS least, string_split_regex(t, $${p}$$) AS gaps, regexp_extract_all(t, $${p}$$, 0) AS whole, regexp_extract_all(t, $${p}$$, {g}) AS vals FROM d"
-        for i, (k, (p, g, n)) in enumerate(kinds.items())
-    )
-    base = ", ".join(f"'{k}'" for k in BASE)
-    one = "kind || ':' || start || ':' || stop"
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)
-    verdicts = ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS n_{v}" for v in ("live", "copied", "unclear"))
-    return f"""
+OP4 = rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
-raw AS ({raw}),
+raw AS ({_found()}),
 each_one AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM raw WHERE len(whole) > 0),
 placed AS (
-  SELECT row, doc_id, source, kind, rank, least, vals[i] AS value, length(whole[i]) AS n,
+  SELECT row, doc_id, source, kind, rank, least, vals[i] AS val, whole[i] AS w, length(whole[i]) AS n,
     list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start
   FROM each_one),
-found AS (SELECT row, doc_id, source, kind, rank, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop, value FROM placed WHERE length(value) >= least),
-owned AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS n_owners FROM found GROUP BY value),
+valued AS (
+  SELECT *, CASE WHEN kind <> 'pem' THEN val ELSE coalesce(nullif(regexp_replace(val, '[ \t\n\x0B\f\r]|\\[nr]', '', 'g'), ''), w) END AS value
+  FROM placed),
+found AS (SELECT row, doc_id, source, kind, rank, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS stop, value FROM valued WHERE length(value) >= least),
+owned AS (
+  SELECT value, count(DISTINCT coalesce(source, chr(1))) AS n_owners, count(DISTINCT coalesce(source, chr(1)) || chr(2) || coalesce(CAST(doc_id AS VARCHAR), '')) AS n_repositories
+  FROM found GROUP BY value),
 judged AS (
-  SELECT f.*, CASE WHEN n_owners >= {COPIED_FROM} THEN 'copied'
+  SELECT f.*, n_owners, n_repositories, CASE WHEN n_owners >= 3 OR n_repositories >= 10 THEN 'copied'
     WHEN n_owners = 1 AND length(f.value) >= 12
       AND CAST(regexp_matches(f.value, '[a-z]') AS INT) + CAST(regexp_matches(f.value, '[A-Z]') AS INT) + CAST(regexp_matches(f.value, '[0-9]') AS INT) >= 2
-      AND NOT regexp_matches(f.value, '{PLACEHOLDERS}') AND len(list_distinct(string_split(f.value, ''))) >= 8 THEN 'live'
+      AND NOT regexp_matches(f.value, CASE WHEN kind = 'pem' THEN '(?i)example|sample|change_?me|placeholder|dummy|your[_-]' ELSE '(?i)example|sample|change_?me|placeholder|dummy|your[_-]|xxxx|0000|test' END)
+      AND len(list_distinct(string_split(f.value, ''))) >= 8 THEN 'live'
     ELSE 'unclear' END AS verdict
   FROM found f JOIN owned o ON f.value = o.value),
 summed AS (
-  SELECT row, {counts}, {verdicts},
-    string_agg({one}, ',' ORDER BY start, rank) FILTER (WHERE kind IN ({base})) AS base,
-    string_agg({one}, ',' ORDER BY start, rank) AS spans
+  SELECT row, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))}, {", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS n_{v}" for v in ("live", "copied", "unclear"))},
+    max(n_repositories) AS most_repositories, max(n_owners) AS most_owners,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE kind IN ('assign', 'access', 'hex')) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
   FROM judged GROUP BY row)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  {", ".join(f"coalesce(n_{v}, 0) AS n_{v}" for v in ("live", "copied", "unclear"))}
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("assign", "access", "hex"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_live", "n_copied", "n_unclear", "most_repositories", "most_owners"))}
 FROM d LEFT JOIN summed USING (row)
 """
-
-
-OP4 = _secrets()

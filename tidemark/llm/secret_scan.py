@@ -1,16 +1,18 @@
 """Secrets in texts, and who else has them.
 
 Patterns give candidates; the corpus decides what they are worth. Each candidate's hash is counted over distinct
-repositories and distinct owners: a value that many owners or many repositories share is a copied example, a value that one owner
-alone has, and that looks random, is likely a live credential. Built-in functions only.
+repositories and distinct owners: a value that many owners or many repositories share is a copied example, a value
+that one owner alone has, and that looks random, is likely a live credential. Built-in functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import checkpoint
+from tidemark.llm.base import checkpoint, spread_join
 
 # The patterns of each kind, the group that holds the secret, and the least length of that group.
 KINDS = {
@@ -35,11 +37,33 @@ COPIED_FROM = 3
 COPIED_REPOSITORIES = 10
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(lengths: Column) -> Column:
+    """The sum of the lengths before each, for an array of lengths.
+
+    An array grows by being copied, so sums are made in blocks of about the square root of their number: first in
+    each block, then over the blocks.
+    """
+    before = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out")), lambda s: s["out"])
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def blocked(xs: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), side - 1), lambda i: F.slice(xs, i * side + 1, side))
+        return F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(_let(blocks, lambda bs: _let(before(F.transform(bs, total)), lambda bases: F.flatten(F.transform(bs, lambda b, i: F.transform(before(b), lambda x: x + F.get(bases, i)))))))
+
+    return _let(lengths, blocked)
+
+
 def _matches(kind: str, rank: int) -> Column:
     """Spans of one kind as (start, rank, end, kind, value), in code points; failing matches are dropped.
 
-    The pieces between matches and the matches themselves, in turn, give each match its place. A private key's
-    value is its body without white space, or its header if the key has no end.
+    The running lengths of the pieces between matches and the matches themselves give each match its place. A
+    private key's value is its body without white space, or its header if the key has no end.
     """
     pattern, group, least = KINDS[kind]
     if kind == "hex":
@@ -52,19 +76,16 @@ def _matches(kind: str, rank: int) -> Column:
         body = lambda x: F.regexp_replace(x["value"], r"\s|\\[nr]", "")
         pairs = F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), x["whole"].alias("whole"), F.when(F.length(body(x)) > 0, body(x)).otherwise(x["whole"]).alias("value")))
     span = "struct<start: int, rank: int, end: int, kind: string, value: string>"
-    start = lambda state, x: state["at"] + F.length(x["gap"])
-    placed = F.aggregate(
-        F.filter(pairs, lambda x: x["whole"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast(f"array<{span}>").alias("out")),
-        lambda state, x: F.struct(
-            (start(state, x) + F.length(x["whole"])).alias("at"),
-            F.concat(F.coalesce(state["out"], F.array().cast(f"array<{span}>")), F.array(F.struct(start(state, x).alias("start"), F.lit(rank).alias("rank"), (start(state, x) + F.length(x["whole"])).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")).cast(span))).alias("out"),
-        ),
-        lambda state: F.coalesce(state["out"], F.array().cast(f"array<{span}>")),
-    )
+
+    def placed(found: Column) -> Column:
+        starts = _running(F.transform(found, lambda x: F.length(x["gap"]) + F.length(x["whole"])))
+        one = lambda x, at: F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + F.length(x["whole"])).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")).cast(span)
+        return _let(starts, lambda at: F.transform(found, lambda x, i: one(x, F.get(at, i) + F.length(x["gap"]))))
+
+    found = _let(F.filter(pairs, lambda x: x["whole"].isNotNull()), placed)
     first = _FIRST.get(kind)
     holds = F.rlike(text, F.lit(pattern)) if first is None else F.rlike(text, F.lit(first)) if kind == "hex" else F.contains(text, F.lit(first))
-    return F.when(holds, F.filter(placed, lambda s: F.length(s["value"]) >= least)).otherwise(F.array().cast(f"array<{span}>"))
+    return F.when(holds, F.filter(found, lambda s: F.length(s["value"]) >= least)).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
@@ -98,9 +119,14 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """Candidates with ``verdict``: ``copied`` (many owners or repositories), ``live`` (one owner, looks random) or ``unclear``."""
+    """Candidates with ``n_repositories``, ``n_owners`` and ``verdict``: ``copied`` (many owners or repositories), ``live``
+    (one owner, few repositories, looks random) or ``unclear``.
+
+    A value in very many rows meets its counts where the rows are.
+    """
+    found = checkpoint(found)
     verdict = F.when((F.col("n_owners") >= COPIED_FROM) | (F.col("n_repositories") >= COPIED_REPOSITORIES), "copied").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear")
-    return found.join(ownership(found), "hash").withColumn("verdict", verdict)
+    return spread_join(found, ownership(found), "hash").withColumn("verdict", verdict)
 
 
 def _text_of(spans: Column) -> Column:
@@ -112,38 +138,40 @@ def _is(kind: str):
 
 
 def digest(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """Counts of the base kinds, the digest of their spans, all spans, and counts by verdict, for each document.
+    """Counts of the base kinds, the digest of their spans, all spans, counts by verdict, and the most repositories and
+    owners that one of its values has, for each document.
 
     Null and empty texts count 0 and have the digest of an empty text; repeated rows give repeated results; an
     empty table gives an empty one; other columns are left behind.
     """
     scanned = scan(docs, repository, owner)
-    verdicts = judged(candidates(scanned)).groupBy("row").agg(*(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "copied", "unclear")))
+    verdicts = judged(candidates(scanned)).groupBy("row").agg(*(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "copied", "unclear")), *(F.max(f"n_{x}").alias(f"most_{x}") for x in ("repositories", "owners")))
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     counts = [F.size(F.filter("found", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
     rows = scanned.select("row", "doc_id", *counts, F.sha2(_text_of(base), 256).alias("base_sha256"), _text_of(F.col("found")).alias("spans"))
-    return rows.join(verdicts, "row", "left").select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(F.coalesce(f"n_{v}", F.lit(0)).alias(f"n_{v}") for v in ("live", "copied", "unclear")))
+    return rows.join(verdicts, "row", "left").select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied", "n_unclear", "most_repositories", "most_owners")))
 
 
 def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[SECRET]") -> DataFrame:
     """``docs``, all columns, with the live-looking credentials in ``text`` replaced by ``mark`` and ``n_chars`` made to fit.
 
     Copied examples and unclear values stay. Rows without a live-looking value, null texts among them, stay as
-    they are. A document's spans find it by doc_id and the hash of its text.
+    they are; repeated rows give repeated results. A document's spans find it by doc_id and the hash of its text.
+    The row travels as one struct, so columns of any name stay apart from those of the join.
     """
     live = judged(candidates(scan(docs, repository, owner))).where("verdict = 'live'")
-    spans = live.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = joined.join(spans, joined["doc_id"].eqNullSafe(spans["_doc"]) & (joined["_text_hash"] == spans["_hash"]), "left")
-    text = F.col("text")
+    spans = live.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
+    text = F.col("r.text")
+    on = F.col("r.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_hash"))
     cut = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
     marked = F.aggregate(
-        "_spans",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda state, s: F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], cut(state["at"], s["start"]), F.lit(mark))).alias("out")),
         lambda state: F.concat(state["out"], cut(state["at"], F.length(text))),
     )
-    changed = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(marked))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return changed.select(*docs.columns)
+    hit = F.col("spans").isNotNull()
+    changed = rows.join(spans, on, "left").select("r", hit.alias("hit"), F.when(hit, marked).otherwise(text).alias("t"))
+    new = {"text": F.col("t"), "n_chars": F.when(F.col("hit"), F.length("t").cast("long")).otherwise(F.col("r.n_chars")) if "n_chars" in docs.columns else None}
+    return changed.select(*((new[c] if c in new else F.col(f"r.`{c}`")).alias(c) for c in docs.columns))
