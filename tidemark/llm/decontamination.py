@@ -3,7 +3,8 @@
 An item may differ from a passage by ``k`` edits. Cut into ``k + 1`` pieces, one piece at least is then in the
 passage unchanged, so one Aho-Corasick automaton over all pieces finds every place worth a look, and Myers'
 bit-parallel distance decides there. Texts and items are compared lower-cased, with every run of
-characters other than letters and digits as one space.
+characters other than letters and digits as one space, and one space at either end: so an item begins and ends with
+its words, and a passage that ends inside a word is an edit away.
 """
 
 from __future__ import annotations
@@ -14,25 +15,25 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.llm.base import map_batches, texts
+from tidemark.llm.base import checkpoint, map_batches, texts
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.06
-#: Items shorter than this, when normalised, are matched without edits.
-SHORT = 30
 #: Characters of items in one automaton; a larger benchmark is matched in blocks.
 BLOCK_CHARS = 2_000_000
 _GAP, _WORD = re.compile(r"[\W_]+"), re.compile(r"[^\W_]+")
 
 
 def normalise(text: str) -> str:
-    return " ".join(_WORD.findall(text.lower()))
+    """The text's words, each with a space on either side; empty if there are none."""
+    words = _WORD.findall(text.lower())
+    return f" {' '.join(words)} " if words else ""
 
 
 def budget(item: str, rate: float = ERROR_RATE) -> int:
-    return int(len(item) * rate) if len(item) >= SHORT else 0
+    """Edits allowed for a normalised item, by the length of its words and the spaces between them."""
+    return int((len(item) - 2) * rate)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -142,7 +143,7 @@ def _windows(starts: list[int], m: int, k: int) -> Iterator[tuple[int, int]]:
 
 
 def places_in(text: str) -> list[int]:
-    """For each character of the normalised text, the place in ``text`` that it comes from.
+    """For each character of the normalised text but the spaces at its ends, the place in ``text`` that it comes from.
 
     Lower-casing can lengthen a text; its places are then traced character by character.
     """
@@ -171,13 +172,18 @@ def blocks(benchmark: DataFrame, rate: float) -> Iterator[list[Item]]:
         yield held
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A passage of a normalised text without the spaces at its ends, counted without the space that leads the text."""
+    return a - 1 + (text[a] == " "), b - 1 - (text[b - 1] == " ")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """One row for each document and item whose passage it holds: ``doc_id``, ``item_id``, ``distance``, ``budget``, ``start``, ``end``.
 
     ``start`` and ``end`` are code points of the whole text, for the nearest passage (the first among equals).
-    Each block of the benchmark, bounded in size, goes to the executors and meets every row. Null and empty texts
-    and items match nothing; repeated rows give repeated results; an empty benchmark or table gives an empty
-    result; other columns are left behind.
+    The benchmark is the query set: block by block, each bounded in size, it goes to the executors and meets every
+    row. Null and empty texts and items match nothing; repeated rows give repeated results; an empty benchmark or
+    table gives an empty result; other columns are left behind.
     """
     schema = "doc_id long, item_id long, distance int, budget int, start long, end long"
     out, rows = None, texts(docs)
@@ -190,10 +196,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 found = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    hits = matcher.find(normalise(text))
-                    if hits:
+                    plain = normalise(text)
+                    if hits := matcher.find(plain):
                         origin = places_in(text)
-                        found += [(doc, matcher.items[n].item_id, d, matcher.items[n].errors, origin[a], origin[b - 1] + 1) for n, d, a, b in hits]
+                        for n, d, a, b in hits:
+                            a, b = _trimmed(plain, a, b)
+                            found.append((doc, matcher.items[n].item_id, d, matcher.items[n].errors, origin[a], origin[b - 1] + 1))
                 return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "distance", "budget", "start", "end"])
 
             return step
@@ -204,6 +212,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """``docs``, all columns, without the documents that hold a passage of the benchmark."""
-    found = matches(docs, benchmark, rate).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+    """``docs``, all columns whatever their names, without the rows whose text holds a passage of the benchmark.
+
+    Each row is judged by its own text where it is, so nothing is shuffled; what one block of the benchmark leaves is
+    written to the shared checkpoint folder for the next. Null and empty texts stay; an empty benchmark takes nothing.
+    """
+    text = docs.columns.index("text")
+    left = docs
+    for i, block in enumerate(blocks(benchmark, rate)):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # as in ``matches``
+
+        def make(shared=shared):
+            matcher = Matcher(shared.value)
+            return lambda batch: batch.filter(pa.array([not matcher.find(normalise(t or "")) for t in batch.column(text).to_pylist()], pa.bool_()))
+
+        left = map_batches(checkpoint(left) if i else left, make, docs.schema)
+    return left
