@@ -63,5 +63,23 @@ def test_mix(spark, monkeypatch):
         assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= 50
 
 
+def test_rows_of_one_id_or_none(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL", 50)
+    rows = [(None, "w " * (i % 40 + 1), "a") for i in range(900)] + [(7, "w w w", "a")] * 2500 + [(i, "w " * 9, "b") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows) and sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(df.repartition(9)).collect()), key=str)
+    for source in "ab":
+        own = [r for r in out if r.source == source]
+        assert sum(r.size for r in own) == own[0].source_size and abs(sum(r.taken for r in own) - own[0].target) <= 40
+
+
+def test_ranks_of_many_sources(spark):
+    names = [f"s{i * 7919 % 5000}" for i in range(3000)] + ["é", "日本", "", None]
+    got = {r.source: r.group for r in mixing.ranked(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long")).collect()}
+    want = sorted({n for n in names if n is not None}, key=lambda n: n.encode()) + [None]
+    assert got == {n: i + 1 for i, n in enumerate(want)}
+
+
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

@@ -5,8 +5,8 @@ whole part of the rate is copies that every document gives; the fraction is an i
 method turns probabilities into choices: among three undecided documents it moves the probabilities along the
 null space of the two constraints (words and documents of the source), one way or the other at random so that
 each keeps its mean, until one reaches 0 or 1. What stays undecided in a cell, two documents at most, moves on
-to a coarser cell, and the last two of a source land on the choice nearest to the target. Cells are dealt by the
-hash of doc_id, so a large source is many cells.
+to a coarser cell, and the last two of a source land on the choice nearest to the target. Cells are dealt by a hash
+of doc_id, text and a number among equal rows, so a large source is many cells, whatever its ids.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import checkpoint
+from tidemark.llm.base import checkpoint, spread_join
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -36,6 +36,19 @@ def weight_of(rank: Column, weights: tuple[float, ...] = WEIGHTS) -> Column:
     return F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int"))
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``group``, its rank from 1 by code point, null last.
+
+    Sources are sorted in ranges; a range's ranks follow those of the ranges before it, whose sizes alone (one number
+    a range) meet in one place.
+    """
+    dealt = checkpoint(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("here"))
+    before = sizes.select("range", (F.sum("here").over(Window.orderBy("range")) - F.col("here")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("group", (F.col("inside") + F.col("before")).cast("long")).drop("range", "inside", "before")
+
+
 def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``target`` for each row of ``sources`` (source, source_size, weight).
 
@@ -110,7 +123,7 @@ def _decide(last: bool):
 def balanced(units: DataFrame) -> DataFrame:
     """``units`` (group, n, h, doc_id, size, p) with every ``p`` moved to 0 or 1, balanced in each group.
 
-    ``n`` is the size of the unit's group and ``h`` a hash of its doc_id. Each level's undecided units, two a
+    ``n`` is the size of the unit's group and ``h`` a hash that tells units apart. Each level's undecided units, two a
     cell at most, go on to cells ``FAN_IN`` times as coarse.
     """
     cells = F.ceil(F.col("n") / CELL)
@@ -131,17 +144,19 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
     Returns ``doc_id``, ``size`` (words), ``source``, ``source_size``, ``target`` and ``taken`` (words, repeats
     counted: 0, 1 or ``most`` times the size at most). Sources weigh ``weights`` in code point order, null last;
-    null is a source of its own. Null and empty texts have size 0 and take 0; repeated rows are separate
-    documents; an empty table gives an empty one; other columns are left behind.
+    null is a source of its own. Null and empty texts have size 0 and take 0; repeated rows, and rows of one or a null
+    id, are separate documents; an empty table gives an empty one; other columns are left behind.
     """
-    sized = checkpoint(docs.select("doc_id", "source", size_column().alias("size")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    ranked = sources.withColumn("group", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
-    aimed = targets(checkpoint(ranked.withColumn("weight", weight_of(F.col("group"), weights))), share, most)
+    named = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("named")]
+    each = docs.select("doc_id", "source", size_column().alias("size"), F.xxhash64("text").alias("t"))
+    sized = checkpoint(each.groupBy("doc_id", "source", "size", "t").agg(F.count("*").alias("copies")).select("doc_id", "source", "size", "t", "copies", *named))
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n"))
+    aimed = targets(checkpoint(ranked(sources).withColumn("weight", weight_of(F.col("group"), weights))), share, most)
     rates = checkpoint(aimed.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-    key = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("named")]
-    rated = sized.select("doc_id", "size", *key).join(rates.select("group", "n", "rate", *key), ["none", "named"])
-    units = rated.select("group", "n", F.xxhash64("doc_id").alias("h"), "doc_id", "size", (F.col("rate") - F.floor("rate")).alias("p"))
-    chosen = balanced(units)
+    rated = spread_join(sized.drop("source"), rates.select("group", "n", "rate", *named), "none", "named")
+    # Equal rows are told apart by a number, dealt out in thousands so that no list is long.
+    thousands = rated.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1000))))
+    copies = thousands.withColumn("copy", F.explode(F.sequence(F.col("k") * 1000, F.least(F.col("copies"), (F.col("k") + 1) * 1000) - 1)))
+    units = copies.select("group", "n", F.xxhash64("doc_id", "t", "copy").alias("h"), "doc_id", "size", (F.col("rate") - F.floor("rate")).alias("p"))
     taken = (F.col("size") * (F.floor("rate") + F.col("p"))).cast("long")
-    return chosen.join(rates.drop("n"), "group").select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
+    return spread_join(balanced(units), rates.drop("n"), "group").select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
