@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import checkpoint, map_batches, texts
+from tidemark.llm.base import checkpoint, map_batches, spread_join, texts
 from tidemark.llm.graph import components
 
 BITS = 64
@@ -203,6 +203,6 @@ def link(docs: DataFrame, ngram: int = 3, radius: int = 2) -> DataFrame:
     held = checkpoint(fingerprints(docs, ngram))
     first = held.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(forest_links(first.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id")).join(placed.select("fp", "root"), "root").select("fp", "component_id")
-    return held.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = checkpoint(first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    named = checkpoint(spread_join(placed.select("fp", "root"), placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id"))
+    return spread_join(held, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
