@@ -49,9 +49,17 @@ def test_whole_documents(spark, sf, library):
     for r in out:
         text = texts[r.doc_id]
         assert (r.n_bytes, r.n_tokens) == (len(text.encode()), len(library.encode(text)))
+        assert r.half_tokens == len(library.encode(text[: len(text) // 2]))
         assert r.over_limit == (r.n_tokens > 200) and (r.cut_chars is None) == (not r.over_limit)
         if r.over_limit:
-            assert len(library.encode(text[: r.cut_chars])) <= 200
+            assert len(library.encode(text[: r.cut_chars])) <= 200 < min(len(library.encode(text[:i])) for i in range(r.cut_chars + 1, min(len(text), r.cut_chars + 30) + 1))
+
+
+def test_very_long_text(library):
+    text = "The quick brown fox 日本 12.5\n" * 400_000
+    prefix = token_counts.counter().prefix(text)
+    assert len(text) > 10_000_000 and prefix.total == len(library.encode(text))
+    assert prefix.at(1000) == len(library.encode(text[:1000])) and len(library.encode(text[: prefix.cut(500)])) <= 500 < len(library.encode(text[: prefix.cut(500) + 1]))
 
 
 def test_edge_rows(spark):

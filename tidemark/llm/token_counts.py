@@ -7,14 +7,17 @@ ending at ``j`` that is compatible with the last token of ``text[:j - len(t)]``,
 
     count[j] = count[j - len(t)] + cost(t)
 
-needs no re-encoding. No piece holds a space after another character, a line feed with anything else, or a
-letter before a sign (this is checked when the vocabulary is loaded), so no token crosses these places: the table of a text is the
-running sum of the tables of its units, and a unit's table is kept and used again wherever the unit recurs.
+needs no re-encoding. Truncation (the longest prefix within a budget) and budget questions (the tokens of the
+first so many characters) are look-ups in the table. No piece holds a space after another character, a line feed with anything else, or a
+letter before a sign (this is checked when the vocabulary is loaded), so no token crosses these places: the table
+of a text is the tables of its units end to end, each raised by the tokens before it. A unit's table is kept and
+used again wherever the unit recurs, and a look-up opens the one unit that it falls in.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.base import map_batches, texts
 
 MODEL = "piece_bpe_32k.model"
-#: Units whose totals one worker keeps (beyond it they are forgotten and made anew), and the length of the longest.
+#: Units whose tables one worker keeps (beyond it they are forgotten and made anew), and the length of the longest.
 KEPT_UNITS = 1_000_000
 LONGEST_KEPT = 48
 #: Letters and digits after which a unit may end: no piece holds one of them and then any other character.
@@ -56,7 +59,7 @@ class PrefixCounter:
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = {}
-        self.totals: dict[str, int] = _Totals(self)
+        self.tables: dict[str, list[int] | bytes] = _Tables(self)
 
     def cost(self, token: str) -> int:
         """Tokens that a piece stands for: one, or one a byte for a character outside the vocabulary."""
@@ -116,38 +119,79 @@ class PrefixCounter:
         return UNITS.findall(" " + text.replace("▁", " ")) if text else []
 
     def total(self, text: str) -> int:
-        return sum(map(self.totals.__getitem__, self.units(text)))
+        tables = self.tables
+        return sum([tables[u][-1] for u in self.units(text)])
 
     def prefixes(self, text: str) -> np.ndarray:
         """``out[i]``: the tokens of the text's first ``i + 1`` code points."""
-        units = self.units(text)
-        if not units:
+        prefix = self.prefix(text)
+        tables = [np.frombuffer(t, np.uint8) if isinstance(t, bytes) else np.asarray(t) for t in map(self.tables.__getitem__, prefix.units)]
+        if not tables:
             return np.zeros(0, np.int32)
-        tables = [self.table(u)[1:] for u in units]
-        bases = np.fromiter(accumulate([0] + [t[-1] for t in tables[:-1]]), np.int32, len(tables))
-        counts = np.concatenate([np.asarray(t, np.int32) for t in tables]) + np.repeat(bases, [len(t) for t in tables])
+        counts = np.concatenate([t[1:] for t in tables]).astype(np.int32) + np.repeat(np.asarray(prefix.tokens[:-1], np.int32), [len(t) - 1 for t in tables])
         return counts[1:]  # without the space that leads the text
 
+    def prefix(self, text: str) -> Prefix:
+        units = self.units(text)
+        tables = self.tables
+        return Prefix(units, list(accumulate([tables[u][-1] for u in units], initial=0)), self.tables)
+
     def cut(self, text: str, budget: int) -> int:
         """Code points of the longest prefix that takes at most ``budget`` tokens."""
-        fits = np.flatnonzero(self.prefixes(text) <= budget)
-        return int(fits[-1]) + 1 if len(fits) else 0
+        return self.prefix(text).cut(budget)
+
+
+class Prefix:
+    """The prefix table of one text: its units, the tokens before each of them and after the last, and their tables."""
+
+    def __init__(self, units: list[str], tokens: list[int], tables: dict):
+        self.units, self.tokens, self.tables = units, tokens, tables
+
+    @property
+    def total(self) -> int:
+        return self.tokens[-1]
+
+    def at(self, chars: int) -> int:
+        """Tokens of the first ``chars`` code points."""
+        if not self.units or chars <= 0:
+            return 0
+        ends = np.cumsum(np.fromiter(map(len, self.units), np.int64, len(self.units))) - 1  # the leading space is no character of the text
+        i = int(np.searchsorted(ends, chars))
+        if i == len(ends):
+            return self.total
+        return self.tokens[i] + self.tables[self.units[i]][chars - int(ends[i]) + len(self.units[i])]
+
+    def cut(self, budget: int) -> int:
+        """Code points of the longest prefix of at most ``budget`` tokens.
+
+        The tokens before a unit never fall, and no prefix that ends in a unit has fewer than one more; so the
+        last unit that can hold the end is tried, and the one before it ends within the budget.
+        """
+        if self.total <= budget:
+            return max(0, sum(map(len, self.units)) - 1)
+        i = bisect_right(self.tokens, budget - 1) - 1
+        if i < 0:
+            return 0
+        before = sum(map(len, self.units[:i])) - 1
+        table, left = self.tables[self.units[i]], budget - self.tokens[i]
+        within = max((j for j in range(len(table)) if table[j] <= left), default=0)
+        return max(0, before + within)
 
 
-class _Totals(dict):
-    """Unit to the last entry of its table."""
+class _Tables(dict):
+    """Unit to its table, in bytes where the counts fit in them."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
         self.counter = counter
 
-    def __missing__(self, unit: str) -> int:
+    def __missing__(self, unit: str) -> list[int] | bytes:
         if len(self) >= KEPT_UNITS:
             self.clear()
-        total = self.counter.table(unit)[-1]
+        table = self.counter.table(unit)
         if len(unit) <= LONGEST_KEPT:
-            self[unit] = total
-        return total
+            table = self[unit] = bytes(table) if table[-1] < 64 else table
+        return table
 
 
 @lru_cache(maxsize=2)
@@ -172,10 +216,11 @@ def prefix_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, limit: int = 4096, model: str = MODEL) -> DataFrame:
-    """Bytes, tokens and the cut to a budget, for each whole text.
+    """Bytes, tokens, the tokens of the first half and the cut to a budget, for each whole text.
 
-    ``n_tokens`` is the last entry of the prefix table; ``cut_chars`` is the length of the longest prefix of at
-    most ``limit`` tokens, null where the whole text fits. Null and empty texts have 0 bytes and 0 tokens;
+    All come from the text's prefix table: ``n_tokens`` is its last entry, ``half_tokens`` its entry at half of the
+    code points (rounded down), and ``cut_chars`` the length of the longest prefix of at most ``limit`` tokens, null
+    where the whole text fits. Null and empty texts have 0 bytes and 0 tokens;
     repeated rows give repeated results; an empty table gives an empty one; other columns are left behind.
     """
 
@@ -184,13 +229,16 @@ def token_counts(docs: DataFrame, limit: int = 4096, model: str = MODEL) -> Data
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = batch.column(1).to_pylist()
-            totals = [table.total(t) for t in rows]
-            cuts = [table.cut(t, limit) if n > limit else None for t, n in zip(rows, totals)]
+            found = []
+            for t in rows:
+                prefix = table.prefix(t)
+                found.append((prefix.total, prefix.at(len(t) // 2), prefix.cut(limit) if prefix.total > limit else None))
+            totals, halves, cuts = zip(*found)
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in rows], pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals]), pa.array(cuts, pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars"],
+                [batch.column(0), pa.array([len(t.encode()) for t in rows], pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals]), pa.array(halves, pa.int64()), pa.array(cuts, pa.int64())],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "half_tokens", "cut_chars"],
             )
 
         return step
 
-    return map_batches(texts(docs), make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")
+    return map_batches(texts(docs), make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, half_tokens long, cut_chars long")
