@@ -31,18 +31,24 @@ def half_even(c: Column, places: int = 4) -> Column:
 
 def ratio(numerator: Column, denominator: Column, places: int = 6) -> Column:
     """Quotient rounded half away from zero; null where either side is, or the divisor is 0."""
-    return F.round(numerator.cast("decimal(38,18)") / F.nullif(denominator, F.lit(0)).cast("decimal(38,18)"), places)
+    return F.round(numerator.cast("decimal(20,6)") / F.nullif(denominator.cast("decimal(18,6)"), F.lit(0)), places)
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """100 * part / whole in four places; null where the whole is 0. Computed in doubles, rounded half up."""
-    return F.floor((100.0 * part.cast("double") / F.nullif(whole, F.lit(0)).cast("double")) * 1e4 + 0.5) / 1e4
+    """100 * part / whole in four places, half away from zero, in decimals; null where the whole is 0."""
+    return F.round((part.cast("decimal(19,0)") * 100).cast("decimal(22,0)") / F.nullif(whole.cast("decimal(19,0)"), F.lit(0)), 4)
 
 
 def spread_bps(a: Column, b: Column) -> Column:
-    """10,000 * |a - b| / their mean, in four places."""
-    a, b = a.cast("double"), b.cast("double")
-    return F.floor(10000.0 * F.abs(a - b) / ((a + b) / 2.0) * 1e4 + 0.5) / 1e4
+    """10,000 * |a - b| / their mean, in four places, half away from zero, in decimals; a mean of 0 is an error."""
+    a, b = a.cast("decimal(18,4)"), b.cast("decimal(18,4)")
+    return F.round((F.abs(a - b) * 20_000).cast("decimal(24,4)") / (a + b), 4)
+
+
+def greatest_divisor(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two positive longs: Euclid's steps, 90 of which are enough for 18 digits."""
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s["a"])
 
 
 def no_places(c: Column) -> Column:

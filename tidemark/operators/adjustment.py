@@ -1,45 +1,88 @@
-"""Back-adjustment: what a price before a split is worth in shares of today."""
+"""Back-adjustment: what a price before a split is worth in shares of today.
+
+Everything is exact. A step's factor is kept as two whole numbers, the products of the shares held before and
+after, and the price is divided once. Products that outgrow 38 digits fail rather than lose digits.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import half_even
+from tidemark.functions.scalars import greatest_divisor, ratio
 from tidemark.operators.asof import first_of_group
 from tidemark.schemas import COUNT_CHANGING
 
-EXACT = "decimal(38,18)"
+WHOLE = "decimal(38,0)"
 
 
 def effective_actions(actions: DataFrame, ties: tuple[Column, ...] = ()) -> DataFrame:
-    """One action for each (isin, type, ex-date): the newest, whatever its source; then count-changing ones only."""
-    latest = first_of_group(actions, ["isin", "action_type", "ex_date"], F.col("as_of_date").desc(), *(ties or (F.col("source_id"), F.col("qualifier"))))
-    return latest.where(F.col("action_type").isin(*COUNT_CHANGING) & (F.coalesce("ratio_from", F.lit(0)) != 0) & (F.coalesce("ratio_to", F.lit(0)) != 0))
+    """Count-changing actions with both sides of their ratio; of each (isin, type, ex-date) the newest such, whatever its source.
+
+    The filter comes first: a newer version without terms does not take an older one's place.
+    """
+    usable = actions.where(F.col("action_type").isin(*COUNT_CHANGING) & (F.coalesce("ratio_from", F.lit(0)) != 0) & (F.coalesce("ratio_to", F.lit(0)) != 0))
+    return first_of_group(usable, ["isin", "action_type", "ex_date"], F.col("as_of_date").desc(), *(ties or (F.col("source_id"), F.col("qualifier"))))
 
 
-def factor_schedule(actions: DataFrame, ties: tuple[Column, ...] = (), kind: str = EXACT) -> DataFrame:
-    """Steps (isin, valid_from, ex_date, factor): ``factor`` holds from ``valid_from`` up to, not on, ``ex_date``.
+def factor_schedule(actions: DataFrame, ties: tuple[Column, ...] = ()) -> DataFrame:
+    """Steps (isin, valid_from, ex_date, held, after, factor): the factor holds from ``valid_from`` up to, not on, ``ex_date``.
 
-    The factor is the product of from/to of every action that goes ex later than the day; actions of one
-    ex-date compound. Products fold over a list, as there is no exact product aggregate; an instrument has few
-    actions, so the lists are short. The first step's ``valid_from`` is null.
+    ``held`` / ``after`` is the product of from/to of every action that goes ex later than the day; actions of one
+    ex-date compound. ``factor`` is the quotient as a double, for reading; prices use the whole numbers. Products
+    fold over a list, as there is no exact product aggregate; an instrument has few actions, so the lists are short.
+    The first step's ``valid_from`` is null.
     """
-    fold = lambda xs: F.aggregate(xs, F.lit(1).cast(kind), lambda a, b: (a * b).cast(kind))
-    steps = effective_actions(actions, ties).select("isin", "ex_date", (F.col("ratio_from").cast(kind) / F.col("ratio_to").cast(kind)).cast(kind).alias("r"))
-    daily = steps.groupBy("isin", "ex_date").agg(fold(F.array_sort(F.collect_list("r"))).alias("r"))
-    later = Window.partitionBy("isin").orderBy(F.col("ex_date").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    fold = lambda xs: F.aggregate(xs, F.lit(1).cast(WHOLE), lambda a, b: (a * b).cast(WHOLE))
+    millionths = lambda c: (F.col(c).cast("decimal(18,6)") * 1_000_000).cast("long")
+    sides = effective_actions(actions, ties).select("isin", "ex_date", millionths("ratio_from").alias("a"), millionths("ratio_to").alias("b")).withColumn("g", greatest_divisor(F.col("a"), F.col("b")))
+    steps = sides.select("isin", "ex_date", *(F.expr(f"{c} div g").cast(WHOLE).alias(c) for c in "ab"))
+    daily = steps.groupBy("isin", "ex_date").agg(fold(F.collect_list("a")).alias("a"), fold(F.collect_list("b")).alias("b"))
     before = Window.partitionBy("isin").orderBy(F.col("ex_date").desc())
-    return daily.select("isin", F.lead("ex_date").over(before).alias("valid_from"), "ex_date", fold(F.collect_list("r").over(later)).alias("factor"))
+    later = before.rowsBetween(Window.unboundedPreceding, 0)
+    held, after = (fold(F.collect_list(c).over(later)).alias(n) for c, n in (("a", "held"), ("b", "after")))
+    found = daily.select("isin", F.lead("ex_date").over(before).alias("valid_from"), "ex_date", held, after)
+    return found.withColumn("factor", F.col("held").cast("double") / F.col("after").cast("double"))
+
+
+def scaled(price: Column, held: Column, after: Column) -> Column:
+    """``price * held / after`` in four places, half to even: whole numbers throughout, so ties are true ties."""
+    units = ((price.cast("decimal(18,4)") * 10_000).cast(WHOLE) * held.cast(WHOLE)).cast(WHOLE)
+    near = (units / after).cast(WHOLE)
+    whole = F.when((near * after).cast(WHOLE) > units, near - 1).otherwise(near).cast(WHOLE)
+    twice = ((units - (whole * after).cast(WHOLE)) * 2).cast(WHOLE)
+    up = (twice > after) | ((twice == after) & (whole % 2 == 1))
+    return (F.when(up, whole + 1).otherwise(whole).cast("decimal(30,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(18,4)")
 
 
-def adjust(bars: DataFrame, actions: DataFrame, ties: tuple[Column, ...] = (), kind: str = EXACT) -> DataFrame:
+def adjust(bars: DataFrame, actions: DataFrame, ties: tuple[Column, ...] = ()) -> DataFrame:
     """``bars`` with ``factor`` and ``adjusted_close``, in four places, half to even.
 
     A bar takes the step of the earliest ex-date after its day; on the ex-date itself and later the factor is 1.
     Each bar meets one step at most: the steps of an instrument are disjoint.
     """
-    steps = factor_schedule(actions, ties, kind).withColumnRenamed("isin", "_isin")
+    steps = factor_schedule(actions, ties).select(F.col("isin").alias("_isin"), "valid_from", "ex_date", "held", "after", "factor")
     inside = (F.col("isin") == F.col("_isin")) & (F.col("trade_date") < F.col("ex_date")) & (F.col("valid_from").isNull() | (F.col("trade_date") >= F.col("valid_from")))
-    joined = bars.join(steps, inside, "left").withColumn("factor", F.coalesce("factor", F.lit(1).cast(kind)))
-    return joined.withColumn("adjusted_close", half_even(F.col("close").cast(kind) * F.col("factor"))).drop("_isin", "valid_from", "ex_date")
+    joined = bars.join(steps, inside, "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    adjusted = F.when(F.col("held").isNull(), F.col("close").cast("decimal(18,4)")).otherwise(scaled(F.col("close"), F.col("held"), F.col("after")))
+    return joined.withColumn("adjusted_close", adjusted).drop("_isin", "valid_from", "ex_date", "held", "after")
+
+
+def step_closure(bars: DataFrame, actions: DataFrame, ties: tuple[Column, ...] = ()) -> DataFrame:
+    """For each ex-date and venue the last close before it and the first from it on, and their quotient as published and as adjusted.
+
+    ``adjusted_step`` near 1 says that the adjustment closes the step. Bars and ex-dates are laid in one order, an
+    ex-date in front of its day's bar, so neighbours are found without a range join.
+    """
+    lines = bars.select("isin", "venue").distinct()
+    marks = factor_schedule(actions, ties).select("isin", "ex_date").join(lines, "isin").select("isin", "venue", F.col("ex_date").alias("trade_date"), F.lit(0).alias("at"))
+    series = adjust(bars, actions, ties).select("isin", "venue", "trade_date", F.lit(1).alias("at"), "close", "adjusted_close")
+    w = Window.partitionBy("isin", "venue").orderBy("trade_date", "at")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    day = F.when(F.col("at") == 1, F.col("trade_date"))
+    seen = series.unionByName(marks, allowMissingColumns=True).withColumns({
+        "before_day": F.last(day, True).over(back), "before_close": F.last("close", True).over(back), "adjusted_before": F.last("adjusted_close", True).over(back),
+        "on_day": F.first(day, True).over(ahead), "on_close": F.first("close", True).over(ahead),
+    })
+    both = seen.where("at = 0 AND before_day IS NOT NULL AND on_day IS NOT NULL").withColumnRenamed("trade_date", "ex_date").drop("at", "close", "adjusted_close")
+    return both.withColumns({"raw_step": ratio(F.col("before_close"), F.col("on_close")), "adjusted_step": ratio(F.col("adjusted_before"), F.col("on_close"))})

@@ -16,8 +16,6 @@ from tidemark.schemas import EQUITY_SERIES
 from tidemark.sources import files, registry, sinks
 
 AS_OF = "1998-06-15"
-#: A product of many powers of two is exact in a double; the exact decimal form is the default of the operators.
-KIND = "double"
 REGISTRY = """
 [[source]]
 source_id = "bars"
@@ -47,6 +45,10 @@ def _deliveries(s, d):
     return asof.latest_delivery(market.delivery_daily(s, d))
 
 
+def _rounded(df):
+    return df.withColumn("factor", F.round("factor", 9))
+
+
 def _newest():
     return (F.col("o_orderkey").desc(),)
 
@@ -96,13 +98,19 @@ def _violations(s, d):
 
 def _name_merge(s, d):
     existing = market.instruments(s, d).select("isin", "name", F.lit("old").alias("sector"))
-    incoming = _prices(s, d).groupBy("isin").agg(F.concat(F.lit("N"), F.min("trade_date").cast("string")).alias("name"), F.lit("new").alias("sector"))
+    incoming = market.customer_bars(s, d).groupBy("isin").agg(F.concat(F.lit("N"), F.min("trade_date").cast("string")).alias("name"), F.lit("new").alias("sector"))
     return sinks.merge(existing, incoming, ["isin"], ["name"])
 
 
 def _insert(s, d):
     existing = market.instruments(s, d)
-    return sinks.insert_if_absent(existing, _prices(s, d).select("isin", F.col("venue").alias("name")).groupBy("isin").agg(F.min("name").alias("name")), ["isin"])
+    return sinks.insert_if_absent(existing, market.customer_bars(s, d).select("isin", F.col("venue").alias("name")).groupBy("isin").agg(F.min("name").alias("name")), ["isin"])
+
+
+def _spans(s, d):
+    """Spans of some three months from each order of a customer, some without an end: many run into the next."""
+    days = market.customer_bars(s, d).select("isin", F.col("trade_date").alias("first_day")).distinct()
+    return days.withColumn("last_day", F.when(F.day("first_day") != 13, F.date_add("first_day", 90 + F.day("first_day"))))
 
 
 def _range_end(tracks):
@@ -113,20 +121,27 @@ PRICE_COLUMNS = "isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(as
 ACTION_COLUMNS = "isin, action_type, CAST(ex_date AS VARCHAR) AS ex_date, source_id, CAST(as_of_date AS VARCHAR) AS as_of_date, qualifier, CAST(ratio_from AS DOUBLE) AS ratio_from, CAST(ratio_to AS DOUBLE) AS ratio_to, CAST(dividend_amount AS DOUBLE) AS dividend_amount, o_orderkey"
 SPREADS = """
 spreads AS (
-  SELECT *, floor(10000.0 * abs(CAST(bse_close AS DOUBLE) - CAST(nse_close AS DOUBLE)) / ((CAST(bse_close AS DOUBLE) + CAST(nse_close AS DOUBLE)) / 2.0) * 1e4 + 0.5) / 1e4 AS spread_bps
+  SELECT *, CAST((400000000 * CAST(abs(bse_close - nse_close) * 10000 AS HUGEINT) + CAST((bse_close + nse_close) * 10000 AS HUGEINT)) // (2 * CAST((bse_close + nse_close) * 10000 AS HUGEINT)) AS DOUBLE) / 10000 AS spread_bps
   FROM (SELECT isin, trade_date, max(as_of_date) AS as_of_date, max(close) FILTER (WHERE venue = 'BSE') AS bse_close, max(close) FILTER (WHERE venue = 'NSE') AS nse_close FROM latest_price GROUP BY ALL)
   WHERE bse_close IS NOT NULL AND nse_close IS NOT NULL)"""
 SPREAD_COLUMNS = "isin, CAST(trade_date AS VARCHAR) AS trade_date, CAST(as_of_date AS VARCHAR) AS as_of_date, CAST(bse_close AS DOUBLE) AS bse_close, CAST(nse_close AS DOUBLE) AS nse_close, spread_bps"
 SCHEDULE = """
 effective AS (
-  SELECT isin, ex_date, CAST(ratio_from AS DOUBLE) / CAST(ratio_to AS DOUBLE) AS r FROM (
-    SELECT * FROM corporate_action QUALIFY row_number() OVER (PARTITION BY isin, action_type, ex_date ORDER BY as_of_date DESC, o_orderkey DESC) = 1)
-  WHERE action_type IN ('split', 'bonus', 'consolidation')),
-daily_ratio AS (SELECT isin, ex_date, product(r) AS r FROM effective GROUP BY ALL),
+  SELECT isin, ex_date, CAST(ratio_from AS HUGEINT) AS a, CAST(ratio_to AS HUGEINT) AS b FROM corporate_action
+  WHERE action_type IN ('split', 'bonus', 'consolidation') AND ratio_from <> 0 AND ratio_to <> 0
+  QUALIFY row_number() OVER (PARTITION BY isin, action_type, ex_date ORDER BY as_of_date DESC, o_orderkey DESC) = 1),
+daily_ratio AS (SELECT isin, ex_date, list_reduce(list(a), lambda x, y: x * y) AS a, list_reduce(list(b), lambda x, y: x * y) AS b FROM effective GROUP BY ALL),
 schedule AS (
   SELECT isin, lag(ex_date) OVER (PARTITION BY isin ORDER BY ex_date) AS valid_from, ex_date,
-    product(r) OVER (PARTITION BY isin ORDER BY ex_date DESC ROWS UNBOUNDED PRECEDING) AS factor
-  FROM daily_ratio)"""
+    list_reduce(list(a) OVER w, lambda x, y: x * y) AS held, list_reduce(list(b) OVER w, lambda x, y: x * y) AS after
+  FROM daily_ratio WINDOW w AS (PARTITION BY isin ORDER BY ex_date DESC ROWS UNBOUNDED PRECEDING)),
+scaled_bars AS (
+  SELECT a.isin, venue, trade_date, close, coalesce(held, 1) AS held, coalesce(after, 1) AS after, CAST(close * 10000 AS HUGEINT) * coalesce(held, 1) AS units
+  FROM adjustable a LEFT JOIN schedule s ON a.isin = s.isin AND trade_date < ex_date AND (valid_from IS NULL OR trade_date >= valid_from)),
+adjusted AS (
+  SELECT isin, venue, trade_date, close, round(CAST(held AS DOUBLE) / CAST(after AS DOUBLE), 9) AS factor,
+    units // after + CASE WHEN 2 * (units % after) > after OR (2 * (units % after) = after AND (units // after) % 2 = 1) THEN 1 ELSE 0 END AS adjusted_units
+  FROM scaled_bars)"""
 SPELLS = """
 flagged AS (
   SELECT *, coalesce(scrip_code, '') AS line, CASE WHEN lag(local_symbol) OVER w IS DISTINCT FROM local_symbol THEN 1 ELSE 0 END AS fresh
@@ -215,7 +230,7 @@ _ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str, str]] =
     "latest_delivery": (_deliveries, "", "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(as_of_date AS VARCHAR) AS as_of_date, delivery_quantity FROM latest_delivery"),
     "latest_action": (
         lambda s, d: asof.latest_action(market.corporate_action(s, d), None, _newest()), "",
-        f"SELECT {ACTION_COLUMNS}, CAST(ratio_from AS DOUBLE) / CAST(ratio_to AS DOUBLE) AS adjustment_factor FROM corporate_action QUALIFY row_number() OVER (PARTITION BY isin, action_type, ex_date, qualifier, source_id ORDER BY as_of_date DESC, o_orderkey DESC) = 1"),
+        f"SELECT {ACTION_COLUMNS}, CAST((2000000 * CAST(ratio_from AS HUGEINT) + CAST(ratio_to AS HUGEINT)) // (2 * CAST(ratio_to AS HUGEINT)) AS DOUBLE) / 1000000 AS adjustment_factor FROM corporate_action QUALIFY row_number() OVER (PARTITION BY isin, action_type, ex_date, qualifier, source_id ORDER BY as_of_date DESC, o_orderkey DESC) = 1"),
     "latest_verdict": (
         lambda s, d: asof.latest_verdict(_verdicts(s, d).unionByName(_verdicts(s, d).withColumns({"as_of_date": F.date_add("as_of_date", 1), "bars": (F.col("bars") + 1).cast("int")}))).select("venue", "trade_date", "as_of_date", "bars"), DIVERGENT,
         "SELECT venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(trade_date + 1 AS VARCHAR) AS as_of_date, bars + 1 AS bars FROM verdicts"),
@@ -226,16 +241,24 @@ _ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str, str]] =
         f"SELECT {SPREAD_COLUMNS} FROM spreads"),
     "delivery_participation": (
         lambda s, d: spreads.delivery_participation(_prices(s, d), _deliveries(s, d)), "",
-        "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(greatest(p.as_of_date, q.as_of_date) AS VARCHAR) AS as_of_date, volume, delivery_quantity, floor(100.0 * CAST(delivery_quantity AS DOUBLE) / nullif(CAST(volume AS DOUBLE), 0) * 1e4 + 0.5) / 1e4 AS delivery_pct FROM latest_price p JOIN latest_delivery q USING (isin, venue, trade_date)"),
+        "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(greatest(p.as_of_date, q.as_of_date) AS VARCHAR) AS as_of_date, volume, delivery_quantity, CAST((2000000 * CAST(delivery_quantity AS HUGEINT) + volume) // nullif(2 * volume, 0) AS DOUBLE) / 10000 AS delivery_pct FROM latest_price p JOIN latest_delivery q USING (isin, venue, trade_date)"),
     "delivery_over_volume": (lambda s, d: quality.delivery_over_volume(_prices(s, d), _deliveries(s, d)), "", "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, volume, delivery_quantity FROM latest_price JOIN latest_delivery USING (isin, venue, trade_date) WHERE delivery_quantity > volume"),
     "factor_schedule": (
-        lambda s, d: adjustment.factor_schedule(market.corporate_action(s, d), _newest(), KIND), SCHEDULE, "SELECT isin, CAST(valid_from AS VARCHAR) AS valid_from, CAST(ex_date AS VARCHAR) AS ex_date, factor FROM schedule"),
+        lambda s, d: adjustment.factor_schedule(market.corporate_action(s, d), _newest()).withColumns({c: F.col(c).cast("string") for c in ("held", "after")}).drop("factor"), SCHEDULE,
+        "SELECT isin, CAST(valid_from AS VARCHAR) AS valid_from, CAST(ex_date AS VARCHAR) AS ex_date, CAST(held AS VARCHAR) AS held, CAST(after AS VARCHAR) AS after FROM schedule"),
     "adjusted_close": (
-        lambda s, d: adjustment.adjust(market.adjustable_bars(s, d), market.corporate_action(s, d), _newest(), KIND).withColumn("adjusted_close", F.floor(F.col("close").cast("double") * F.col("factor") * 1e4 + 0.5) / 1e4), SCHEDULE,
-        "SELECT a.isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(close AS DOUBLE) AS close, coalesce(factor, 1.0) AS factor, floor(CAST(close AS DOUBLE) * coalesce(factor, 1.0) * 1e4 + 0.5) / 1e4 AS adjusted_close FROM adjustable a LEFT JOIN schedule s ON a.isin = s.isin AND trade_date < ex_date AND (valid_from IS NULL OR trade_date >= valid_from)"),
+        lambda s, d: _rounded(adjustment.adjust(market.adjustable_bars(s, d), market.corporate_action(s, d), _newest())), SCHEDULE,
+        "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(close AS DOUBLE) AS close, factor, CAST(adjusted_units AS DOUBLE) / 10000 AS adjusted_close FROM adjusted"),
     "adjusted_close_asof": (
-        lambda s, d: adjustment.adjust(market.adjustable_bars(s, d), asof.known_as_of(market.corporate_action(s, d), AS_OF), _newest(), KIND).select("isin", "trade_date", "factor"), SCHEDULE.replace("FROM corporate_action", f"FROM (SELECT * FROM corporate_action WHERE as_of_date <= DATE '{AS_OF}')"),
-        "SELECT a.isin, CAST(trade_date AS VARCHAR) AS trade_date, coalesce(factor, 1.0) AS factor FROM adjustable a LEFT JOIN schedule s ON a.isin = s.isin AND trade_date < ex_date AND (valid_from IS NULL OR trade_date >= valid_from)"),
+        lambda s, d: _rounded(adjustment.adjust(market.adjustable_bars(s, d), asof.known_as_of(market.corporate_action(s, d), AS_OF), _newest())), SCHEDULE.replace("FROM corporate_action", f"FROM (SELECT * FROM corporate_action WHERE as_of_date <= DATE '{AS_OF}')"),
+        "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(close AS DOUBLE) AS close, factor, CAST(adjusted_units AS DOUBLE) / 10000 AS adjusted_close FROM adjusted"),
+    "step_closure": (
+        lambda s, d: adjustment.step_closure(market.adjustable_bars(s, d), market.corporate_action(s, d), _newest()), SCHEDULE,
+        """SELECT x.isin, CAST(x.ex_date AS VARCHAR) AS ex_date, b.venue, CAST(b.trade_date AS VARCHAR) AS before_day, CAST(b.close AS DOUBLE) AS before_close, CAST(b.adjusted_units AS DOUBLE) / 10000 AS adjusted_before,
+  CAST(n.trade_date AS VARCHAR) AS on_day, CAST(n.close AS DOUBLE) AS on_close,
+  CAST((2000000 * CAST(b.close * 10000 AS HUGEINT) + CAST(n.close * 10000 AS HUGEINT)) // (2 * CAST(n.close * 10000 AS HUGEINT)) AS DOUBLE) / 1000000 AS raw_step,
+  CAST((2000000 * CAST(b.adjusted_units AS HUGEINT) + CAST(n.close * 10000 AS HUGEINT)) // (2 * CAST(n.close * 10000 AS HUGEINT)) AS DOUBLE) / 1000000 AS adjusted_step
+FROM schedule x ASOF JOIN adjusted b ON x.isin = b.isin AND x.ex_date > b.trade_date ASOF JOIN adjusted n ON x.isin = n.isin AND x.ex_date <= n.trade_date"""),
     "listing_spells": (lambda s, d: identity.listing_spells(market.observations(s, d), ("trade_date", "event_id")), SPELLS, f"SELECT {SPELL_COLUMNS} FROM spells"),
     "absorbed_spells": (lambda s, d: identity.absorb_untickered(identity.listing_spells(market.observations(s, d), ("trade_date", "event_id"))), SPELLS, f"SELECT {SPELL_COLUMNS} FROM absorbed"),
     "listing_closure": (_listings, SPELLS, "SELECT isin, exchange, local_symbol, scrip_code, CAST(listing_date AS VARCHAR) AS listing_date, CAST(delisting_date AS VARCHAR) AS delisting_date, closure_reason FROM listings"),
@@ -243,8 +266,8 @@ _ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str, str]] =
         lambda s, d: identity.in_force(_daily_observations(s, d).select("isin", "venue", "trade_date"), _listings(s, d)), SPELLS,
         "SELECT o.isin, o.venue, CAST(trade_date AS VARCHAR) AS trade_date, l.local_symbol AS listed_symbol, CAST(listing_date AS VARCHAR) AS listing_date, CAST(delisting_date AS VARCHAR) AS delisting_date FROM (SELECT DISTINCT isin, venue, trade_date FROM observations) o JOIN listings l ON o.isin = l.isin AND o.venue = l.exchange AND trade_date >= listing_date AND (delisting_date IS NULL OR trade_date <= delisting_date)"),
     "span_overlaps": (
-        lambda s, d: identity.overlaps(_listings(s, d).select("isin", "exchange", "listing_date", "delisting_date"), ["isin", "exchange"], "listing_date", "delisting_date").groupBy("isin").agg(F.count("*").alias("n")), SPELLS,
-        "SELECT isin, count(*) AS n FROM (SELECT isin, delisting_date, lead(listing_date) OVER (PARTITION BY isin, exchange ORDER BY listing_date, delisting_date NULLS LAST) AS next_start FROM listings) WHERE next_start IS NOT NULL AND (delisting_date IS NULL OR delisting_date > next_start) GROUP BY 1"),
+        lambda s, d: identity.overlaps(_spans(s, d), ["isin"], "first_day", "last_day"), "",
+        "SELECT isin, CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day, CAST(next_start AS VARCHAR) AS next_start FROM (SELECT *, lead(first_day) OVER (PARTITION BY isin ORDER BY first_day, last_day NULLS LAST) AS next_start FROM (SELECT isin, trade_date AS first_day, CASE WHEN day(trade_date) <> 13 THEN trade_date + CAST(90 + day(trade_date) AS INTEGER) END AS last_day FROM (SELECT DISTINCT isin, trade_date FROM customer_bars))) WHERE next_start IS NOT NULL AND (last_day IS NULL OR last_day > next_start)"),
     "primary_venue": (lambda s, d: identity.derive_primary_venue(_prices(s, d)), PRIMARY, "SELECT isin, CAST(effective_from AS VARCHAR) AS effective_from, CAST(as_of_date AS VARCHAR) AS as_of_date, CAST(effective_to AS VARCHAR) AS effective_to, venue FROM primary_venue"),
     "trailing_turnover": (lambda s, d: identity.trailing_turnover(_prices(s, d)), PRIMARY, "SELECT isin, venue, CAST(computed_on AS VARCHAR) AS computed_on, CAST(turnover AS DOUBLE) AS turnover FROM trailing_sums"),
     "divergences": (lambda s, d: validation.divergences(_prices(s, d)).withColumn("bps", F.floor(F.col("bps") * 1e4 + 0.5) / 1e4), DIVERGENT, "SELECT isin, CAST(trade_date AS VARCHAR) AS trade_date, floor(bps * 1e4 + 0.5) / 1e4 AS bps FROM divergent"),
@@ -255,7 +278,7 @@ _ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str, str]] =
     "key_resolution": (lambda s, d: identity.resolve_keys(_keyed_deliveries(s, d), _dimension(s, d), "BSE")[0], SPELLS, "SELECT k.venue_key, CAST(trade_date AS VARCHAR) AS trade_date, delivery_quantity, isin FROM (SELECT CAST(user_id AS VARCHAR) AS venue_key, CAST(ts AS DATE) AS trade_date, event_id AS delivery_quantity FROM events) k JOIN venue_keys v ON k.venue_key = v.venue_key AND exchange = 'BSE'"),
     "unresolved_keys": (lambda s, d: identity.resolve_keys(_keyed_deliveries(s, d), _dimension(s, d), "BSE")[1], SPELLS, "SELECT DISTINCT CAST(user_id AS VARCHAR) AS venue_key FROM events WHERE CAST(user_id AS VARCHAR) NOT IN (SELECT venue_key FROM venue_keys WHERE exchange = 'BSE')"),
     "schema_version_for_day": (_versioned_days, "", "SELECT 'bars' AS source_id, CAST(trade_date AS VARCHAR) AS trade_date, CASE WHEN trade_date BETWEEN DATE '1995-01-01' AND DATE '1998-07-05' THEN 'old' WHEN trade_date >= DATE '1998-08-01' THEN 'new' END AS version FROM (SELECT DISTINCT trade_date FROM latest_price)"),
-    "orphans": (lambda s, d: quality.orphans(_prices(s, d), market.instruments(s, d), "isin", "isin").groupBy("isin").agg(F.count("*").alias("n")), "", "SELECT isin, count(*) AS n FROM latest_price WHERE isin NOT IN (SELECT isin FROM instruments) GROUP BY 1"),
+    "orphans": (lambda s, d: quality.orphans(market.customer_bars(s, d), market.instruments(s, d), "isin", "isin").groupBy("isin").agg(F.count("*").alias("n")), "", "SELECT isin, count(*) AS n FROM customer_bars WHERE isin NOT IN (SELECT isin FROM instruments) GROUP BY 1"),
     "duplicates": (lambda s, d: quality.duplicates(market.price_daily(s, d), "isin", "venue", "trade_date"), "", "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, count(*) AS n FROM price_daily GROUP BY isin, venue, price_daily.trade_date HAVING count(*) > 1"),
     "integrity_violations": (_violations, "", _rules_sql()),
     "dual_listed_divergent": (
@@ -278,7 +301,7 @@ _ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str, str]] =
     "dominant_line": (
         lambda s, d: identity.dominant_line(market.observations(s, d).select("isin", "venue", F.col("local_symbol").alias("line"), "turnover")), "",
         "SELECT isin, venue, line, CAST(turnover AS DOUBLE) AS turnover FROM (SELECT isin, venue, local_symbol AS line, sum(turnover) AS turnover FROM observations GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY isin, venue ORDER BY turnover DESC, line) = 1"),
-    "instrument_rows": (lambda s, d: identity.derive_instruments(_prices(s, d), market.instruments(s, d)).drop("sector"), "", "SELECT p.isin, coalesce(name, p.isin) AS name, 'IN' AS country, 'equity' AS instrument_type FROM (SELECT DISTINCT isin FROM latest_price) p LEFT JOIN instruments i ON p.isin = i.isin"),
+    "instrument_rows": (lambda s, d: identity.derive_instruments(market.customer_bars(s, d), market.instruments(s, d)).drop("sector"), "", "SELECT p.isin, coalesce(name, p.isin) AS name, 'IN' AS country, 'equity' AS instrument_type FROM (SELECT DISTINCT isin FROM customer_bars) p LEFT JOIN instruments i ON p.isin = i.isin"),
     "venue_last_day": (lambda s, d: identity.last_days(market.observations(s, d)), "", "SELECT venue, CAST(max(trade_date) AS VARCHAR) AS venue_last_day FROM observations GROUP BY 1"),
     "last_bar_before": (
         lambda s, d: asof.first_of_group(_prices(s, d).where(f"trade_date < DATE '{AS_OF}'"), ["isin", "venue"], F.col("trade_date").desc()).select("isin", "venue", "trade_date", "close"), "",
@@ -287,8 +310,8 @@ _ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str, str]] =
     "dataset_span": (
         lambda s, d: _prices(s, d).agg(F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"), F.count_distinct("trade_date").alias("days"), F.count_distinct("isin").alias("instruments"), F.count("*").alias("bars")), "",
         "SELECT CAST(min(trade_date) AS VARCHAR) AS first_day, CAST(max(trade_date) AS VARCHAR) AS last_day, count(DISTINCT trade_date) AS days, count(DISTINCT isin) AS instruments, count(*) AS bars FROM latest_price"),
-    "upsert_merge": (_name_merge, "", "SELECT coalesce(e.isin, n.isin) AS isin, coalesce(n.name, e.name) AS name, CASE WHEN e.isin IS NULL THEN 'new' ELSE 'old' END AS sector FROM instruments e FULL JOIN (SELECT isin, 'N' || CAST(min(trade_date) AS VARCHAR) AS name FROM latest_price GROUP BY 1) n ON e.isin = n.isin"),
-    "insert_if_absent": (_insert, "", "SELECT isin, name FROM instruments UNION ALL SELECT isin, min(venue) FROM latest_price WHERE isin NOT IN (SELECT isin FROM instruments) GROUP BY 1"),
+    "upsert_merge": (_name_merge, "", "SELECT coalesce(e.isin, n.isin) AS isin, coalesce(n.name, e.name) AS name, CASE WHEN e.isin IS NULL THEN 'new' ELSE 'old' END AS sector FROM instruments e FULL JOIN (SELECT isin, 'N' || CAST(min(trade_date) AS VARCHAR) AS name FROM customer_bars GROUP BY 1) n ON e.isin = n.isin"),
+    "insert_if_absent": (_insert, "", "SELECT isin, name FROM instruments UNION ALL SELECT isin, min(venue) FROM customer_bars WHERE isin NOT IN (SELECT isin FROM instruments) GROUP BY 1"),
 }
 
 

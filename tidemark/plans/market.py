@@ -42,12 +42,13 @@ def corporate_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
     kind = F.element_at(F.array(*map(F.lit, ("split", "bonus", "consolidation", "rights", "dividend"))), F.substring("o_orderpriority", 1, 1).cast("int"))
     month = F.trunc(F.col("o_orderdate").cast("date"), "month")
-    many = F.when(F.col("o_orderkey") % 2 == 0, F.lit(2)).otherwise(F.lit(4))
-    down, paid = kind == "consolidation", kind == "dividend"
+    many = F.element_at(F.array(*map(F.lit, (2, 3, 7, 11))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    # Every thirteenth announcement gives no terms.
+    down, paid = kind == "consolidation", (kind == "dividend") | (F.col("o_orderkey") % 13 == 0)
     return orders.select(
         isin(F.col("o_custkey")).alias("isin"), kind.alias("action_type"), month.alias("ex_date"), F.concat(F.lit("src_"), "o_orderstatus").alias("source_id"), F.date_add(month, (F.col("o_orderkey") % 28).cast("int")).alias("as_of_date"),
         F.lit("ordinary").alias("qualifier"), F.when(~paid, F.when(down, many).otherwise(F.lit(1))).cast("decimal(18,6)").alias("ratio_from"), F.when(~paid, F.when(down, F.lit(1)).otherwise(many)).cast("decimal(18,6)").alias("ratio_to"),
-        F.when(paid, F.col("o_totalprice")).cast("decimal(18,4)").alias("dividend_amount"), "o_orderkey",
+        F.when(kind == "dividend", F.col("o_totalprice")).cast("decimal(18,4)").alias("dividend_amount"), "o_orderkey",
     )
 
 
@@ -72,8 +73,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of even keys as the instrument master, so that some bars have no parent."""
-    return _table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(isin(F.col("s_suppkey")).alias("isin"), F.col("s_name").alias("name"))
+    """Suppliers as the instrument master."""
+    return _table(spark, sf_dir, "supplier").select(isin(F.col("s_suppkey")).alias("isin"), F.col("s_name").alias("name"))
+
+
+def customer_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bar for each order of a customer: most of their instruments are not in the master."""
+    return _table(spark, sf_dir, "orders").select(isin(F.col("o_custkey")).alias("isin"), F.lit("NSE").alias("venue"), F.col("o_orderdate").cast("date").alias("trade_date"))
 
 
 #: The same relations for DuckDB, as common table expressions.
@@ -92,13 +98,13 @@ delivery_daily AS (
   SELECT isin, venue, trade_date, as_of_date, CAST(sum(quantity) AS BIGINT) AS delivery_quantity FROM versions WHERE l_returnflag = 'N' GROUP BY ALL),
 corporate_action AS (
   SELECT isin, action_type, ex_date, source_id, as_of_date, 'ordinary' AS qualifier, o_orderkey,
-    CAST(CASE WHEN action_type = 'dividend' THEN NULL WHEN action_type = 'consolidation' THEN many ELSE 1 END AS DECIMAL(18,6)) AS ratio_from,
-    CAST(CASE WHEN action_type = 'dividend' THEN NULL WHEN action_type = 'consolidation' THEN 1 ELSE many END AS DECIMAL(18,6)) AS ratio_to,
+    CAST(CASE WHEN action_type = 'dividend' OR o_orderkey % 13 = 0 THEN NULL WHEN action_type = 'consolidation' THEN many ELSE 1 END AS DECIMAL(18,6)) AS ratio_from,
+    CAST(CASE WHEN action_type = 'dividend' OR o_orderkey % 13 = 0 THEN NULL WHEN action_type = 'consolidation' THEN 1 ELSE many END AS DECIMAL(18,6)) AS ratio_to,
     CAST(CASE WHEN action_type = 'dividend' THEN o_totalprice END AS DECIMAL(18,4)) AS dividend_amount
   FROM (SELECT 'IN' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '0' AS isin,
       list_extract(['split', 'bonus', 'consolidation', 'rights', 'dividend'], CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS action_type,
       CAST(date_trunc('month', o_orderdate) AS DATE) AS ex_date, 'src_' || o_orderstatus AS source_id,
-      CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(o_orderkey % 28 AS INTEGER) AS as_of_date, o_orderkey, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 4 END AS many
+      CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(o_orderkey % 28 AS INTEGER) AS as_of_date, o_orderkey, o_totalprice, list_extract([2, 3, 7, 11], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS many
     FROM orders)),
 adjustable AS (
   SELECT 'IN' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '0' AS isin, 'NSE' AS venue, CAST(l_shipdate AS DATE) AS trade_date, max(CAST(l_extendedprice AS DECIMAL(18,4))) AS close
@@ -108,7 +114,8 @@ observations AS (
     CASE WHEN user_id % 3 = 0 AND CAST(ts AS DATE) < DATE '2024-01-04' THEN CAST(user_id AS VARCHAR) ELSE event_type END AS local_symbol,
     CASE WHEN user_id % 3 = 0 THEN CAST(user_id AS VARCHAR) END AS scrip_code, CAST(value AS DECIMAL(20,2)) AS turnover
   FROM events),
-instruments AS (SELECT 'IN' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '0' AS isin, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0),
+instruments AS (SELECT 'IN' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || '0' AS isin, s_name AS name FROM supplier),
+customer_bars AS (SELECT 'IN' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '0' AS isin, 'NSE' AS venue, CAST(o_orderdate AS DATE) AS trade_date FROM orders),
 latest_price AS (SELECT * FROM price_daily QUALIFY row_number() OVER (PARTITION BY isin, venue, trade_date ORDER BY as_of_date DESC) = 1),
 latest_delivery AS (SELECT * FROM delivery_daily QUALIFY row_number() OVER (PARTITION BY isin, venue, trade_date ORDER BY as_of_date DESC) = 1)
 """
