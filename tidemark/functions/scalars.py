@@ -57,4 +57,8 @@ def no_places(c: Column) -> Column:
 
 
 def market_date(c: Column, pattern: str) -> Column:
-    return F.to_date(F.trim(c), pattern)
+    """A day written in ``pattern``; years of two digits from 69 on are of the last century."""
+    day = F.to_date(F.trim(c), pattern)
+    if "yyyy" in pattern:
+        return day
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)

@@ -16,9 +16,14 @@ class UnresolvableInstrument(ValueError):
     """Rows whose instrument can't be named."""
 
 
+def unresolvable(bars: DataFrame) -> DataFrame:
+    """Rows whose code is no ISIN; null is none."""
+    return bars.where(F.col("isin").isNull() | ~is_isin(F.col("isin")))
+
+
 def require_resolvable(bars: DataFrame) -> DataFrame:
     """``bars``, or an error with the count and first five of the codes that are no ISIN."""
-    bad = bars.where(F.col("isin").isNull() | ~is_isin(F.col("isin")))
+    bad = unresolvable(bars)
     n = bad.count()
     if n:
         first = [r.isin for r in bad.select("isin").distinct().orderBy(F.col("isin").asc_nulls_last()).limit(5).collect()]
@@ -113,6 +118,21 @@ def dominant_line(turnover: DataFrame) -> DataFrame:
     return first_of_group(summed, ["isin", "venue"], F.col("turnover").desc(), F.col("line"))
 
 
+def dominant_only(rows: DataFrame, dominant: DataFrame) -> DataFrame:
+    """Rows of each instrument's dominant line at a venue."""
+    return rows.join(dominant.select("isin", "venue", "line"), ["isin", "venue", "line"], "left_semi")
+
+
+def first_bars(bars: DataFrame) -> DataFrame:
+    """``isin`` and the first day that it traded, on any venue."""
+    return bars.groupBy("isin").agg(F.min("trade_date").alias("first_day"))
+
+
+def fresh_isins(bars: DataFrame, actions: DataFrame) -> DataFrame:
+    """Actions whose ex-date is their instrument's first day: a new face value brings a new ISIN, without earlier history."""
+    return actions.join(first_bars(bars), "isin").where("first_day = ex_date")
+
+
 def computation_days(bars: DataFrame) -> DataFrame:
     """Month ends in the range of all bars, and its last day."""
     span = bars.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b")).where("a IS NOT NULL")

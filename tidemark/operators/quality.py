@@ -83,6 +83,11 @@ def wide_spreads(spreads: DataFrame, limit_bps: float = s.DIVERGENCE_LIMIT_BPS)
     return spreads.where(F.col("spread_bps") > limit_bps)
 
 
+def shared(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys that both sides have; expected to be none where they should be disjoint."""
+    return left.select(key).intersect(right.select(key))
+
+
 def missing_columns(df: DataFrame, required) -> list[str]:
     """Required columns that aren't there, sorted; names are compared without outer spaces."""
     return sorted(set(required) - {c.strip() for c in df.columns})

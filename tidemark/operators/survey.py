@@ -29,15 +29,19 @@ def calendar_gaps(bars: DataFrame, keys: tuple[str, ...] = ("isin", "venue")) ->
     return bars.withColumn("_gap", F.datediff("trade_date", F.lag("trade_date").over(w))).groupBy(*keys).agg(F.max("_gap").alias("gap"))
 
 
-def trading_gaps(bars: DataFrame) -> DataFrame:
-    """The most of a venue's trading days strictly between neighbouring bars of an instrument.
+def _numbered(bars: DataFrame) -> DataFrame:
+    """``bars`` with ``_gap``: the venue's trading days strictly between a bar and the one before it of its instrument.
 
     A venue's days are numbered once, so a gap is a difference of numbers; a venue has few days, whatever its bars.
     """
     days = bars.select("venue", "trade_date").distinct().withColumn("_no", F.row_number().over(Window.partitionBy("venue").orderBy("trade_date")))
     w = Window.partitionBy("isin", "venue").orderBy("trade_date")
-    between = F.greatest(F.col("_no") - F.lag("_no").over(w) - 1, F.lit(0))
-    return bars.join(days, ["venue", "trade_date"]).withColumn("_gap", between).groupBy("isin", "venue").agg(F.coalesce(F.max("_gap"), F.lit(0)).alias("longest_gap"))
+    return bars.join(days, ["venue", "trade_date"]).withColumn("_gap", F.greatest(F.col("_no") - F.lag("_no").over(w) - 1, F.lit(0)))
+
+
+def trading_gaps(bars: DataFrame) -> DataFrame:
+    """The most of a venue's trading days strictly between neighbouring bars of an instrument."""
+    return _numbered(bars).groupBy("isin", "venue").agg(F.coalesce(F.max("_gap"), F.lit(0)).alias("longest_gap"))
 
 
 def worst_ratios(bars: DataFrame) -> DataFrame:
@@ -47,11 +51,39 @@ def worst_ratios(bars: DataFrame) -> DataFrame:
 
 
 def track_survey(bars: DataFrame) -> DataFrame:
-    """First and last day, days, symbols, turnover, worst ratio and longest gap for each (isin, venue)."""
-    base = bars.groupBy("isin", "venue").agg(
-        F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"), F.count("*").alias("days"), F.count_distinct("local_symbol").alias("symbols"), F.sum(F.coalesce("turnover", F.lit(0))).alias("turnover"),
+    """First and last day, days, symbols, turnover, worst ratio and longest gap for each (isin, venue).
+
+    One pass: the gap's window and the aggregate share their keys, so the bars are shuffled once.
+    """
+    rated = F.when(F.col("previous_close") > 0, F.struct((F.col("close").cast("double") / F.nullif(F.col("previous_close"), F.lit(0)).cast("double")).alias("ratio"), F.col("trade_date").alias("day")))
+    tracked = _numbered(bars.withColumn("_worst", rated)).groupBy("isin", "venue").agg(
+        F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"), F.count("*").alias("days"), F.size(F.collect_set("local_symbol")).cast("long").alias("symbols"), F.sum(F.coalesce("turnover", F.lit(0))).alias("turnover"),
+        F.min("_worst").alias("_worst"), F.coalesce(F.max("_gap"), F.lit(0)).alias("longest_gap"),
     )
-    return base.join(worst_ratios(bars), ["isin", "venue"], "left").join(trading_gaps(bars), ["isin", "venue"])
+    return tracked.select("isin", "venue", "first_day", "last_day", "days", "symbols", "turnover", F.col("_worst.ratio").alias("worst_ratio"), F.col("_worst.day").alias("worst_ratio_day"), "longest_gap")
+
+
+def run_counters(instruments: DataFrame, prices: DataFrame, lines: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row: how many instruments, price rows, lines and actions a run wrote."""
+    counts = [df.agg(F.count("*").alias(n)) for df, n in ((instruments, "instruments"), (prices, "price_rows"), (lines, "lines"), (actions, "actions"))]
+    named = [c.select(F.lit(c.columns[0]).alias("name"), F.col(c.columns[0]).alias("n")) for c in counts]
+    every = named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+    return every.agg(*(F.max(F.when(F.col("name") == c.columns[0], F.col("n"))).alias(c.columns[0]) for c in counts))
+
+
+def survey_json(tracks: DataFrame) -> DataFrame:
+    """``isin`` and ``value``: a JSON object of venue to facts for each instrument, decimals as text."""
+    facts = [c for c in tracks.columns if c not in ("isin", "venue")]
+    text = [F.col(c).cast("string").alias(c) if k.startswith("decimal") else F.col(c) for c, k in tracks.dtypes if c in facts]
+    return tracks.groupBy("isin").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("venue", F.struct(*text))))).alias("value"))
+
+
+def read_survey(lines: DataFrame, like: DataFrame) -> DataFrame:
+    """Tracks from the lines of ``survey_json``, with the columns and types of ``like``."""
+    kinds = {c: k for c, k in like.dtypes if c not in ("isin", "venue")}
+    fields = ", ".join(f"{c}: {'string' if k.startswith('decimal') else k}" for c, k in kinds.items())
+    opened = lines.select("isin", F.explode(F.from_json("value", f"map<string, struct<{fields}>>")).alias("venue", "facts"))
+    return opened.select("isin", "venue", *(F.col(f"facts.{c}").cast(k).alias(c) for c, k in kinds.items()))
 
 
 def requirements(tracks: DataFrame, range_end: Column) -> DataFrame:

@@ -9,12 +9,14 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import blank_to_null, collapse_spaces, market_date, strip_zeros
+from tidemark.operators.asof import first_of_group
 from tidemark.operators.quality import missing_columns
 from tidemark.schemas import BAR, CORPORATE_ACTION, EQUITY_SERIES
 
@@ -125,14 +127,19 @@ def read_actions(spark: SparkSession, path: str) -> DataFrame:
 
     Missing fields are found in the data, record by record, since a reader with a schema would make them null.
     """
-    raw = spark.read.text(path, wholetext=True)
+    return parse_actions(spark.read.text(path, wholetext=True))
+
+
+def parse_actions(raw: DataFrame) -> DataFrame:
+    """The records of payloads (column ``value``), as in ``read_actions``; ``ordinal`` is a record's place in its payload."""
     items = F.from_json("value", "array<map<string,string>>", {"mode": "PERMISSIVE"})
     opened = raw.select(F.when(F.ltrim("value").startswith("["), items).alias("items"))
     listed = F.when(F.col("items").isNull(), F.raise_error(F.lit("the corporate-action payload is no list of records"))).otherwise(F.col("items"))
-    rows = opened.select(F.posexplode(listed).alias("ordinal", "r"))
-    absent = F.concat_ws(", ", *(F.when(~F.map_contains_key("r", n), n) for n in sorted(ACTION_FIELDS)))
-    value = lambda n: F.when(absent == "", F.get_json_object(F.to_json("r"), f"$.{n}")).otherwise(F.raise_error(F.concat(F.lit("a corporate action is missing "), absent)))
-    return rows.select("ordinal", value("scrip_code").alias("scrip_code"), value("Purpose").alias("purpose"), value("exdate").alias("exdate"))
+    absent = lambda r: F.concat_ws(", ", *(F.when(~F.map_contains_key(r, n), n) for n in sorted(ACTION_FIELDS)))
+    whole = lambda r: F.when(absent(r) == "", r).otherwise(F.raise_error(F.concat(F.lit("a corporate action is missing "), absent(r))))
+    # The list is checked before it is opened, so that later steps read plain columns.
+    rows = opened.select(F.posexplode(F.transform(listed, whole)).alias("ordinal", "r"))
+    return rows.select("ordinal", *(F.try_element_at("r", F.lit(n)).alias(c) for n, c in (("scrip_code", "scrip_code"), ("Purpose", "purpose"), ("exdate", "exdate"))))
 
 
 def parse_purpose(text: Column) -> Column:
@@ -170,27 +177,86 @@ def normalize_actions(rows: DataFrame, scrips: DataFrame, as_of: str, source_id:
     return dated.select(*(F.col(f.name).cast(f.dataType) for f in CORPORATE_ACTION)), unhandled
 
 
-def unzip(files: DataFrame, suffix: str | None = None) -> DataFrame:
-    """(path, name, content) of archives that hold exactly one entry (ending in ``suffix``, if given).
+def bse_scrips(listings: DataFrame) -> DataFrame:
+    """The instrument behind each code of the listings on BSE; of several the one listed last."""
+    coded = listings.where("exchange = 'BSE' AND scrip_code IS NOT NULL")
+    return first_of_group(coded, ["scrip_code"], F.col("listing_date").desc(), F.col("isin").desc()).select("scrip_code", "isin")
+
 
-    Spark has no zip codec, so each file is opened in a task; a file is a row, and no row meets another.
+def unzip_each(files: DataFrame, suffix: str | None = None) -> DataFrame:
+    """(path, name, content, error) of archives that should hold exactly one entry (ending in ``suffix``, if given).
+
+    An archive that can't be read, or holds another number of entries, is a row with ``error`` alone, so the rest of
+    a job goes on. Spark has no zip codec, so each file is opened in a task; a file is a row, and no row meets another.
     """
 
+    def opened(path: str, content: bytes) -> tuple:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                names = [n for n in z.namelist() if suffix is None or n.lower().endswith(suffix)]
+                return (path, names[0], z.read(names[0]), None) if len(names) == 1 else (path, None, None, f"{path} holds {len(names)} entries where one is expected")
+        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError) as e:
+            return path, None, None, f"{path} is no archive: {e}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        names = [n for n in z.namelist() if suffix is None or n.lower().endswith(suffix)]
-                        if len(names) != 1:
-                            raise SourceUnavailable(f"{path} holds {len(names)} entries where one is expected")
-                        out.append((path, names[0], z.read(names[0])))
-                except zipfile.BadZipFile as e:
-                    raise SourceUnavailable(f"{path} is no archive: {e}") from e
-            yield pd.DataFrame(out, columns=["path", "name", "content"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, name string, content binary")
+            yield pd.DataFrame([opened(*row) for row in zip(batch["path"], batch["content"])], columns=["path", "name", "content", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, content binary, error string")
+
+
+def unzip(files: DataFrame, suffix: str | None = None) -> DataFrame:
+    """(path, name, content) of archives of one entry; one that isn't fails the read."""
+    whole = F.col("error").isNull() | F.raise_error(F.col("error")).isNotNull()
+    return unzip_each(files, suffix).where(whole).drop("error")
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(path, at, value): the lines of text contents, numbered from 0; line ends and a byte order mark are dropped."""
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    return files.select("path", F.posexplode(F.split(text, "\r\n|\n|\r")).alias("at", "value"))
+
+
+def csv_of(lines: DataFrame, header: str) -> DataFrame:
+    """Lines (column ``value``) that follow a header, as text columns of its names; the header itself and blank lines go."""
+    names = header.lstrip("\ufeff").split(",")
+    parsed = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"quote": '"', "escape": '"'})
+    return lines.where((F.trim("value") != "") & (F.col("value") != header)).select(parsed.alias("r")).select("r.*")
+
+
+#: The parser of each venue and schema version.
+PARSERS = {("BSE", "udiff"): parse_udiff, ("NSE", "udiff"): parse_udiff, ("BSE", "legacy"): parse_bse_legacy, ("NSE", "legacy"): parse_nse_legacy}
+
+
+def read_rows(raw: DataFrame, venue: str, version: str) -> DataFrame:
+    """Canonical bars of raw rows of one venue and schema version: parse, then normalize."""
+    if (venue, version) not in PARSERS:
+        raise SchemaDrift(f"no parser for {version} of {venue}")
+    return normalize_bars(PARSERS[venue, version](raw), venue)
+
+
+def read_day(spark: SparkSession, path: str, venue: str, version: str | None) -> DataFrame:
+    """Canonical bars of a day's file, plain or zipped, in the schema version in force that day; none in force is an error.
+
+    The header is the file's first line. A zipped file is opened in a task and its lines are split there.
+    """
+    if version is None:
+        raise SchemaDrift(f"no schema version of {venue} is in force for {path}")
+    if not path.endswith(".zip"):
+        return read_rows(read_csv(spark, path), venue, version)
+    lines = lines_of(unzip(spark.read.format("binaryFile").load(path), ".csv"))
+    return read_rows(csv_of(lines, lines.where("at = 0").first()["value"]), venue, version)
+
+
+def read_bse_delivery(spark: SparkSession, path: str) -> DataFrame:
+    """Delivered quantities of a zipped BSE file: its one entry's lines, the first of which is the header."""
+    lines = lines_of(unzip(spark.read.format("binaryFile").load(path)))
+    return parse_bse_delivery(lines.where("at > 0").select("value"), lines.where("at = 0").first()["value"])
+
+
+def concatenate(*parts: DataFrame) -> DataFrame:
+    """The rows of several adapters, days or venues, by column name."""
+    return reduce(DataFrame.unionByName, parts)
 
 
 def not_error_pages(files: DataFrame) -> DataFrame:
