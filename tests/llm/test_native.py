@@ -39,6 +39,8 @@ def test_ownership(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, owner string")
     found = secret_scan.judged(secret_scan.candidates(secret_scan.scan(df, F.col("doc_id"), F.col("owner")))).collect()
     got = {(r.doc_id, r.verdict, r.n_repositories, r.n_owners) for r in found}
+    digest = {r.doc_id: (r.most_repositories, r.most_owners) for r in secret_scan.digest(df, F.col("doc_id"), F.col("owner")).collect()}
+    assert digest[0] == (40, 4) and digest[50] == (2, 1)
     assert {(0, "copied", 40, 4), (50, "live", 2, 1), (51, "live", 2, 1), (52, "unclear", 1, 1)} <= got
 
 
@@ -69,31 +71,70 @@ def test_private_keys(spark):
     assert out == {1: f"a [SECRET] é {header} z", 2: "b [SECRET]", 9: f"{header} and [SECRET] end", **{3 + i: f"c {copied}" for i in range(3)}}
 
 
-def plain_prints(text, gram, w=winnowing.W):
-    """The definition: of every w neighbours the rightmost least."""
-    if not gram:
+def plain_prints(text, k=winnowing.K, w=winnowing.W):
+    """The definition, one character after the other: a rolling hash, and of every w neighbours the rightmost least."""
+    from xxhash import xxh64_intdigest
+
+    full = (1 << 64) - 1
+    turn = lambda v, n: (v << n % 64 | v >> (64 - n % 64)) & full if n % 64 else v
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    letters = [xxh64_intdigest(c.encode(), 42) for c in text]
+    if not text:
         return []
+    if len(text) < k:
+        return [(signed(xxh64_intdigest(text.encode(), 42)), 0)]
+    rolling, h = [], 0
+    for i, v in enumerate(letters):
+        h = turn(h, 1) ^ v
+        if i >= k:
+            h ^= turn(letters[i - k], k)
+        if i >= k - 1:
+            rolling.append(h)
+    gram = [(signed(v), i) for i, v in enumerate(rolling)]
     windows = [gram[i : i + w] for i in range(len(gram) - w + 1)] or [gram]
-    return sorted({min(win, key=lambda x: (x[0], -x[1])) for win in windows}, key=lambda x: x[1])
+    return sorted({min(win, key=lambda x: (x[0] | 63, -x[1])) for win in windows}, key=lambda x: x[1])
+
+
+def read(shown):
+    parts = [p.split(":") for p in shown.split(",")] if shown else []
+    return [(int(h, 16) - (1 << 64) if int(h, 16) >> 63 else int(h, 16), int(p)) for h, p in parts]
 
 
-def test_winnowing(spark):
+def alike(a, b):
+    a, b = {x[0] for x in a}, {x[0] for x in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_winnowing(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "BLOCK", 64)
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choice("a bb ccc é 日本 x" .split()) for _ in range(rng.choice([0, 1, 4, 5, 6, 12, 13, 60])))) for i in range(60)] + [(70, "z" * 300), (71, None), (71, None)]
-    df = winnowing.fingerprints(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, prints int"))
-    packed = winnowing.packed(winnowing.token_hashes(F.col("text")))
-    for r in df.select("text", "prints", packed.alias("p")).collect():
-        last = (1 << 31) - 1
-        grams = [(v >> 31, last - (v & last)) for v in r.p]
-        n = len(re.findall(winnowing.TOKEN, r.text))
-        assert [g[1] for g in grams] == list(range(max(n - winnowing.K + 1, min(n, 1))))
-        assert [(v >> 31, last - (v & last)) for v in r.prints] == plain_prints(r.text, grams)
+    rows = [(i, "".join(rng.choice("ab\né 日😀x") for _ in range(rng.choice([0, 1, 15, 16, 17, 46, 47, 48, 63, 64, 65, 110, 111, 112, 300])))) for i in range(90)] + [(200, "z" * 300), (201, None), (201, None), (202, "ab" * 200)]
+    out = winnowing.fingerprints(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, prints int")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert [tuple(x) for x in r.prints] == plain_prints(r.text), r.text
+
+
+def test_shared_runs_leave_a_common_fingerprint(spark):
+    """The guarantee, on text without white space: any run of K + W - 1 code points, wherever it stands."""
+    rng = random.Random(9)
+    chars = [chr(0x4E00 + i) for i in range(3000)]
+    text = "".join(rng.choice(chars) for _ in range(3000))
+    rows = [(0, text), (1, "中" + text)] + [(2 + i, "".join(rng.choice(chars) for _ in range(rng.randint(0, 90))) + text[(a := rng.randrange(2900)) : a + winnowing.K + winnowing.W - 1]) for i in range(30)]
+    out = {r.doc_id: {x.hash for x in r.prints} for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[0] & out[i] for i in range(1, 32)) and len(out[0] & out[1]) >= len(out[0]) - 1
+
+
+def test_very_long_text(spark):
+    df = spark.range(1).select("id", F.concat(F.repeat(F.lit("the quick brown fox 日本 "), 430_000), F.lit("end")).alias("text")).select(F.col("id").alias("doc_id"), "text")
+    row = winnowing.fingerprints(df).select(F.length("text").alias("n"), F.size("prints").alias("k"), F.element_at("prints", -1)["pos"].alias("last")).first()
+    assert row.n > 9_000_000 and row.k > row.n // winnowing.W and row.n - row.last < winnowing.K + winnowing.W
 
 
 @pytest.mark.parametrize("partitions", [1, 3])
 def test_edited(spark, partitions):
     rng = random.Random(1)
-    rows = [(i * 7, "".join(rng.choice("ab é日 ") for _ in range(rng.randint(0, 120)))) for i in range(90)]
+    rows = [(i * 7, "".join(rng.choice("ab é日 ") for _ in range(rng.randint(0, 260)))) for i in range(90)]
     out = {r.doc_id: r for r in winnowing.compare_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()}
     assert len(out) == len(rows)
     for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
@@ -101,7 +142,8 @@ def test_edited(spark, partitions):
         edited = t[: len(t) - h] + following[:h]
         r = out[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and (r.near_edited == 1 or edited != t) and (r.near_next == 1 or following != t)
+        assert read(r.fingerprint) == plain_prints(t) and read(r.edited_fingerprint) == plain_prints(edited)
+        assert r.near_edited == alike(plain_prints(t), plain_prints(edited)) and r.near_next == alike(plain_prints(t), plain_prints(following))
 
 
 def test_edge_tables(spark):
@@ -113,3 +155,9 @@ def test_edge_tables(spark):
     assert len(out) == 3 and sum(r.near_next == 1 for r in out) == 1
     one = winnowing.compare_edited(rows.limit(1)).first()
     assert one.near_next == one.near_edited == 1
+
+
+def test_very_many_secrets_in_one_text(spark):
+    df = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("token=a1b2c3d4 é "), 620_000).alias("text"))
+    row = secret_scan.digest(df.where("doc_id = 1"), F.col("doc_id"), F.lit("o")).select("n_assign", F.length("spans").alias("n")).first()
+    assert row.n_assign == 620_000 and row.n > 10_000_000

@@ -1,54 +1,96 @@
 """Document fingerprints by winnowing, in built-in functions only.
 
-A text is cut into tokens, each run of ``K`` tokens (a gram) is hashed, and of every ``W`` neighbouring hashes the
-least is kept, the rightmost among equals. Any run of ``K + W - 1`` tokens that two texts share leaves a common
-fingerprint, and the kept positions say where. Hash and position are one number, so that the least number is
-the least hash with the rightmost position: 32 bits of hash, then the position counted downwards in 31 bits.
+Every run of ``K`` code points (a gram) has a rolling hash, the cyclic polynomial: each character's hash, turned left
+by its distance from the gram's end, xor-ed together. Spark's arrays carry no state from element to element without
+being copied, so the same values are made by doubling: a gram of 2m is its first half turned by m, xor its second.
+Of every ``W`` neighbouring hashes the least is kept, the rightmost among equals. Any run of ``K + W - 1`` code points
+that two texts share leaves a common fingerprint, and the kept positions say where.
+
+Texts are cut into blocks that reach a window into the next, so arrays stay short however long a text is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W = 5, 8
-#: Runs of up to 16 characters that are no white space: long unbroken texts have many tokens too.
-TOKEN = r"\S{1,16}"
-_LAST = (1 << 31) - 1
+#: Code points of a gram and grams of a window; both are powers of two, and a window is 64 grams at most.
+K, W = 16, 32
+REACH = K + W - 2
+#: Code points of a block.
+BLOCK = 4096
+#: Hashes are compared by the bits above these; the bits hold a gram's place in its window.
+_PLACES = 63
+_NONE = "array<struct<hash: bigint, pos: bigint>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pairs(values: Column, step: int, merge: Callable[[Column, Column], Column]) -> Column:
+    """Each value merged with the one ``step`` behind it."""
+    return _let(values, lambda v: F.transform(F.slice(v, 1, F.greatest(F.size(v) - step, F.lit(0))), lambda x, i: merge(x, F.get(v, i + step))))
+
+
+def grams(text: Column) -> Column:
+    """The rolling hash of each run of ``K`` code points; none in a shorter text."""
+    out, m = F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), 1
+    while m < K:
+        out = _pairs(out, m, lambda a, b, m=m: F.shiftleft(a, m).bitwiseOR(F.shiftrightunsigned(a, 64 - m)).bitwiseXOR(b))
+        m *= 2
+    return out
+
+
+def _least(hashes: Column) -> Column:
+    """For each window of ``W`` hashes, the place of the least of them, the rightmost among equals."""
+    out, m = F.transform(hashes, lambda h: h.bitwiseOR(F.lit(_PLACES).cast("long"))), 1
+    while m < W:  # a place is counted down from the window's start, so that it is the lesser the farther right
+        out = _pairs(out, m, lambda a, b, m=m: F.least(a, b - m))
+        m *= 2
+    return F.transform(out, lambda v, i: i.cast("long") + _PLACES - v.bitwiseAND(F.lit(_PLACES).cast("long")))
 
 
-def token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+def _block(text: Column, offset: Column) -> Column:
+    """Selected (hash, pos) of a block that has a whole window."""
+    found = lambda h: F.transform(F.array_distinct(_least(h)), lambda p: F.struct(F.get(h, p.cast("int")).alias("hash"), (p + offset).alias("pos")))
+    return _let(grams(text), found)
 
 
-def packed(tokens: Column) -> Column:
-    """A number for each gram: its hash, then its position downwards. Fewer tokens than ``K`` are one gram."""
-    n = F.size(tokens)
-    number = lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(0xFFFFFFFF)), 31) + (F.lit(_LAST) - i).cast("long")
-    grams = F.transform(F.slice(tokens, 1, F.greatest(n - (K - 1), F.lit(0))), lambda h, i: number(F.xxhash64(h, *(F.get(tokens, i + j) for j in range(1, K))), i))
-    return F.when(n >= K, grams).when(n > 0, F.array(number(F.xxhash64(tokens), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+def _short(text: Column) -> Column:
+    """That of a text shorter than a window: its least gram, the rightmost among equals, or the whole text as one."""
+    top = lambda h: h.bitwiseOR(F.lit(_PLACES).cast("long"))
+    packed = lambda h: F.array_min(F.transform(h, lambda v, i: F.struct(top(v).alias("key"), (-i).cast("long").alias("back"), v.alias("hash"))))
+    one = lambda x: F.array(F.struct(x["hash"].alias("hash"), (-x["back"]).alias("pos")))
+    whole = F.array(F.struct(F.xxhash64(text).alias("hash"), F.lit(0).cast("long").alias("pos")))
+    return F.when(F.length(text) >= K, _let(packed(grams(text)), one)).when(F.length(text) > 0, whole).otherwise(F.array().cast(_NONE)).cast(_NONE)
 
 
-def selected(numbers: Column) -> Column:
-    """The least number of each window, each once, by position; a text shorter than a window is one window."""
-    n = F.size(numbers)
-    least = F.transform(F.slice(numbers, 1, F.greatest(n - (W - 1), F.lit(0))), lambda v, i: F.least(v, *(F.get(numbers, i + j) for j in range(1, W))))
-    return F.when(n >= W, F.array_distinct(least)).when(n > 0, F.array(F.array_min(numbers))).otherwise(F.array().cast("array<bigint>"))
+def selected(text: Column) -> Column:
+    """(hash, pos) of each fingerprint of a text, by position."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    reaching = lambda bs: F.transform(bs, lambda b, i: F.concat(b, F.left(F.coalesce(F.get(bs, i + 1), F.lit("")), F.lit(REACH))))
+    each = lambda xs: F.flatten(F.transform(xs, lambda x, i: F.when(F.length(x) > REACH, _block(x, i.cast("long") * BLOCK)).otherwise(F.array().cast(_NONE)).cast(_NONE)))
+    # Windows on either side of a cut may name one place.
+    once = lambda found: F.filter(found, lambda f, i: (i == 0) | (F.get(found, i - 1)["pos"] != f["pos"]))
+    return F.when(F.length(text) > REACH, _let(_let(_let(blocks, reaching), each), once)).otherwise(_short(text))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the selected numbers of column ``text`` as ``out``; each step is a column of its own, made once a row."""
-    t, p = f"_{out}_tokens", f"_{out}_packed"
-    return df.withColumn(t, token_hashes(F.col(text))).withColumn(p, packed(F.col(t))).withColumn(out, selected(F.col(p))).drop(t, p)
+    """``df`` with the fingerprint of column ``text`` as ``out``."""
+    return df.withColumn(out, selected(F.col(text)))
 
 
-def shown(numbers: Column) -> Column:
+def shown(found: Column) -> Column:
     """``hash:position`` of each fingerprint, joined by commas."""
-    return F.concat_ws(",", F.transform(numbers, lambda v: F.concat_ws(":", F.lpad(F.lower(F.hex(F.shiftright(v, 31))), 8, "0"), (F.lit(_LAST) - v.bitwiseAND(F.lit(_LAST))).cast("string"))))
+    return F.concat_ws(",", F.transform(found, lambda f: F.concat_ws(":", F.lpad(F.lower(F.hex(f["hash"])), 16, "0"), f["pos"].cast("string"))))
 
 
-def hash_set(numbers: Column) -> Column:
-    return F.array_distinct(F.transform(numbers, lambda v: F.shiftright(v, 31)))
+def hash_set(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda f: f["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,7 +125,7 @@ def with_next(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` (null: empty) and ``prints``: hash and position packed; see ``shown`` and ``hash_set``."""
+    """``doc_id``, ``text`` (null: empty) and ``prints`` (hash, pos); see ``shown`` and ``hash_set``."""
     return with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "prints")
 
 
