@@ -47,10 +47,14 @@ def grams(text: Column) -> Column:
 
 def _least(hashes: Column) -> Column:
     """For each window of ``W`` hashes, the place of the least of them, the rightmost among equals."""
+    # A place is counted down from the window's start, so that it is the lesser the farther right.
+    at = lambda v, i, step: F.get(v, i + step) - step
+    quads = lambda xs, m: _let(xs, lambda v: F.transform(F.slice(v, 1, F.greatest(F.size(v) - 3 * m, F.lit(0))), lambda x, i: F.least(x, at(v, i, m), at(v, i, 2 * m), at(v, i, 3 * m))))
     out, m = F.transform(hashes, lambda h: h.bitwiseOR(F.lit(_PLACES).cast("long"))), 1
-    while m < W:  # a place is counted down from the window's start, so that it is the lesser the farther right
-        out = _pairs(out, m, lambda a, b, m=m: F.least(a, b - m))
-        m *= 2
+    while 4 * m <= W:
+        out, m = quads(out, m), 4 * m
+    if m < W:
+        out = _pairs(out, m, lambda x, y, m=m: F.least(x, y - m))
     return F.transform(out, lambda v, i: i.cast("long") + _PLACES - v.bitwiseAND(F.lit(_PLACES).cast("long")))
 
 
@@ -74,9 +78,31 @@ def selected(text: Column) -> Column:
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
     reaching = lambda bs: F.transform(bs, lambda b, i: F.concat(b, F.left(F.coalesce(F.get(bs, i + 1), F.lit("")), F.lit(REACH))))
     each = lambda xs: F.flatten(F.transform(xs, lambda x, i: F.when(F.length(x) > REACH, _block(x, i.cast("long") * BLOCK)).otherwise(F.array().cast(_NONE)).cast(_NONE)))
-    # Windows on either side of a cut may name one place.
-    once = lambda found: F.filter(found, lambda f, i: (i == 0) | (F.get(found, i - 1)["pos"] != f["pos"]))
-    return F.when(F.length(text) > REACH, _let(_let(_let(blocks, reaching), each), once)).otherwise(_short(text))
+    return F.when(F.length(text) > REACH, _let(_let(_let(blocks, reaching), each), _once)).otherwise(_short(text))
+
+
+def _once(found: Column) -> Column:
+    """Without repeated places: windows on either side of a cut may name one place."""
+    return F.filter(found, lambda f, i: (i == 0) | (F.get(found, i - 1)["pos"] != f["pos"]))
+
+
+def _of_prefix(prefix: Column, found: Column) -> Column:
+    """The selected of a text's windows that lie in a prefix of it: those up to the place that the last window names."""
+    last = F.get(_least(grams(F.right(prefix, F.lit(REACH + 1)))), F.lit(0)) + F.length(prefix) - (REACH + 1)
+    return F.when(F.length(prefix) > REACH, _let(last, lambda p: F.filter(found, lambda f: f["pos"] <= p))).otherwise(F.array().cast(_NONE))
+
+
+def joined_prints(a: Column, found_a: Column, b: Column, found_b: Column) -> Column:
+    """``selected`` of ``a`` followed by ``b``, which are prefixes of texts whose selected are known.
+
+    Windows that lie in one of them are those of its text; only windows across the seam are looked at again.
+    """
+    tail, head = F.right(a, F.lit(REACH)), F.left(b, F.lit(REACH))
+    seam = F.concat(tail, head)
+    across = F.when(F.length(seam) > REACH, _block(seam, (F.length(a) - F.length(tail)).cast("long"))).otherwise(F.array().cast(_NONE)).cast(_NONE)
+    shifted = F.transform(_of_prefix(b, found_b), lambda f: F.struct(f["hash"].alias("hash"), (f["pos"] + F.length(a)).alias("pos")))
+    whole = F.concat(_of_prefix(a, found_a).cast(_NONE), across, shifted.cast(_NONE))
+    return F.when(F.length(a) + F.length(b) > REACH, _let(whole, _once)).otherwise(_short(F.concat(a, b)))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -139,7 +165,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     paired = with_next(fingerprints(docs), "text", "prints")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = paired.select("doc_id", n.cast("long").alias("n_chars"), "prints", "next_prints", F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"))
-    done = with_fingerprint(edited.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_prints").drop("edited")
+    parts = paired.select("doc_id", n.cast("long").alias("n_chars"), "prints", "next_prints", F.left("text", n - half).alias("a"), F.left("next_text", half).alias("b"))
+    done = parts.select("doc_id", "n_chars", "prints", "next_prints", F.sha2(F.concat("a", "b"), 256).alias("edited_sha256"), joined_prints(F.col("a"), F.col("prints"), F.col("b"), F.col("next_prints")).alias("edited_prints"))
     sets = done.withColumns({"_a": hash_set(F.col("prints")), "_b": hash_set(F.col("edited_prints")), "_c": hash_set(F.col("next_prints"))})
     return sets.select("doc_id", "n_chars", "edited_sha256", shown(F.col("prints")).alias("fingerprint"), shown(F.col("edited_prints")).alias("edited_fingerprint"), likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_c")).alias("near_next"))
