@@ -67,6 +67,40 @@ def test_removals_equal_brute_force(spark, monkeypatch, seed, group, shard):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in out)
 
 
+def test_many_rows_of_one_id_or_none(spark):
+    """Rows of one id are ordered by a hash of their text: what goes is what repeats, in number, whichever row comes first."""
+    from xxhash import xxh64_intdigest
+
+    rng = random.Random(5)
+    shared = ["".join(rng.choice("abcdefghij é") for _ in range(150)) for _ in range(20)]
+    rows = [(rng.choice([None, None, 7, i]), "".join(rng.choice("klmnopq") for _ in range(rng.randint(0, 130))) + rng.choice([*shared, ""]) + str(i)) for i in range(2500)]
+    out = sd.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    order = lambda r: (r[0] is not None, r[0] or 0, signed(xxh64_intdigest(r[1].encode(), 42)))
+    want = plain([(i, r[1]) for i, r in enumerate(sorted(rows, key=order))])
+    ids = [r[0] for r in sorted(rows, key=order)]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == sorted(((ids[i], *v) for i, v in want.items()), key=str)
+
+
+def test_large_groups_go_through_every_length_of_gram(spark, monkeypatch):
+    monkeypatch.setattr(sd, "GROUP", 2)
+    rng = random.Random(6)
+    core = "".join(rng.choice("abcdefghijkl") for _ in range(99))
+    text = lambda n: "".join(rng.choice("mnopqrst") for _ in range(n))
+    docs = [(i, text(90) + core[a : a + n] + text(90)) for i in range(60) for a, n in [rng.choice([(0, 33), (20, 66), (5, 85), (2, 95), (0, 99)])]]
+    docs += [(100 + i, text(40) + core + c + text(40)) for i, c in enumerate("xyxzx")]
+    out = sd.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == plain(docs)
+    assert sum(r.n_removed for r in out) > 0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(7)
+    body = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(5_000_000))
+    out = {r.doc_id: r for r in sd.dedup(spark.createDataFrame([(1, body + body), (2, body[100:300])], "doc_id long, text string")).drop("kept").collect()}
+    assert (out[1].n_bytes, out[1].n_removed, out[1].n_spans) == (10_000_000, 5_000_000, 1) and out[2].n_removed == 200
+
+
 def test_edge_rows(spark):
     line = "".join(chr(97 + i % 26) + str(i) for i in range(60))
     rows = [(1, line), (1, line), (2, line), (None, line + "z"), (5, None), (6, ""), (7, "short")]

@@ -12,7 +12,11 @@ next to each other mostly share theirs and form a segment, so there is about one
    algorithm sorts each shard's suffixes: sampled triples are sorted and named, the string of names is sorted
    in the same way, the other suffixes are sorted by their first byte and the rank that follows, and both
    are merged. Neighbours in the suffix array with equal prefixes of 100 bytes are repeats of each other.
-3. An anchor group too large for a shard (``GROUP``) is decided by counting its windows as rows, which has no group.
+3. The classes of an anchor group of over ``GROUP`` are segmented again by the least hash of longer grams, and go
+   through the same two steps; at the last length a gram is the whole window, and a group holds equal windows alone.
+
+So the suffix arrays are built shard by shard, each whole in one task, and Spark deals out the shards; triples are not
+sorted across tasks. Equal segments never reach a suffix array: they are told by 64-bit hashes of their bytes.
 
 Each window is judged on the input: what repeats an earlier start, in an earlier document or the same one, goes.
 """
@@ -20,6 +24,8 @@ Each window is judged on the input: what repeats an earlier start, in an earlier
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +34,30 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.base import checkpoint, map_batches
 
-WINDOW, GRAM = 100, 32
-#: Classes of one anchor group in a shard (of some 170 bytes at most: a group is about as large as a shard), and bytes
-#: of a shard before the next group opens another.
-GROUP, SHARD_BYTES = 8000, 1 << 20
+WINDOW = 100
+#: Bytes of the grams whose least hash is an anchor; a group that is too large goes on to the next.
+GRAMS = (32, 64, 84, 94, 100)
+#: Classes of one anchor group in a shard, and bytes of a shard before the next group opens another.
+GROUP, SHARD_BYTES = 2000, 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each run of ``GRAM`` bytes, by doubling."""
+def gram_hashes(data: np.ndarray, gram: int = GRAMS[0]) -> np.ndarray:
+    """A hash of each run of ``gram`` bytes, by doubling; the last two halves may overlap."""
     h, size = (data.astype(np.uint64) + np.uint64(1)) * _M1, 1
-    while size < GRAM:
-        h = ((h[:-size] * _M2) ^ (h[size:] >> np.uint64(7))) * _M1
+    while size < gram:
+        step = min(size, gram - size)
+        h = ((h[:-step] * _M2) ^ (h[step:] >> np.uint64(7))) * _M1
         h ^= h >> np.uint64(29)
-        size *= 2
+        size += step
     return h
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: bytes, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, start, end) of the runs of windows that have one anchor; ``end`` is that of the last window."""
     if len(data) < WINDOW:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least, span, wide = gram_hashes(np.frombuffer(data, np.uint8)), 1, WINDOW - GRAM + 1
+    least, span, wide = gram_hashes(np.frombuffer(data, np.uint8), gram), 1, WINDOW - gram + 1
     while 2 * span <= wide:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
@@ -137,81 +145,93 @@ def repeats(pieces: list[bytes], place: np.ndarray) -> np.ndarray:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``d`` (order of the document), ``t`` (16 bits of its text's hash) and ``text``."""
+    """``doc_id``, ``d`` (order of the document), ``t`` (hash of its text: order among rows of one id) and ``text``."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.coalesce(F.pmod(F.xxhash64(text), F.lit(1 << 16)), F.lit(0).cast("long")).alias("t"), text.alias("text"))
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-# A segment's place: 16 bits of the text's hash, 38 bits of its start, 9 bits of its length.
-def _pack(t: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return np.int64(t) << 47 | start << 9 | length
+# A segment's place in its text: its start, and 9 bits of its length.
+def _start(pos: Column) -> Column:
+    return F.shiftright(pos, 9)
 
 
-def _start(pos: Column) -> Column:
-    return F.shiftright(pos, 9).bitwiseAND(F.lit((1 << 38) - 1))
+_SEGMENTS = "later boolean, gram long, class long, d long, t long, pos long"
 
 
-def _found(docs: DataFrame) -> DataFrame:
-    """Segments of a batch of documents: ``gram``, ``class``, ``d``, ``pos``, one row for each class in it.
+def _segment_rows(texts: Iterable[tuple[int, int, int, bytes]], gram: int) -> pa.RecordBatch:
+    """Segments of (d, t, place of the first byte, bytes): ``gram``, ``class``, ``d``, ``t``, ``pos``, one row for each class here.
 
-    Members of a class after its first in the batch come as rows with ``later`` set, merged where they overlap:
-    ``d``, ``pos`` (of the start) and, as ``gram``, the end.
+    Members of a class after its first come as rows with ``later`` set, merged where they overlap: ``d``, ``t``,
+    ``pos`` (of the start) and, as ``gram``, the end.
     """
+    from xxhash import xxh64_intdigest
+
+    out = [[np.zeros(0, np.int64)] for _ in range(5)]
+    for d, t, base, data in texts:
+        grams, a, b = segments(data, gram)
+        out[0].append(grams.view(np.int64))
+        out[1].append(np.fromiter((xxh64_intdigest(data[i:j]) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a)).view(np.int64))
+        out[2].append(np.full(len(a), d, np.int64))
+        out[3].append(np.full(len(a), t, np.int64))
+        out[4].append((a + base) << 9 | (b - a))
+    rows = np.stack([np.concatenate(c) for c in out])
+    rows = rows[:, np.lexsort(rows[::-1])]
+    _, new_class, later = _told_apart(rows)
+    d, t, pos, end = _merged(*rows[2:, later])
+    columns = [np.concatenate(c) for c in zip(rows[:, new_class], (end, np.zeros_like(end), d, t, pos))]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(columns[0])) >= np.count_nonzero(new_class)), *map(pa.array, columns)], ["later", "gram", "class", "d", "t", "pos"])
 
-    def make():
-        from xxhash import xxh64_intdigest
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = [[], [], [], []]
-            for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
-                gram, a, b = segments(data)
-                out[0].append(gram)
-                out[1].append(np.fromiter((xxh64_intdigest(data[i:j]) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a)))
-                out[2].append(np.full(len(a), d, np.int64))
-                out[3].append(_pack(t, a, b - a))
-            rows = np.stack([np.concatenate(c).view(np.int64) for c in out])
-            rows = rows[:, np.lexsort((rows[3], rows[2], rows[1], rows[0]))]
-            _, new_class, later = _told_apart(rows)
-            ends = _merged(rows[2, later], rows[3, later])
-            columns = [np.concatenate(c) for c in zip(rows[:, new_class], (ends[2], np.zeros_like(ends[2]), ends[0], ends[1]))]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(columns[0])) >= np.count_nonzero(new_class)), *map(pa.array, columns)], ["later", "gram", "class", "d", "pos"])
+def _found(docs: DataFrame) -> DataFrame:
+    """The segments of a batch of documents, by the shortest grams."""
+    make = lambda: lambda b: _segment_rows(((d, t, 0, text.encode("utf-8", "surrogatepass")) for d, t, text in zip(*(c.to_pylist() for c in b.columns))), GRAMS[0])
+    return map_batches(docs.select("d", "t", "text"), make, _SEGMENTS)
 
-        return step
 
-    return map_batches(docs.select("d", "t", "text"), make, "later boolean, gram long, class long, d long, pos long")
+def _finer(pieces: DataFrame, gram: int) -> DataFrame:
+    """The segments of a batch of pieces, by longer grams."""
+    make = lambda: lambda b: _segment_rows(((d, t, pos >> 9, piece) for d, t, pos, piece in zip(*(c.to_pylist() for c in b.columns))), gram)
+    return map_batches(pieces.select("d", "t", "pos", "piece"), make, _SEGMENTS)
 
 
 def _told_apart(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted (gram, class, d, pos): where a gram begins, where a class begins, and what is later in a class than its first."""
-    gram, cls, d, pos = rows
+    """For sorted (gram, class, d, t, pos): where a gram begins, where a class begins, and what is later in a class than its first."""
+    gram, cls, *place = rows
     new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)]
     new_class = new_gram | np.concatenate([[True], cls[1:] != cls[:-1]])[: len(gram)]
     first = np.maximum.accumulate(np.where(new_class, np.arange(len(gram)), 0))
-    return new_gram, new_class, ~new_class & ((d != d[first]) | (pos != pos[first]))
-
-
-def _merged(d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(d, pos of the start, end) of the stretches of each document that the segments at ``pos`` cover."""
-    order = np.lexsort((pos, d))
-    d, pos = d[order], pos[order]
-    start = pos >> 9 & (1 << 38) - 1
-    end = start + (pos & 511)  # a later start has a later end
-    fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (pos[1:] >> 47 != pos[:-1] >> 47) | (start[1:] > end[:-1])])[: len(d)]
+    return new_gram, new_class, ~new_class & np.any([p != p[first] for p in place], axis=0)
+
+
+def _merged(d: np.ndarray, t: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(d, t, pos of the start, end) of the stretches of each document that the segments at ``pos`` cover."""
+    order = np.lexsort((pos, t, d))
+    d, t, pos = d[order], t[order], pos[order]
+    start, end = pos >> 9, (pos >> 9) + (pos & 511)
+    reach = end.copy()
+    fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])[: len(d)]
+    # The furthest end so far, document by document: ends are lifted apart by document before the running maximum.
+    which = np.cumsum(fresh)
+    lift = which * np.int64(1 << 40)
+    reach = np.maximum.accumulate(end + lift) - lift if len(d) else end
+    fresh |= np.concatenate([[True], start[1:] > reach[:-1]])[: len(d)]
     last = np.concatenate([fresh[1:], [True]])[: len(d)]
-    return d[fresh], pos[fresh], end[last]
+    return d[fresh], t[fresh], pos[fresh], reach[last]
 
 
 def _classes(found: DataFrame) -> DataFrame:
-    """``gram``, ``classes``, ``d``, ``pos`` of segments that matter; ``classes`` is 0 for later members of a class.
+    """``gram``, ``classes``, ``d``, ``t``, ``pos`` of segments that matter; ``classes`` is 0 for later members of a class.
 
     Where ``classes`` is 0, ``gram`` is the end. Rows arrive by anchor, sorted, and are told apart as they pass; of
     an anchor still open the first of each class is held, and from ``GROUP`` on not even these. Rows that are
     later members already are dealt by themselves.
     """
 
-    def batch(gram, classes, d, pos) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(classes == 0, (pos >> 9 & (1 << 38) - 1) + (pos & 511), gram), classes, d, pos)], ["gram", "classes", "d", "pos"])
+    names = ["gram", "classes", "d", "t", "pos"]
+
+    def batch(a: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+        gram, _, d, t, pos = a
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(classes == 0, (pos >> 9) + (pos & 511), gram), classes, d, t, pos)], names)
 
     def settled(a: np.ndarray, large: bool) -> pa.RecordBatch:
         """Whole groups. ``large``: the first row was given out before, and its group is a large one."""
@@ -222,26 +242,26 @@ def _classes(found: DataFrame) -> DataFrame:
             count[group == 0] = GROUP + 1
         keep = later | (new_class & (count > 1))
         keep[0] &= not large
-        return batch(a[0, keep], np.where(later, 0, count)[keep], a[2, keep], a[3, keep])
+        return batch(a[:, keep], np.where(later, 0, count)[keep])
 
     def unsettled(a: np.ndarray, large: bool) -> tuple[pa.RecordBatch, np.ndarray, bool]:
         """What can be told of a group that is still open, what must be held of it, and whether it is a large one."""
         _, new_class, later = _told_apart(a)
         firsts = a[:, new_class]
         if not large and firsts.shape[1] <= GROUP:
-            return batch(a[0, later], np.zeros(later.sum(), np.int64), a[2, later], a[3, later]), firsts, False
+            return batch(a[:, later], np.zeros(later.sum(), np.int64)), firsts, False
         keep = later | new_class
         keep[0] &= not large
-        return batch(a[0, keep], np.where(later, 0, GROUP + 1)[keep], a[2, keep], a[3, keep]), firsts[:, -1:], True
+        return batch(a[:, keep], np.where(later, 0, GROUP + 1)[keep]), firsts[:, -1:], True
 
     def run(batches):
-        held, large = np.zeros((4, 0), np.int64), False
+        held, large = np.zeros((5, 0), np.int64), False
         for b in batches:
             later = b.column(0).to_numpy(zero_copy_only=False)
-            a = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)])
+            a = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)])
             if later.any():
                 done = a[:, later]
-                yield pa.RecordBatch.from_arrays([pa.array(done[0]), pa.array(np.zeros(done.shape[1], np.int64)), pa.array(done[2]), pa.array(done[3])], ["gram", "classes", "d", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(done[0]), pa.array(np.zeros(done.shape[1], np.int64)), *map(pa.array, done[2:])], names)
             held = np.concatenate([held, a[:, ~later]], axis=1)
             cut = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
             if cut:
@@ -253,38 +273,36 @@ def _classes(found: DataFrame) -> DataFrame:
         if held.shape[1]:
             yield settled(held, large)
 
-    dealt = found.repartition(F.when(F.col("later"), F.xxhash64("d", "pos")).otherwise(F.col("gram")))
-    return dealt.sortWithinPartitions("later", "gram", "class", "d", "pos").mapInArrow(run, "gram long, classes long, d long, pos long")
+    dealt = found.repartition(F.when(F.col("later"), F.xxhash64("d", "t", "pos")).otherwise(F.col("gram")))
+    return dealt.sortWithinPartitions("later", "gram", "class", "d", "t", "pos").mapInArrow(run, "gram long, classes long, d long, t long, pos long")
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``gram``, ``d``, ``pos`` and ``piece``, the segment's bytes.
+    """``gram``, ``d``, ``t``, ``pos`` and ``piece``, the segment's bytes.
 
     The documents are dealt as in ``dedup``, with the same columns, so that Spark shuffles the texts once.
     """
-    lists = wanted.groupBy("d", F.shiftright("pos", 47).alias("t")).agg(F.collect_list(F.struct("gram", "pos")).alias("w"))
+    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("gram", "pos")).alias("w"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for d, text, wanted in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            for d, t, text, wanted in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 data = text.encode("utf-8", "surrogatepass")
-                for w in wanted:
-                    a = w["pos"] >> 9 & (1 << 38) - 1
-                    out.append((w["gram"], d, w["pos"], data[a : a + (w["pos"] & 511)]))
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((*[pa.int64()] * 3, pa.binary()))], ["gram", "d", "pos", "piece"])
+                out += [(w["gram"], d, t, w["pos"], data[w["pos"] >> 9 : (w["pos"] >> 9) + (w["pos"] & 511)]) for w in wanted]
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((*[pa.int64()] * 4, pa.binary()))], ["gram", "d", "t", "pos", "piece"])
 
         return step
 
-    return map_batches(docs.join(lists, ["d", "t"]).select("doc_id", "d", "text", "w"), make, "gram long, d long, pos long, piece binary")
+    return map_batches(docs.join(lists, ["d", "t"]).select("doc_id", "d", "t", "text", "w"), make, "gram long, d long, t long, pos long, piece binary")
 
 
-def _runs(d: list, pos: list, pieces: list[bytes]) -> pa.RecordBatch:
+def _runs(d: list, t: list, pos: list, pieces: list[bytes]) -> pa.RecordBatch:
     """Repeated windows of a shard as runs: ``d``, ``t``, ``start``, ``end``."""
     counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) - WINDOW + 1
-    d, pos = np.array(d, np.int64), np.array(pos, np.int64)
-    start = np.repeat(pos >> 9 & (1 << 38) - 1, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    which, text = np.repeat(d, counts), np.repeat(pos >> 47, counts)
+    d, t, pos = (np.array(x, np.int64) for x in (d, t, pos))
+    start = np.repeat(pos >> 9, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    which, text = np.repeat(d, counts), np.repeat(t, counts)
     place = np.empty(len(start), np.int64)
     order = np.lexsort((start, text, which))
     same = np.concatenate([[False], (which[order][1:] == which[order][:-1]) & (text[order][1:] == text[order][:-1]) & (start[order][1:] == start[order][:-1])])
@@ -309,45 +327,19 @@ def _shards(pieces: DataFrame) -> DataFrame:
     """Repeated windows among pieces of one anchor: whole groups are laid in a shard until it is large enough."""
 
     def run(batches):
-        d, pos, text, size, last = [], [], [], 0, None
+        rows, size, last = [], 0, None
         for batch in batches:
-            for g, x, p, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            for g, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if g != last and size > SHARD_BYTES:
-                    yield _runs(d, pos, text)
-                    d, pos, text, size = [], [], [], 0
+                    yield _runs(*zip(*rows))
+                    rows, size = [], 0
                 last = g
-                d.append(x)
-                pos.append(p)
-                text.append(piece)
-                size += len(piece)
-        if text:
-            yield _runs(d, pos, text)
-
-    return pieces.select("gram", "d", "pos", "piece").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, _INTERVALS)
-
-
-def _large_groups(pieces: DataFrame) -> DataFrame:
-    """The same for pieces of large groups: windows are rows, and the first of equal ones is an aggregate."""
-
-    def make():
-        from xxhash import xxh3_128_digest
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, d, t, start = [], [], [], []
-            for x, p, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                n, a = len(piece) - WINDOW + 1, p >> 9 & (1 << 38) - 1
-                keys += [xxh3_128_digest(piece[i : i + WINDOW]) for i in range(n)]
-                d += [x] * n
-                t += [p >> 47] * n
-                start += range(a, a + n)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(c, pa.int64()) for c in (d, t, start))], ["key", "d", "t", "start"])
-
-        return step
+                rows.append(row)
+                size += len(row[3])
+        if rows:
+            yield _runs(*zip(*rows))
 
-    rows = map_batches(pieces.select("d", "pos", "piece"), make, "key binary, d long, t long, start long")
-    first = rows.groupBy("key").agg(F.min(F.struct("d", "t", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = rows.join(first, "key").where(F.struct("d", "t", "start") > F.col("first"))
-    return later.select("d", "t", "start", (F.col("start") + WINDOW).alias("end"))
+    return pieces.select("gram", "d", "t", "pos", "piece").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, _INTERVALS)
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -356,10 +348,17 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def _removals(held: DataFrame) -> DataFrame:
-    known = checkpoint(_classes(_found(held)))
-    whole = known.where("classes = 0").select("d", F.shiftright("pos", 47).alias("t"), _start(F.col("pos")).alias("start"), F.col("gram").alias("end"))
-    small, large = (_bytes_of(held, known.where(c)) for c in (F.col("classes").between(2, GROUP), F.col("classes") > GROUP))
-    return whole.unionByName(_shards(small)).unionByName(_large_groups(large))
+    parts, found = [], _found(held)
+    for level, _ in enumerate(GRAMS, 1):
+        known = checkpoint(_classes(found))
+        parts.append(known.where("classes = 0").select("d", "t", _start(F.col("pos")).alias("start"), F.col("gram").alias("end")))
+        last = level == len(GRAMS)
+        parts.append(_shards(_bytes_of(held, known.where("classes >= 2" if last else F.col("classes").between(2, GROUP)))))
+        large = known.where(F.col("classes") > GROUP)
+        if last or large.isEmpty():
+            break
+        found = _finer(_bytes_of(held, large), GRAMS[level])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -367,7 +366,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no bytes; texts under 100 bytes keep all. Documents are ordered by doc_id, a null
     one first; rows of one doc_id and text are one document and get one result each, and rows of one doc_id
-    with other texts are ordered by a hash of the text. An empty table gives an empty one; other columns are
+    or of none, with other texts are ordered by a 64-bit hash of the text. An empty table gives an empty one; other columns are
     left behind.
     """
     held = _documents(docs)
