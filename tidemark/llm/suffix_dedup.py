@@ -36,7 +36,7 @@ from tidemark.llm.base import checkpoint, map_batches
 
 WINDOW = 100
 #: Bytes of the grams whose least hash is an anchor; a group that is too large goes on to the next.
-GRAMS = (32, 64, 84, 94, 100)
+GRAMS = (32, 64, WINDOW)
 #: Classes of one anchor group in a shard, and bytes of a shard before the next group opens another.
 GROUP, SHARD_BYTES = 2000, 1 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -348,16 +348,14 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def _removals(held: DataFrame) -> DataFrame:
-    parts, found = [], _found(held)
-    for level, _ in enumerate(GRAMS, 1):
-        known = checkpoint(_classes(found))
+    """Levels of longer grams follow in one plan, so that all of them read one shuffle of the texts."""
+    parts, known = [], checkpoint(_classes(_found(held)))
+    for i, gram in enumerate(GRAMS):
+        if i:
+            known = _classes(_finer(_bytes_of(held, known.where(F.col("classes") > GROUP)), gram))
         parts.append(known.where("classes = 0").select("d", "t", _start(F.col("pos")).alias("start"), F.col("gram").alias("end")))
-        last = level == len(GRAMS)
-        parts.append(_shards(_bytes_of(held, known.where("classes >= 2" if last else F.col("classes").between(2, GROUP)))))
-        large = known.where(F.col("classes") > GROUP)
-        if last or large.isEmpty():
-            break
-        found = _finer(_bytes_of(held, large), GRAMS[level])
+        if gram < WINDOW:  # segments of one window that differ share none
+            parts.append(_shards(_bytes_of(held, known.where(F.col("classes").between(2, GROUP)))))
     return reduce(DataFrame.unionByName, parts)
 
 
