@@ -72,32 +72,30 @@ def test_private_keys(spark):
 
 
 def plain_prints(text, k=winnowing.K, w=winnowing.W):
-    """The definition, one character after the other: a rolling hash, and of every w neighbours the rightmost least."""
+    """The definition, gram after gram: 32 bits of the chained hash of k tokens, and of every w neighbours the rightmost least."""
+    import struct
+
+    import regex
     from xxhash import xxh64_intdigest
 
-    full = (1 << 64) - 1
-    turn = lambda v, n: (v << n % 64 | v >> (64 - n % 64)) & full if n % 64 else v
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    letters = [xxh64_intdigest(c.encode(), 42) for c in text]
-    if not text:
+    tokens = [xxh64_intdigest(t.encode(), 42) for t in regex.findall(winnowing.TOKEN, text)]
+    if not tokens:
         return []
-    if len(text) < k:
-        return [(signed(xxh64_intdigest(text.encode(), 42)), 0)]
-    rolling, h = [], 0
-    for i, v in enumerate(letters):
-        h = turn(h, 1) ^ v
-        if i >= k:
-            h ^= turn(letters[i - k], k)
-        if i >= k - 1:
-            rolling.append(h)
-    gram = [(signed(v), i) for i, v in enumerate(rolling)]
+
+    def chained(part):
+        seed = 42
+        for v in part:
+            seed = xxh64_intdigest(struct.pack("<Q", v), seed)
+        return seed & 0xFFFFFFFF
+
+    gram = [(chained(tokens[i : i + k]), i) for i in range(max(1, len(tokens) - k + 1))]
     windows = [gram[i : i + w] for i in range(len(gram) - w + 1)] or [gram]
-    return sorted({min(win, key=lambda x: (x[0] | 63, -x[1])) for win in windows}, key=lambda x: x[1])
+    return sorted({min(win, key=lambda x: (x[0], -x[1])) for win in windows}, key=lambda x: x[1])
 
 
 def read(shown):
     parts = [p.split(":") for p in shown.split(",")] if shown else []
-    return [(int(h, 16) - (1 << 64) if int(h, 16) >> 63 else int(h, 16), int(p)) for h, p in parts]
+    return [(int(h, 16), int(p)) for h, p in parts]
 
 
 def alike(a, b):
@@ -105,30 +103,29 @@ def alike(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_winnowing(spark, monkeypatch):
-    monkeypatch.setattr(winnowing, "BLOCK", 64)
+def test_winnowing(spark):
     rng = random.Random(8)
-    rows = [(i, "".join(rng.choice("ab\né 日😀x") for _ in range(rng.choice([0, 1, 15, 16, 17, 46, 47, 48, 63, 64, 65, 110, 111, 112, 300])))) for i in range(90)] + [(200, "z" * 300), (201, None), (201, None), (202, "ab" * 200)]
-    out = winnowing.fingerprints(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, prints int")).collect()
+    rows = [(i, "".join(rng.choice(["ab", "c", "\n", "é", " ", "日", "😀", "x" * 20, "."]) for _ in range(rng.choice([0, 1, 4, 5, 12, 13, 60, 200])))) for i in range(90)] + [(200, "z" * 300), (201, None), (201, None), (202, "ab " * 200)]
+    out = winnowing.fingerprints(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, prints int")).withColumn("s", winnowing.shown(F.col("prints"))).collect()
     assert len(out) == len(rows)
     for r in out:
-        assert [tuple(x) for x in r.prints] == plain_prints(r.text), r.text
+        assert read(r.s) == plain_prints(r.text), r.text
 
 
 def test_shared_runs_leave_a_common_fingerprint(spark):
-    """The guarantee, on text without white space: any run of K + W - 1 code points, wherever it stands."""
+    """The guarantee, on text without white space: any run of K + W - 1 tokens, wherever it stands."""
     rng = random.Random(9)
     chars = [chr(0x4E00 + i) for i in range(3000)]
     text = "".join(rng.choice(chars) for _ in range(3000))
     rows = [(0, text), (1, "中" + text)] + [(2 + i, "".join(rng.choice(chars) for _ in range(rng.randint(0, 90))) + text[(a := rng.randrange(2900)) : a + winnowing.K + winnowing.W - 1]) for i in range(30)]
-    out = {r.doc_id: {x.hash for x in r.prints} for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: {x >> 31 for x in r.prints} for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[0] & out[i] for i in range(1, 32)) and len(out[0] & out[1]) >= len(out[0]) - 1
 
 
 def test_very_long_text(spark):
     df = spark.range(1).select("id", F.concat(F.repeat(F.lit("the quick brown fox 日本 "), 430_000), F.lit("end")).alias("text")).select(F.col("id").alias("doc_id"), "text")
-    row = winnowing.fingerprints(df).select(F.length("text").alias("n"), F.size("prints").alias("k"), F.element_at("prints", -1)["pos"].alias("last")).first()
-    assert row.n > 9_000_000 and row.k > row.n // winnowing.W and row.n - row.last < winnowing.K + winnowing.W
+    row = winnowing.fingerprints(df).select(F.length("text").alias("n"), F.size("prints").alias("k")).first()
+    assert row.n > 9_000_000 and row.k > row.n // 40
 
 
 @pytest.mark.parametrize("partitions", [1, 3])
