@@ -1,56 +1,123 @@
 """Document fingerprints by winnowing, in built-in functions only.
 
-A text is cut into tokens, each run of ``K`` tokens (a gram) is hashed, and of every ``W`` neighbouring hashes the
-least is kept, the rightmost among equals. Any run of ``K + W - 1`` tokens that two texts share leaves a common
-fingerprint, and the kept positions say where. Hash and position are one number, so that the least number is
-the least hash with the rightmost position: 32 bits of hash, then the position counted downwards in 31 bits.
+Every run of ``K`` code points (a gram) has a rolling hash, the cyclic polynomial: each character's hash, turned left
+by its distance from the gram's end, xor-ed together. Spark's arrays carry no state from element to element without
+being copied, so the same values are made by doubling: a gram of 2m is its first half turned by m, xor its second.
+Of every ``W`` neighbouring hashes the least is kept, the rightmost among equals. Any run of ``K + W - 1`` code points
+that two texts share leaves a common fingerprint, and the kept positions say where.
+
+Texts are cut into blocks that reach a window into the next, so arrays stay short however long a text is.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, W = 5, 8
-#: Runs of up to 16 letters and digits of scripts that set words apart; any other character that is no white space is
-#: a token of its own, so that unbroken text in other scripts has the same tokens wherever it stands.
-_OF_WORDS = r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}\p{IsHangul}\p{N}_]"
-TOKEN = _OF_WORDS + r"{1,16}|\S"
-_LAST = (1 << 31) - 1
+#: Code points of a gram and grams of a window; both are powers of two, and a window is 64 grams at most.
+K, W = 16, 32
+REACH = K + W - 2
+#: Code points of a block.
+BLOCK = 4096
+#: Hashes are compared by the bits above these; the bits hold a gram's place in its window.
+_PLACES = 63
+_NONE = "array<struct<hash: bigint, pos: bigint>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pairs(values: Column, step: int, merge: Callable[[Column, Column], Column]) -> Column:
+    """Each value merged with the one ``step`` behind it."""
+    return _let(values, lambda v: F.transform(F.slice(v, 1, F.greatest(F.size(v) - step, F.lit(0))), lambda x, i: merge(x, F.get(v, i + step))))
+
+
+def grams(text: Column) -> Column:
+    """The rolling hash of each run of ``K`` code points; none in a shorter text."""
+    out, m = F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), 1
+    while m < K:
+        out = _pairs(out, m, lambda a, b, m=m: F.shiftleft(a, m).bitwiseOR(F.shiftrightunsigned(a, 64 - m)).bitwiseXOR(b))
+        m *= 2
+    return out
+
 
+def _least(hashes: Column) -> Column:
+    """For each window of ``W`` hashes, the place of the least of them, the rightmost among equals."""
+    # A place is counted down from the window's start, so that it is the lesser the farther right.
+    at = lambda v, i, step: F.get(v, i + step) - step
+    quads = lambda xs, m: _let(xs, lambda v: F.transform(F.slice(v, 1, F.greatest(F.size(v) - 3 * m, F.lit(0))), lambda x, i: F.least(x, at(v, i, m), at(v, i, 2 * m), at(v, i, 3 * m))))
+    out, m = F.transform(hashes, lambda h: h.bitwiseOR(F.lit(_PLACES).cast("long"))), 1
+    while 4 * m <= W:
+        out, m = quads(out, m), 4 * m
+    if m < W:
+        out = _pairs(out, m, lambda x, y, m=m: F.least(x, y - m))
+    return F.transform(out, lambda v, i: i.cast("long") + _PLACES - v.bitwiseAND(F.lit(_PLACES).cast("long")))
 
-def token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
+def _block(text: Column, offset: Column) -> Column:
+    """Selected (hash, pos) of a block that has a whole window."""
+    found = lambda h: F.transform(F.array_distinct(_least(h)), lambda p: F.struct(F.get(h, p.cast("int")).alias("hash"), (p + offset).alias("pos")))
+    return _let(grams(text), found)
 
-def packed(tokens: Column) -> Column:
-    """A number for each gram: its hash, then its position downwards. Fewer tokens than ``K`` are one gram."""
-    n = F.size(tokens)
-    number = lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(0xFFFFFFFF)), 31) + (F.lit(_LAST) - i).cast("long")
-    grams = F.transform(F.slice(tokens, 1, F.greatest(n - (K - 1), F.lit(0))), lambda h, i: number(F.xxhash64(h, *(F.get(tokens, i + j) for j in range(1, K))), i))
-    return F.when(n >= K, grams).when(n > 0, F.array(number(F.xxhash64(tokens), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
+def _short(text: Column) -> Column:
+    """That of a text shorter than a window: its least gram, the rightmost among equals, or the whole text as one."""
+    top = lambda h: h.bitwiseOR(F.lit(_PLACES).cast("long"))
+    packed = lambda h: F.array_min(F.transform(h, lambda v, i: F.struct(top(v).alias("key"), (-i).cast("long").alias("back"), v.alias("hash"))))
+    one = lambda x: F.array(F.struct(x["hash"].alias("hash"), (-x["back"]).alias("pos")))
+    whole = F.array(F.struct(F.xxhash64(text).alias("hash"), F.lit(0).cast("long").alias("pos")))
+    return F.when(F.length(text) >= K, _let(packed(grams(text)), one)).when(F.length(text) > 0, whole).otherwise(F.array().cast(_NONE)).cast(_NONE)
 
-def selected(numbers: Column) -> Column:
-    """The least number of each window, each once, by position; a text shorter than a window is one window."""
-    n = F.size(numbers)
-    least = F.transform(F.slice(numbers, 1, F.greatest(n - (W - 1), F.lit(0))), lambda v, i: F.least(v, *(F.get(numbers, i + j) for j in range(1, W))))
-    return F.when(n >= W, F.array_distinct(least)).when(n > 0, F.array(F.array_min(numbers))).otherwise(F.array().cast("array<bigint>"))
+
+def selected(text: Column) -> Column:
+    """(hash, pos) of each fingerprint of a text, by position."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    reaching = lambda bs: F.transform(bs, lambda b, i: F.concat(b, F.left(F.coalesce(F.get(bs, i + 1), F.lit("")), F.lit(REACH))))
+    each = lambda xs: F.flatten(F.transform(xs, lambda x, i: F.when(F.length(x) > REACH, _block(x, i.cast("long") * BLOCK)).otherwise(F.array().cast(_NONE)).cast(_NONE)))
+    return F.when(F.length(text) > REACH, _let(_let(_let(blocks, reaching), each), _once)).otherwise(_short(text))
+
+
+def _once(found: Column) -> Column:
+    """Without repeated places: windows on either side of a cut may name one place."""
+    return F.filter(found, lambda f, i: (i == 0) | (F.get(found, i - 1)["pos"] != f["pos"]))
+
+
+def _of_prefix(prefix: Column, found: Column) -> Column:
+    """The selected of a text's windows that lie in a prefix of it: those up to the place that the last window names."""
+    last = F.get(_least(grams(F.right(prefix, F.lit(REACH + 1)))), F.lit(0)) + F.length(prefix) - (REACH + 1)
+    return F.when(F.length(prefix) > REACH, _let(last, lambda p: F.filter(found, lambda f: f["pos"] <= p))).otherwise(F.array().cast(_NONE))
+
+
+def joined_prints(a: Column, found_a: Column, b: Column, found_b: Column) -> Column:
+    """``selected`` of ``a`` followed by ``b``, which are prefixes of texts whose selected are known.
+
+    Windows that lie in one of them are those of its text; only windows across the seam are looked at again.
+    """
+    tail, head = F.right(a, F.lit(REACH)), F.left(b, F.lit(REACH))
+    seam = F.concat(tail, head)
+    across = F.when(F.length(seam) > REACH, _block(seam, (F.length(a) - F.length(tail)).cast("long"))).otherwise(F.array().cast(_NONE)).cast(_NONE)
+    shifted = F.transform(_of_prefix(b, found_b), lambda f: F.struct(f["hash"].alias("hash"), (f["pos"] + F.length(a)).alias("pos")))
+    whole = F.concat(_of_prefix(a, found_a).cast(_NONE), across, shifted.cast(_NONE))
+    return F.when(F.length(a) + F.length(b) > REACH, _let(whole, _once)).otherwise(_short(F.concat(a, b)))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the selected numbers of column ``text`` as ``out``; each step is a column of its own, made once a row."""
-    t, p = f"_{out}_tokens", f"_{out}_packed"
-    return df.withColumn(t, token_hashes(F.col(text))).withColumn(p, packed(F.col(t))).withColumn(out, selected(F.col(p))).drop(t, p)
+    """``df`` with the fingerprint of column ``text`` as ``out``."""
+    return df.withColumn(out, selected(F.col(text)))
 
 
-def shown(numbers: Column) -> Column:
+def shown(found: Column) -> Column:
     """``hash:position`` of each fingerprint, joined by commas."""
-    return F.concat_ws(",", F.transform(numbers, lambda v: F.concat_ws(":", F.lpad(F.lower(F.hex(F.shiftright(v, 31))), 8, "0"), (F.lit(_LAST) - v.bitwiseAND(F.lit(_LAST))).cast("string"))))
+    return F.concat_ws(",", F.transform(found, lambda f: F.concat_ws(":", F.lpad(F.lower(F.hex(f["hash"])), 16, "0"), f["pos"].cast("string"))))
 
 
-def hash_set(numbers: Column) -> Column:
-    return F.array_distinct(F.transform(numbers, lambda v: F.shiftright(v, 31)))
+def hash_set(found: Column) -> Column:
+    return F.array_distinct(F.transform(found, lambda f: f["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -60,32 +127,39 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, 1.0).otherwise(both / every).cast("double")
 
 
-def with_next(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` (doc_id, ...) with ``next_<column>`` of the next row by doc_id; the last row's next is the first.
+def with_next(df: DataFrame, *columns: str, ready: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> DataFrame:
+    """``df`` (doc_id, text, ...) with ``next_<column>`` of the next row by doc_id; the last row's next is the first.
 
     Rows are dealt into ranges of doc_id whose bounds are ids of the table, four for each shuffle partition; the
-    row at a bound is also sent, as a guest, to the range before it, so every range ends with its follower.
-    Only the bounds reach the driver. Null ids come first; rows of one id follow each other by text.
+    row at a bound is also sent, as a guest, to the range before it, so every range ends with its follower. A row
+    finds its range in two steps, among every so many bounds and then among those between. Only the bounds reach
+    the driver. ``ready`` adds columns to the dealt rows, so that they are not shuffled. Null ids come first; rows
+    of one id follow each other by text.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.select(F.percentile_approx(key, [i / n for i in range(n)], 20 * n)).first()[0]
-    if not bounds:
-        return df.select("*", *(F.lit(None).cast(dict(df.dtypes)[c]).alias(f"next_{c}") for c in columns))
-    first = df.agg(F.min(key)).first()[0]
-    bounds = sorted({first, *bounds})
-    array = F.array(*map(F.lit, bounds))
-    home = F.size(F.filter(array, lambda b: b <= key))
-    before = F.when(home == 1, len(bounds)).otherwise(home - 1)
-    places = F.when(F.array_contains(array, key), F.array(F.struct(home.alias("range"), F.lit(0).alias("guest")), F.struct(before.alias("range"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(home.alias("range"), F.lit(0).alias("guest"))))
-    dealt = df.withColumn("_place", F.explode(places)).withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    order = Window.partitionBy("_place.range").orderBy("_place.guest", "_key", "text")
+    found = df.select(F.percentile_approx(key, [i / n for i in range(n)], 20 * n).alias("bounds"), F.min(key).alias("first")).first()
+    if not found.bounds:
+        return ready(df).select("*", *(F.lit(None).cast(dict(ready(df).dtypes)[c]).alias(f"next_{c}") for c in columns))
+    bounds = sorted({found.first, *found.bounds})
+    step = math.isqrt(len(bounds)) + 1
+    listed = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+    up_to = lambda numbers: F.size(F.filter(numbers, lambda b: b <= F.col("_key")))
+    near = df.withColumn("_key", key).withColumn("_near", (up_to(listed(bounds[::step])) - 1) * step)
+    ranged = near.withColumn("_range", F.col("_near") + up_to(F.slice(listed(bounds), F.col("_near") + 1, step)))
+    place = lambda where, guest: F.struct(where.alias("range"), F.lit(guest).alias("guest"))
+    before = F.when(F.col("_range") == 1, len(bounds)).otherwise(F.col("_range") - 1)
+    at_bound = F.get(listed(bounds), F.col("_range") - 1) == F.col("_key")
+    home = place(F.col("_range"), 0)
+    placed = ranged.withColumn("_place", F.explode(F.when(at_bound, F.array(home, place(before, 1))).otherwise(F.array(home))))
+    dealt = ready(placed.select("*", F.col("_place.range").alias("_in"), F.col("_place.guest").alias("_guest")).drop("_near", "_range", "_place").repartition("_in"))
+    order = Window.partitionBy("_in").orderBy("_guest", "_key", "text")
     followed = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return followed.where("_place.guest = 0").drop("_place", "_key")
+    return followed.where("_guest = 0").drop("_in", "_guest", "_key")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` (null: empty) and ``prints``: hash and position packed; see ``shown`` and ``hash_set``."""
+    """``doc_id``, ``text`` (null: empty) and ``prints`` (hash, pos); see ``shown`` and ``hash_set``."""
     return with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "prints")
 
 
@@ -96,10 +170,11 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     rest. Null and empty texts have no fingerprint and are alike to each other; a table of one row follows
     itself; repeated rows follow each other; an empty table gives an empty one; other columns are left behind.
     """
-    paired = with_next(fingerprints(docs), "text", "prints")
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    paired = with_next(whole, "text", "prints", ready=lambda dealt: with_fingerprint(dealt, "text", "prints"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = paired.select("doc_id", n.cast("long").alias("n_chars"), "prints", "next_prints", F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"))
-    done = with_fingerprint(edited.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_prints").drop("edited")
+    parts = paired.select("doc_id", n.cast("long").alias("n_chars"), "prints", "next_prints", F.left("text", n - half).alias("a"), F.left("next_text", half).alias("b"))
+    done = parts.select("doc_id", "n_chars", "prints", "next_prints", F.sha2(F.concat("a", "b"), 256).alias("edited_sha256"), joined_prints(F.col("a"), F.col("prints"), F.col("b"), F.col("next_prints")).alias("edited_prints"))
     sets = done.withColumns({"_a": hash_set(F.col("prints")), "_b": hash_set(F.col("edited_prints")), "_c": hash_set(F.col("next_prints"))})
     return sets.select("doc_id", "n_chars", "edited_sha256", shown(F.col("prints")).alias("fingerprint"), shown(F.col("edited_prints")).alias("edited_fingerprint"), likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_c")).alias("near_next"))
