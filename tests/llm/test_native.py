@@ -76,7 +76,7 @@ def plain_prints(text, k=winnowing.K, w=winnowing.W):
     from xxhash import xxh64_intdigest
 
     full = (1 << 64) - 1
-    turn = lambda v, n: (v << n % 64 | v >> (64 - n % 64)) & full if n % 64 else v
+    moved = lambda v, n: v << n & full
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     letters = [xxh64_intdigest(c.encode(), 42) for c in text]
     if not text:
@@ -85,14 +85,14 @@ def plain_prints(text, k=winnowing.K, w=winnowing.W):
         return [(signed(xxh64_intdigest(text.encode(), 42)), 0)]
     rolling, h = [], 0
     for i, v in enumerate(letters):
-        h = turn(h, 1) ^ v
+        h = moved(h, 1) ^ v
         if i >= k:
-            h ^= turn(letters[i - k], k)
+            h ^= moved(letters[i - k], k)
         if i >= k - 1:
             rolling.append(h)
     gram = [(signed(v), i) for i, v in enumerate(rolling)]
     windows = [gram[i : i + w] for i in range(len(gram) - w + 1)] or [gram]
-    return sorted({min(win, key=lambda x: (x[0] | 63, -x[1])) for win in windows}, key=lambda x: x[1])
+    return sorted({min(win, key=lambda x: (x[0] & full, -x[1])) for win in windows}, key=lambda x: x[1])
 
 
 def read(shown):
@@ -105,14 +105,15 @@ def alike(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_winnowing(spark, monkeypatch):
-    monkeypatch.setattr(winnowing, "BLOCK", 64)
+def test_winnowing(spark):
     rng = random.Random(8)
     rows = [(i, "".join(rng.choice("ab\né 日😀x") for _ in range(rng.choice([0, 1, 15, 16, 17, 46, 47, 48, 63, 64, 65, 110, 111, 112, 300])))) for i in range(90)] + [(200, "z" * 300), (201, None), (201, None), (202, "ab" * 200)]
     out = winnowing.fingerprints(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, prints int")).collect()
     assert len(out) == len(rows)
     for r in out:
         assert [tuple(x) for x in r.prints] == plain_prints(r.text), r.text
+        in_blocks = winnowing.selected(r.text, block=64)
+        assert list(zip(in_blocks[0].view("int64").tolist(), in_blocks[1].tolist())) == plain_prints(r.text), r.text
 
 
 def test_shared_runs_leave_a_common_fingerprint(spark):

@@ -1,146 +1,108 @@
-"""Document fingerprints by winnowing, in built-in functions only.
+"""Document fingerprints by winnowing.
 
-Every run of ``K`` code points (a gram) has a rolling hash, the cyclic polynomial: each character's hash, turned left
-by its distance from the gram's end, xor-ed together. Spark's arrays carry no state from element to element without
-being copied, so the same values are made by doubling: a gram of 2m is its first half turned by m, xor its second.
-Of every ``W`` neighbouring hashes the least is kept, the rightmost among equals. Any run of ``K + W - 1`` code points
-that two texts share leaves a common fingerprint, and the kept positions say where.
+Every run of ``K`` code points (a gram) has a rolling hash of the shift-and-xor kind: each character's hash, shifted
+left by its distance from the gram's end, xor-ed together. The values are made by doubling over whole arrays: a gram
+of 2m is its first half shifted by m, xor its second. Of every ``W`` neighbouring hashes the least is kept, the
+rightmost among equals. Any run of ``K + W - 1`` code points that two texts share leaves a common fingerprint, and the
+kept positions say where.
 
-Texts are cut into blocks that reach a window into the next, so arrays stay short however long a text is.
+Rows find their followers with built-in functions. The hashes are made in Arrow batches: in built-in functions, which
+step through arrays by interpreted lambdas, they exceed the CPU budget (see the README).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code points of a gram and grams of a window; both are powers of two, and a window is 64 grams at most.
+from tidemark.llm.base import map_batches
+
+#: Code points of a gram, a power of two, and grams of a window.
 K, W = 16, 32
 REACH = K + W - 2
-#: Code points of a block.
-BLOCK = 4096
-#: Hashes are compared by the bits above these; the bits hold a gram's place in its window.
-_PLACES = 63
-_NONE = "array<struct<hash: bigint, pos: bigint>>"
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+#: Code points of a long text that are hashed at once.
+BLOCK = 1 << 18
 
 
-def _pairs(values: Column, step: int, merge: Callable[[Column, Column], Column]) -> Column:
-    """Each value merged with the one ``step`` behind it."""
-    return _let(values, lambda v: F.transform(F.slice(v, 1, F.greatest(F.size(v) - step, F.lit(0))), lambda x, i: merge(x, F.get(v, i + step))))
+@lru_cache(1 << 16)
+def _letter(code: int) -> int:
+    return xxhash.xxh64_intdigest(chr(code).encode("utf-8", "surrogatepass"), 42)
 
 
-def grams(text: Column) -> Column:
+def grams(codes: np.ndarray) -> np.ndarray:
     """The rolling hash of each run of ``K`` code points; none in a shorter text."""
-    out, m = F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), 1
+    kinds, where = np.unique(codes, return_inverse=True)
+    out, m = np.array([_letter(c) for c in kinds.tolist()], np.uint64)[where], 1
     while m < K:
-        out = _pairs(out, m, lambda a, b, m=m: F.shiftleft(a, m).bitwiseOR(F.shiftrightunsigned(a, 64 - m)).bitwiseXOR(b))
+        out = out[: max(len(out) - m, 0)] << np.uint64(m) ^ out[m:]
         m *= 2
     return out
 
 
-def _least(hashes: Column) -> Column:
-    """For each window of ``W`` hashes, the place of the least of them, the rightmost among equals."""
-    # A place is counted down from the window's start, so that it is the lesser the farther right.
-    at = lambda v, i, step: F.get(v, i + step) - step
-    quads = lambda xs, m: _let(xs, lambda v: F.transform(F.slice(v, 1, F.greatest(F.size(v) - 3 * m, F.lit(0))), lambda x, i: F.least(x, at(v, i, m), at(v, i, 2 * m), at(v, i, 3 * m))))
-    out, m = F.transform(hashes, lambda h: h.bitwiseOR(F.lit(_PLACES).cast("long"))), 1
-    while 4 * m <= W:
-        out, m = quads(out, m), 4 * m
-    if m < W:
-        out = _pairs(out, m, lambda x, y, m=m: F.least(x, y - m))
-    return F.transform(out, lambda v, i: i.cast("long") + _PLACES - v.bitwiseAND(F.lit(_PLACES).cast("long")))
-
-
-def _block(text: Column, offset: Column) -> Column:
-    """Selected (hash, pos) of a block that has a whole window."""
-    found = lambda h: F.transform(F.array_distinct(_least(h)), lambda p: F.struct(F.get(h, p.cast("int")).alias("hash"), (p + offset).alias("pos")))
-    return _let(grams(text), found)
-
-
-def _short(text: Column) -> Column:
-    """That of a text shorter than a window: its least gram, the rightmost among equals, or the whole text as one."""
-    top = lambda h: h.bitwiseOR(F.lit(_PLACES).cast("long"))
-    packed = lambda h: F.array_min(F.transform(h, lambda v, i: F.struct(top(v).alias("key"), (-i).cast("long").alias("back"), v.alias("hash"))))
-    one = lambda x: F.array(F.struct(x["hash"].alias("hash"), (-x["back"]).alias("pos")))
-    whole = F.array(F.struct(F.xxhash64(text).alias("hash"), F.lit(0).cast("long").alias("pos")))
-    return F.when(F.length(text) >= K, _let(packed(grams(text)), one)).when(F.length(text) > 0, whole).otherwise(F.array().cast(_NONE)).cast(_NONE)
-
-
-def selected(text: Column) -> Column:
-    """(hash, pos) of each fingerprint of a text, by position."""
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    reaching = lambda bs: F.transform(bs, lambda b, i: F.concat(b, F.left(F.coalesce(F.get(bs, i + 1), F.lit("")), F.lit(REACH))))
-    each = lambda xs: F.flatten(F.transform(xs, lambda x, i: F.when(F.length(x) > REACH, _block(x, i.cast("long") * BLOCK)).otherwise(F.array().cast(_NONE)).cast(_NONE)))
-    return F.when(F.length(text) > REACH, _let(_let(_let(blocks, reaching), each), _once)).otherwise(_short(text))
-
-
-def _once(found: Column) -> Column:
-    """Without repeated places: windows on either side of a cut may name one place."""
-    return F.filter(found, lambda f, i: (i == 0) | (F.get(found, i - 1)["pos"] != f["pos"]))
-
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each ``width`` neighbours, the rightmost among equals, each place once."""
+    at, m = np.arange(len(h)), 1
+    while m < width:
+        step = min(m, width - m)
+        left, right = at[:-step], at[step:]
+        at = np.where(h[right] <= h[left], right, left)
+        m += step
+    return np.unique(at)
 
-def _of_prefix(prefix: Column, found: Column) -> Column:
-    """The selected of a text's windows that lie in a prefix of it: those up to the place that the last window names."""
-    last = F.get(_least(grams(F.right(prefix, F.lit(REACH + 1)))), F.lit(0)) + F.length(prefix) - (REACH + 1)
-    return F.when(F.length(prefix) > REACH, _let(last, lambda p: F.filter(found, lambda f: f["pos"] <= p))).otherwise(F.array().cast(_NONE))
 
+def selected(text: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of a text's fingerprints, by position.
 
-def joined_prints(a: Column, found_a: Column, b: Column, found_b: Column) -> Column:
-    """``selected`` of ``a`` followed by ``b``, which are prefixes of texts whose selected are known.
-
-    Windows that lie in one of them are those of its text; only windows across the seam are looked at again.
+    A text shorter than a window is one window; one shorter than a gram is a gram; an empty one has none. A long
+    text is taken in blocks that reach a window into the next.
     """
-    tail, head = F.right(a, F.lit(REACH)), F.left(b, F.lit(REACH))
-    seam = F.concat(tail, head)
-    across = F.when(F.length(seam) > REACH, _block(seam, (F.length(a) - F.length(tail)).cast("long"))).otherwise(F.array().cast(_NONE)).cast(_NONE)
-    shifted = F.transform(_of_prefix(b, found_b), lambda f: F.struct(f["hash"].alias("hash"), (f["pos"] + F.length(a)).alias("pos")))
-    whole = F.concat(_of_prefix(a, found_a).cast(_NONE), across, shifted.cast(_NONE))
-    return F.when(F.length(a) + F.length(b) > REACH, _let(whole, _once)).otherwise(_short(F.concat(a, b)))
-
-
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the fingerprint of column ``text`` as ``out``."""
-    return df.withColumn(out, selected(F.col(text)))
-
-
-def shown(found: Column) -> Column:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < K:
+        n = min(len(codes), 1)
+        return np.full(n, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42), np.uint64), np.zeros(n, np.int64)
+    hashes, places = [], []
+    for a in range(0, max(len(codes) - REACH, 1), block):
+        h = grams(codes[a : a + block + REACH])
+        at = _least(h, min(W, len(h)))
+        if places and places[-1][-1] == a + at[0]:
+            at = at[1:]  # windows on either side of a cut may name one place
+        if len(at):
+            hashes.append(h[at])
+            places.append(a + at)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def shown(hashes: np.ndarray, places: np.ndarray) -> str:
     """``hash:position`` of each fingerprint, joined by commas."""
-    return F.concat_ws(",", F.transform(found, lambda f: F.concat_ws(":", F.lpad(F.lower(F.hex(f["hash"])), 16, "0"), f["pos"].cast("string"))))
-
+    return ",".join(f"{h:016x}:{p}" for h, p in zip(hashes.tolist(), places.tolist()))
 
-def hash_set(found: Column) -> Column:
-    return F.array_distinct(F.transform(found, lambda f: f["hash"]))
 
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared hashes over all hashes of two texts; two without any are alike."""
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared hashes over all hashes of two hash sets; two empty ones are alike."""
-    both = F.size(F.array_intersect(a, b))
-    every = F.size(a) + F.size(b) - both
-    return F.when(every == 0, 1.0).otherwise(both / every).cast("double")
 
-
-def with_next(df: DataFrame, *columns: str, ready: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> DataFrame:
+def with_next(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` (doc_id, text, ...) with ``next_<column>`` of the next row by doc_id; the last row's next is the first.
 
     Rows are dealt into ranges of doc_id whose bounds are ids of the table, four for each shuffle partition; the
     row at a bound is also sent, as a guest, to the range before it, so every range ends with its follower. A row
     finds its range in two steps, among every so many bounds and then among those between. Only the bounds reach
-    the driver. ``ready`` adds columns to the dealt rows, so that they are not shuffled. Null ids come first; rows
-    of one id follow each other by text.
+    the driver. Null ids come first; rows of one id follow each other by text.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = df.select(F.percentile_approx(key, [i / n for i in range(n)], 20 * n).alias("bounds"), F.min(key).alias("first")).first()
     if not found.bounds:
-        return ready(df).select("*", *(F.lit(None).cast(dict(ready(df).dtypes)[c]).alias(f"next_{c}") for c in columns))
+        return df.select("*", *(F.lit(None).cast(dict(df.dtypes)[c]).alias(f"next_{c}") for c in columns))
     bounds = sorted({found.first, *found.bounds})
     step = math.isqrt(len(bounds)) + 1
     listed = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
@@ -152,15 +114,30 @@ def with_next(df: DataFrame, *columns: str, ready: Callable[[DataFrame], DataFra
     at_bound = F.get(listed(bounds), F.col("_range") - 1) == F.col("_key")
     home = place(F.col("_range"), 0)
     placed = ranged.withColumn("_place", F.explode(F.when(at_bound, F.array(home, place(before, 1))).otherwise(F.array(home))))
-    dealt = ready(placed.select("*", F.col("_place.range").alias("_in"), F.col("_place.guest").alias("_guest")).drop("_near", "_range", "_place").repartition("_in"))
+    dealt = placed.select("*", F.col("_place.range").alias("_in"), F.col("_place.guest").alias("_guest")).drop("_near", "_range", "_place").repartition(n, "_in")
     order = Window.partitionBy("_in").orderBy("_guest", "_key", "text")
     followed = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return followed.where("_guest = 0").drop("_in", "_guest", "_key")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` (null: empty) and ``prints`` (hash, pos); see ``shown`` and ``hash_set``."""
-    return with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "prints")
+    """``doc_id``, ``text`` (null: empty) and ``prints`` (hash, pos) of each whole text, by position.
+
+    Null and empty texts have none; every row has a result, whatever its id; other columns are left behind.
+    """
+    schema = "doc_id long, text string, prints array<struct<hash: bigint, pos: bigint>>"
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [selected(t) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0] + [len(h) for h, _ in found]).astype(np.int32)
+            fields = [np.concatenate([np.empty(0, np.int64), *(f[i].view(np.int64) for f in found)]) for i in (0, 1)]
+            prints = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x) for x in fields], ["hash", "pos"]))
+            return pa.RecordBatch.from_arrays([*batch.columns, prints], ["doc_id", "text", "prints"])
+
+        return step
+
+    return map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), make, schema)
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -170,11 +147,23 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     rest. Null and empty texts have no fingerprint and are alike to each other; a table of one row follows
     itself; repeated rows follow each other; an empty table gives an empty one; other columns are left behind.
     """
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(whole, "text", "prints", ready=lambda dealt: with_fingerprint(dealt, "text", "prints"))
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    parts = paired.select("doc_id", n.cast("long").alias("n_chars"), "prints", "next_prints", F.left("text", n - half).alias("a"), F.left("next_text", half).alias("b"))
-    done = parts.select("doc_id", "n_chars", "prints", "next_prints", F.sha2(F.concat("a", "b"), 256).alias("edited_sha256"), joined_prints(F.col("a"), F.col("prints"), F.col("b"), F.col("next_prints")).alias("edited_prints"))
-    sets = done.withColumns({"_a": hash_set(F.col("prints")), "_b": hash_set(F.col("edited_prints")), "_c": hash_set(F.col("next_prints"))})
-    return sets.select("doc_id", "n_chars", "edited_sha256", shown(F.col("prints")).alias("fingerprint"), shown(F.col("edited_prints")).alias("edited_fingerprint"), likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_c")).alias("near_next"))
+    paired = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.left("text", n - half), F.left("next_text", half))
+    asked = paired.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text").withColumn("edited_sha256", F.sha2("edited", 256))
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows, followed = [], None
+            for text, edited, after in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                own = followed[1] if followed and followed[0] == text else selected(text)
+                changed, followed = selected(edited), (after, selected(after))
+                rows.append((shown(*own), shown(*changed), likeness(own[0], changed[0]), likeness(own[0], followed[1][0])))
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.float64()))]
+            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), *columns], names)
+
+        return step
+
+    return map_batches(asked, make, schema)
