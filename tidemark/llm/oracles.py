@@ -50,3 +50,47 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("assign", "ac
   {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_live", "n_copied", "n_unclear", "most_repositories", "most_owners"))}
 FROM d LEFT JOIN summed USING (row)
 """
+
+
+def _tree(name: str, leaves: str, depth: int) -> str:
+    """Levels of a tree over ``leaves`` (g, i, n, h), ``depth`` of them: each node with what stands before and after it in its run of eight."""
+    parts = []
+    for k in range(depth):
+        below = leaves if k == 0 else f"""(SELECT g, i // 8 AS i, (any_value(n) + 7) // 8 AS n, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k - 1} GROUP BY g, {name}{k - 1}.i // 8)"""
+        side = lambda frame: f"CASE WHEN n = 1 THEN '' ELSE coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN {frame}), '') END"
+        parts.append(f"{name}{k} AS MATERIALIZED (SELECT g, i, n, h, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS b, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS a FROM {below})")
+    return ",\n".join(parts)
+
+
+def _climb(start: str, depth: int, table: str, source: str) -> str:
+    """One common table expression a level, since nested CASEs would double at each."""
+    parts = []
+    for k in range(depth):
+        parts.append(f"{source}{k + 1} AS (SELECT x.* EXCLUDE (f, proof), CASE WHEN t.n = 1 THEN f ELSE sha256(t.b || f || t.a) END AS f, proof || t.b || t.a AS proof FROM {source}{k} x JOIN {table}{k} t ON x.{start}g = t.g AND x.{start}i // {8**k} = t.i)")
+    return ",\n".join(parts)
+
+
+#: Levels of a group's tree, and of the tree of groups: 8 ** 8 documents a language and 8 ** 4 languages.
+TREE, TOP = 9, 5
+_CRC = "CAST(xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda x, y: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda z, _: xor(z >> 1, 3988292384 * (z & 1)), xor(x, y)), CAST(4294967295 AS BIGINT)), 4294967295) AS BIGINT)"
+
+
+def _leaf(text: str) -> str:
+    framed = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP13 = f"""
+WITH leaves AS MATERIALIZED (
+  SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, h, coalesce(tampered, h) AS f
+  FROM (SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf('text')} AS h, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(_LOWER)} END AS tampered FROM documents)),
+{_tree('low', '(SELECT g, i, n, h FROM leaves)', TREE)},
+tops AS MATERIALIZED (SELECT g AS sub, h AS subroot, '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM low{TREE - 1}),
+{_tree('high', '(SELECT g, i, n, h FROM tops)', TOP)},
+climb0 AS (SELECT l.doc_id, l.h AS leaf, l.g, l.i, t.subroot, t.g AS top_g, t.i AS top_i, l.f, '' AS proof FROM leaves l JOIN tops t ON l.g = t.sub),
+{_climb('', TREE, 'low', 'climb')},
+rise0 AS (SELECT * FROM climb{TREE}),
+{_climb('top_', TOP, 'high', 'rise')}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM rise{TOP} CROSS JOIN high{TOP - 1} r
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, mixing, oracles, pii, secret_scan, sentence_pieces, simhash, suffix_dedup, token_counts, toxicity, winnowing
+from tidemark.llm import decontamination, language_id, merkle, mixing, oracles, pii, secret_scan, sentence_pieces, simhash, suffix_dedup, token_counts, toxicity, winnowing
 from tidemark.llm.base import remainder, table
 
 
@@ -60,5 +60,10 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secret_scan, op5_decontamination, op6_winnowing, op7_language_id, op8_pii, op9_suffix_dedup, op10_simhash, op12_sentence_pieces)}
-ORACLES: dict[str, str] = {"op4_secret_scan": oracles.OP4}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and digest of the proof of every document, and the root that a tampered copy gives."""
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secret_scan, op5_decontamination, op6_winnowing, op7_language_id, op8_pii, op9_suffix_dedup, op10_simhash, op12_sentence_pieces, op13_merkle_manifest)}
+ORACLES: dict[str, str] = {"op4_secret_scan": oracles.OP4, "op13_merkle_manifest": oracles.OP13}
