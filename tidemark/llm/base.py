@@ -42,8 +42,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, *keys: str) -> DataFrame:
-    """Inner join of ``rows``, whose keys may be skewed, to ``lookup``, which has one row a key; null keys meet nothing.
+def spread_join(rows: DataFrame, lookup: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join (``how``: inner or left) of ``rows``, whose keys may be skewed, to ``lookup``, which has one row a key; null keys meet nothing.
 
     Keys with over one in ``HOT_KEYS`` of the rows are ``HOT_KEYS`` at most, so their rows of ``lookup`` are broadcast
     and ``rows`` of such keys stay where they are; all others meet in a shuffle. ``rows`` are read three times: they
@@ -54,11 +54,12 @@ def spread_join(rows: DataFrame, lookup: DataFrame, *keys: str) -> DataFrame:
     hot = counted.where(F.col("_n") > bound).select(*keys)
     held = hot.collect()
     if not held:
-        return rows.join(lookup, list(keys))
+        return rows.join(lookup, list(keys), how)
     hot = F.broadcast(rows.sparkSession.createDataFrame(held, hot.schema))
     near = F.broadcast(lookup.join(hot, list(keys), "left_semi"))
-    far = rows.join(hot, list(keys), "left_anti").join(lookup.join(hot, list(keys), "left_anti"), list(keys))
-    return rows.join(near, list(keys)).unionByName(far)
+    far = rows.join(hot, list(keys), "left_anti").join(lookup.join(hot, list(keys), "left_anti"), list(keys), how)
+    here = rows if how == "inner" else rows.join(hot, list(keys), "left_semi")
+    return here.join(near, list(keys), how).unionByName(far)
 
 
 def texts(docs: DataFrame, *extra: str) -> DataFrame:

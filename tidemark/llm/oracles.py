@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+
 def _found() -> str:
     # DuckDB wants patterns as constants, so each kind is a select of its own.
     kinds = {
@@ -94,3 +97,25 @@ rise0 AS (SELECT * FROM climb{TREE}),
 {_climb('top_', TOP, 'high', 'rise')}
 SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM rise{TOP} CROSS JOIN high{TOP - 1} r
 """
+
+
+def _steps() -> str:
+    place = {f: 1 << i for i, f in enumerate("ABCDE")}
+    return ", ".join(f"('{''.join(p)}', {i + 1}, {place[f]}, {sum(place[x] for x in p[:i])})" for p in permutations("ABCDE") for i, f in enumerate(p))
+
+
+OP11 = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+flagged AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+  FROM d),
+judged AS (SELECT doc_id, CAST(bool_or(quality = 1) AS BIGINT) AS good, CAST(bool_or(toxic = 1) AS BIGINT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM flagged f LEFT JOIN judged j ON f.doc_id = j.doc_id GROUP BY part, mask),
+steps(filter_order, step, bit, earlier) AS (VALUES {_steps()}),
+each AS (SELECT *, (mask & bit) <> 0 AS fails, (mask & earlier) <> 0 AS gone FROM m CROSS JOIN steps)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce(sum({v}) FILTER (WHERE {c}), 0) AS BIGINT) AS {n}" for n, v, c in (("kept", "n", "NOT fails AND NOT gone"), ("removed", "n", "fails AND NOT gone"), ("redundant", "n", "fails AND gone"), ("unique_fails", "n", "mask = bit"), ("good_lost", "good", "fails AND NOT gone"), ("toxic_lost", "toxic", "fails AND NOT gone"), ("shapley", "n * 120 // greatest(bit_count(mask), 1)", "fails")))}
+FROM each GROUP BY part, filter_order, step
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, merkle, mixing, oracles, pii, secret_scan, sentence_pieces, simhash, suffix_dedup, token_counts, toxicity, winnowing
+from tidemark.llm import decontamination, filter_audit, language_id, merkle, mixing, oracles, pii, secret_scan, sentence_pieces, simhash, suffix_dedup, token_counts, toxicity, winnowing
 from tidemark.llm.base import remainder, table
 
 
@@ -55,6 +55,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in each of their orders."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, and digests of the ids and of the decoded text, of every document."""
     return sentence_pieces.digest(table(spark, sf_dir, "documents"))
@@ -65,5 +70,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secret_scan, op5_decontamination, op6_winnowing, op7_language_id, op8_pii, op9_suffix_dedup, op10_simhash, op12_sentence_pieces, op13_merkle_manifest)}
-ORACLES: dict[str, str] = {"op4_secret_scan": oracles.OP4, "op13_merkle_manifest": oracles.OP13}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_mixing, op4_secret_scan, op5_decontamination, op6_winnowing, op7_language_id, op8_pii, op9_suffix_dedup, op10_simhash, op11_filter_audit, op12_sentence_pieces, op13_merkle_manifest)}
+ORACLES: dict[str, str] = {"op4_secret_scan": oracles.OP4, "op11_filter_audit": oracles.OP11, "op13_merkle_manifest": oracles.OP13}
