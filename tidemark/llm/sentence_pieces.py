@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,24 +79,25 @@ class Segments:
     def __init__(self, words: list[str], ids: list[list[int]]):
         self.number = dict(zip(words, range(len(words))))
         self.length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.fromiter((i for x in ids for i in x), np.int32, int(self.length.sum()))
+        self.flat = np.fromiter(chain.from_iterable(ids), np.int32, int(self.length.sum()))
 
     def encoded(self, batch: list[list[str]], segment) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of them by text) of a batch of texts' words; words without a number are segmented now, once."""
-        seen = set().union(*batch) if batch else set()
-        fresh = list(seen - self.number.keys())
-        own = Segments(fresh, segment(fresh))
-        first = len(self.number)
-        number = self.number if not fresh else self.number | dict(zip(fresh, range(first, first + len(fresh))))
-        length, flat = np.concatenate([self.length, own.length]), np.concatenate([self.flat, own.flat])
-        start = np.cumsum(length) - length
         counts = np.fromiter(map(len, batch), np.int64, len(batch))
-        at = np.fromiter((number[w] for words in batch for w in words), np.int64, int(counts.sum()))
+        words = list(chain.from_iterable(batch))
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        length, flat = self.length, self.flat
+        if len(missing := np.flatnonzero(at < 0)):
+            fresh = [words[i] for i in missing.tolist()]
+            own = list(dict.fromkeys(fresh))
+            more = Segments(own, segment(own))
+            at[missing] = np.fromiter(map(more.number.__getitem__, fresh), np.int64, len(fresh)) + len(length)
+            length, flat = np.concatenate([length, more.length]), np.concatenate([flat, more.flat])
+        start = np.cumsum(length) - length
         took = length[at]
-        before = np.cumsum(took) - took
-        ids = flat[np.repeat(start[at] - before, took) + np.arange(int(took.sum()))]
-        ends = np.concatenate([[0], np.cumsum(took)])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(ends)
+        ends = np.cumsum(took)
+        ids = flat[np.repeat(start[at] - (ends - took), took) + np.arange(int(took.sum()))]
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def word_table(docs: DataFrame, model: str = MODEL) -> DataFrame:
