@@ -108,3 +108,50 @@ def test_edge_rows(spark):
     n = len(line)
     assert out == sorted([(1, n), (1, n), (2, n), (None, 0), (5, 0), (6, 0), (7, 0)], key=str)
     assert sd.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def compared(spark, rows):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.dedup(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept").collect()}
+    want = plain(rows)
+    assert [i for i in want if got[i] != want[i]] == [] and len(got) == len(want)
+    return sum(w[1] for w in want.values())
+
+
+def test_texts_that_repeat_only_inside_themselves(spark):
+    """Every period from 1 to 99, about the lengths at which the first window repeats."""
+    rng = random.Random(5)
+    texts = []
+    for p in range(1, 100):
+        for n in (100, 99 + p, 100 + p, 101 + p, 150, 199, 200, 250, 331, 400):
+            unit = "".join(rng.choice("abcdefghij") for _ in range(p))
+            texts.append("".join(chr(97 + rng.randrange(26)) for _ in range(rng.randrange(60))) + (unit * (n // p + 1))[:n] + str(rng.random()))
+    assert compared(spark, list(enumerate(texts))) > 100_000
+
+
+def runs(n):
+    rng = random.Random(6)
+    return [(i, "".join(rng.choice("xyz ") for _ in range(rng.randrange(30))) + rng.choice("ab-") * rng.choice([90, 99, 100, 101, 130, 200, 350]) + str(i)) for i in range(n)]
+
+
+def test_three_thousand_runs_of_a_byte(spark):
+    compared(spark, runs(3000))
+
+
+@pytest.mark.parametrize("group", [1, 2, 5])
+def test_the_size_of_groups_changes_nothing(spark, monkeypatch, group):
+    monkeypatch.setattr(sd, "GROUP", group)
+    compared(spark, runs(200) + [(5000 + i, ("".join(chr(97 + (i * k) % 26) for k in range(i + 1)) * 400)[: 150 + 2 * i]) for i in range(90)])
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_whole_tables(spark, size):
+    compared(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{size}/documents.parquet").collect()])
+
+
+def test_own_repeats_are_those_within_a_window():
+    rng = random.Random(8)
+    for _ in range(150):
+        data = bytes(rng.choice(b"ab") for _ in range(rng.randrange(80))) + (bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 120))) * 9)[: rng.randrange(600)] + bytes(rng.choice(b"xyz") for _ in range(rng.randrange(80)))
+        near = {i for p in range(1, 100) for i in range(p, len(data) - 99) if data[i : i + 100] == data[i - p : i - p + 100]}
+        found = sd.own_repeats(data, sd.gram_hashes(np.frombuffer(data, np.uint8))) if len(data) >= 100 else []
+        assert {i for a, b in found for i in range(a, b - 99)} == near

@@ -14,6 +14,8 @@ next to each other mostly share theirs and form a segment, so there is about one
    are merged. Neighbours in the suffix array with equal prefixes of 100 bytes are repeats of each other.
 3. The classes of an anchor group of over ``GROUP`` are segmented again by the least hash of longer grams, and go
    through the same two steps; at the last length a gram is the whole window, and a group holds equal windows alone.
+4. Windows that repeat one starting under 100 bytes before them (stretches of a short period, such as rules of dashes)
+   are found in their own text, before anything is shuffled: two windows of one segment are never further apart.
 
 So the suffix arrays are built shard by shard, each whole in one task, and Spark deals out the shards; triples are not
 sorted across tasks. Equal segments never reach a suffix array: they are told by 64-bit hashes of their bytes.
@@ -53,17 +55,23 @@ def gram_hashes(data: np.ndarray, gram: int = GRAMS[0]) -> np.ndarray:
     return h
 
 
-def segments(data: bytes, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, end) of the runs of windows that have one anchor; ``end`` is that of the last window."""
+def segments(data: bytes, gram: int = GRAMS[0], hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, start, end) of the runs of windows that have one anchor; ``end`` is that of the last window.
+
+    Where a gram is the whole window, windows next to each other are of one anchor in runs of one byte alone, and all
+    but the first repeat it (see ``own_repeats``): that first window is the segment.
+    """
     if len(data) < WINDOW:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least, span, wide = gram_hashes(np.frombuffer(data, np.uint8), gram), 1, WINDOW - gram + 1
+    least, span, wide = gram_hashes(np.frombuffer(data, np.uint8), gram) if hashes is None else hashes, 1, WINDOW - gram + 1
     while 2 * span <= wide:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if wide > span:
         least = np.minimum(least[: span - wide], least[wide - span :])
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    if gram == WINDOW:
+        return least[starts], starts, starts + WINDOW
     # Long runs (of periodic text) are cut, at a distance from their start that their bytes alone decide.
     ends = np.concatenate([starts[1:], [len(least)]])
     if (ends - starts).max(initial=0) > 100:
@@ -72,6 +80,39 @@ def segments(data: bytes, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray,
     return least[starts], starts, ends - 1 + WINDOW
 
 
+def own_repeats(data: bytes, hashes: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of what windows cover that repeat a window starting under 100 bytes before them in the same text.
+
+    Two such windows at a distance p make a stretch of period p. In it the grams at x and x + p have equal hashes for
+    69 places in a row, so one of these places is a multiple of 64: only these are looked at, against the 99 grams
+    behind each, and the bytes decide how far the period holds. Windows of one segment are never further apart, so
+    segments need comparing with others only.
+    """
+    n = len(hashes)
+    if n < WINDOW - GRAMS[0] + 2:
+        return []
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([hashes, np.zeros(WINDOW - 1, np.uint64)]), WINDOW)[:n:64]
+    rows, gaps = np.nonzero(near[:, 1:] == near[:, :1])
+    raw, out, done = np.frombuffer(data, np.uint8), [], {}
+    for x, p in zip((rows * 64).tolist(), (gaps + 1).tolist()):
+        if x < done.get(p, 0):
+            continue
+        low = max(0, x - 64)
+        differ = np.flatnonzero(raw[low:x] != raw[low + p : x + p])
+        left = low + int(differ[-1]) + 1 if len(differ) else low
+        right, step = x, 256
+        while right + p < len(raw):
+            differ = raw[right : right + step][: len(raw) - right - p] != raw[right + p : right + p + step]
+            if differ.any():
+                right += int(differ.argmax())
+                break
+            right, step = right + len(differ), step * 2
+        done[p] = right
+        if right - left >= WINDOW:
+            out.append((left + p, right + p))
+    return out
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """The order of the suffixes of a string of positive integers, by the difference cover {1, 2} modulo 3."""
     n = len(s)
@@ -162,13 +203,16 @@ def _segment_rows(texts: Iterable[tuple[int, int, int, bytes]], gram: int) -> pa
     """Segments of (d, t, place of the first byte, bytes): ``gram``, ``class``, ``d``, ``t``, ``pos``, one row for each class here.
 
     Members of a class after its first come as rows with ``later`` set, merged where they overlap: ``d``, ``t``,
-    ``pos`` (of the start) and, as ``gram``, the end.
+    ``pos`` (of the start) and, as ``gram``, the end. So do, for whole texts (the shortest grams), their own repeats.
     """
     from xxhash import xxh64_intdigest
 
-    out = [[np.zeros(0, np.int64)] for _ in range(5)]
+    out, own = [[np.zeros(0, np.int64)] for _ in range(5)], []
     for d, t, base, data in texts:
-        grams, a, b = segments(data, gram)
+        hashes = gram_hashes(np.frombuffer(data, np.uint8), gram) if len(data) >= WINDOW else None
+        grams, a, b = segments(data, gram, hashes)
+        if gram == GRAMS[0] and hashes is not None:
+            own += [(d, t, start << 9, end) for start, end in own_repeats(data, hashes)]
         out[0].append(grams.view(np.int64))
         out[1].append(np.fromiter((xxh64_intdigest(data[i:j]) for i, j in zip(a.tolist(), b.tolist())), np.uint64, len(a)).view(np.int64))
         out[2].append(np.full(len(a), d, np.int64))
@@ -177,7 +221,7 @@ def _segment_rows(texts: Iterable[tuple[int, int, int, bytes]], gram: int) -> pa
     rows = np.stack([np.concatenate(c) for c in out])
     rows = rows[:, np.lexsort(rows[::-1])]
     _, new_class, later = _told_apart(rows)
-    d, t, pos, end = _merged(*rows[2:, later])
+    d, t, pos, end = (np.concatenate(x) for x in zip(_merged(*rows[2:, later]), np.array(own, np.int64).reshape(-1, 4).T))
     columns = [np.concatenate(c) for c in zip(rows[:, new_class], (end, np.zeros_like(end), d, t, pos))]
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(columns[0])) >= np.count_nonzero(new_class)), *map(pa.array, columns)], ["later", "gram", "class", "d", "t", "pos"])
 
@@ -354,7 +398,7 @@ def _removals(held: DataFrame) -> DataFrame:
         if i:
             known = _classes(_finer(_bytes_of(held, known.where(F.col("classes") > GROUP)), gram))
         parts.append(known.where("classes = 0").select("d", "t", _start(F.col("pos")).alias("start"), F.col("gram").alias("end")))
-        if gram < WINDOW:  # segments of one window that differ share none
+        if gram < WINDOW:  # at the last length a segment is one window, and those that differ share none
             parts.append(_shards(_bytes_of(held, known.where(F.col("classes").between(2, GROUP)))))
     return reduce(DataFrame.unionByName, parts)
 
