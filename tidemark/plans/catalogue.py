@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import adjustment, asof, identity, quality, spreads, survey, validation
-from tidemark.plans import market, readers
+from tidemark.plans import market, readers, stores
 from tidemark.schemas import EQUITY_SERIES
 from tidemark.sources import files, registry, sinks
 
@@ -315,7 +315,7 @@ FROM schedule x ASOF JOIN adjusted b ON x.isin = b.isin AND x.ex_date > b.trade_
 }
 
 
-_ENTRIES |= readers.entries(DIVERGENT, PRIMARY, TRACKS)
+_ENTRIES |= readers.entries(DIVERGENT, PRIMARY, TRACKS) | stores.entries(DIVERGENT, PRIMARY, TRACKS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
