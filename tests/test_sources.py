@@ -144,3 +144,105 @@ def test_append_only_facts_and_stream(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in plan
     sinks.export_csv(ranged, str(tmp_path / "csv"), "trade_date")
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
+
+
+def day_sources(spark):
+    return {"b": "BSE", "n": "NSE"}, spark.createDataFrame(
+        [(s, a, v, e) for s in "bn" for a, v, e in ((date(1990, 1, 1), "legacy", date(2024, 7, 5)), (date(2024, 7, 8), "udiff", None))],
+        "source_id string, effective_from date, version string, effective_to date")
+
+
+OLD_BSE = "SC_CODE,SC_NAME,SC_GROUP,OPEN,HIGH,LOW,CLOSE,PREVCLOSE,NO_TRADES,NO_OF_SHRS,NET_TURNOV,ISIN_CODE,TRADING_DATE\n500001,NAME   ,A ,1,2,1,{close},,5,10,20,IN0123456789,{day:%d-%b-%y}\n500002,N,G,1,1,1,1,1,1,1,1,IN0123456780,{day:%d-%b-%y}\n"
+OLD_NSE = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TIMESTAMP,TOTALTRADES,ISIN\nSYM,EQ,1,2,1,{close},,10,20,{day:%d-%b-%Y},3,IN0123456789\n"
+NEW = UDIFF + "{day},CM,500001,IN0123456789,SYM,{series}, Name ,1.5,2,1,{close},,100, ,7\n"
+
+
+def zipped(text, entries=1):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for i in range(entries):
+            z.writestr(f"x{i}.csv", text)
+    return data.getvalue()
+
+
+def test_a_hundred_day_files_of_both_versions_in_one_plan(spark, tmp_path):
+    from datetime import timedelta
+
+    from tidemark.sources import day_files
+
+    rows, wanted = [], set()
+    for k in range(50):
+        day = date(2024, 6, 10) + timedelta(k)
+        for s, old, series in (("b", OLD_BSE, "A"), ("n", OLD_NSE, "EQ")):
+            text = (old if day <= date(2024, 7, 5) else NEW).format(day=day, close=k + 1, series=series)
+            rows.append((s, f"{day:%Y%m%d}", ".zip" if s == "n" else ".csv", zipped(text) if s == "n" else ("﻿" + text).encode()))
+            if day not in (date(2024, 7, 6), date(2024, 7, 7)):
+                wanted.add(("BSE" if s == "b" else "NSE", day, float(k + 1)))
+    root = str(tmp_path / "land")
+    landing = spark.createDataFrame(rows, "source_id string, partition string, suffix string, content binary").repartition(5)
+    day_files.land(landing, root)
+    venues, versions = day_sources(spark)
+    bars = day_files.read_days(spark, root, venues, versions)
+    got = bars.collect()
+    assert {(r.venue, r.day, float(r.close)) for r in got} == wanted and len(got) == len(wanted) and all(r.day == r.trade_date for r in got)
+    assert {(r.venue, r.local_symbol, r.scrip_code) for r in got if r.day < date(2024, 7, 6)} == {("BSE", "500001", "500001"), ("NSE", "SYM", None)}
+    assert bars._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    scanned = day_files.scan_days(spark, root, venues, versions)
+    assert {(r.source_id, r.day.day, r.error) for r in day_files.bad_files(scanned).collect()} == {(s, d, "failed: no schema version in force") for s in "bn" for d in (6, 7)}
+
+
+def test_bad_day_files_are_rows_and_good_ones_are_read(spark, tmp_path):
+    from tidemark.sources import day_files
+
+    text, day = NEW.format(day="2024-08-14", close=3, series="A"), "20240814"
+    files_ = {
+        "20240801.csv": text.encode(), "20240802.csv": b" \n<html>", "20240803.zip": zipped(text, 2), "20240804.zip": zipped(text)[:50], "20240805.csv": text.replace("ISIN", "Isin").encode(), "20240806.csv": (text + "1,2\n").encode(),
+        "20240807.csv": b"", "20240808.csv": UDIFF.encode(), "notes.csv": text.encode(), "20249999.csv": text.encode(), "20240809.zip": zipped(text), "20240810.csv": text.replace("TradDt", " TradDt").encode(),
+    }
+    (tmp_path / "land" / "b").mkdir(parents=True)
+    for name, data in files_.items():
+        (tmp_path / "land" / "b" / name).write_bytes(data)
+    venues, versions = day_sources(spark)
+    scanned = day_files.scan_days(spark, str(tmp_path / "land"), venues, versions)
+    errors = {r.path: r.error for r in day_files.bad_files(scanned).collect()}
+    assert {p[2:] for p in errors} == set(files_) - {"20240801.csv", "20240808.csv", "20240809.zip"}
+    for name, reason in (("20240802.csv", "web page"), ("20240803.zip", "2 entries"), ("20240804.zip", "no archive"), ("20240805.csv", "missing: ISIN"), ("notes.csv", "no day"), ("20249999.csv", "no day"), ("20240810.csv", "missing: TradDt")):
+        assert reason in errors["b/" + name], name
+    assert {r.path: (r.at, r.error) for r in scanned.where("path = 'b/20240808.csv'").collect()} == {"b/20240808.csv": (None, None)}
+    assert day_files.typed(scanned).count() == 2
+    (counts,) = day_files.outcomes(scanned, "2024-08-01", "2024-08-16").collect()
+    assert tuple(counts) == ("b", 3, 12 - 3 - 3, 3) and day in text.replace("-", "")
+    bad = tmp_path / "bad"
+    (bad / "b").mkdir(parents=True)
+    (bad / "b" / "20240814.csv").write_text(text.replace(",3,", ",x,"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+        day_files.read_days(spark, str(bad), venues, versions).collect()
+    assert day_files.scan_days(spark, str(tmp_path / "none"), venues, versions).count() == 0
+
+
+def test_filters_drop_files_before_they_are_opened(spark, tmp_path):
+    from tidemark.sources import day_files
+
+    (tmp_path / "land" / "b").mkdir(parents=True)
+    for d in (1, 2, 5, 6):
+        (tmp_path / "land" / "b" / f"2024080{d}.csv").write_text(NEW.format(day=f"2024-08-0{d}", close=d, series="A"))
+    venues, versions = day_sources(spark)
+    scanned = day_files.scan_days(spark, str(tmp_path / "land"), venues, versions).where("day >= DATE '2024-08-02' AND day < DATE '2024-08-06' AND source_id = 'b'")
+    (tmp_path / "land" / "b" / "20240801.csv").chmod(0)
+    (tmp_path / "land" / "b" / "20240801.csv").write_bytes(b"not read")
+    assert sorted(r.day.day for r in scanned.collect()) == [2, 5]
+    reader = day_files.DayFileReader({"path": str(tmp_path / "land"), "venues": '{"b": "BSE"}', "versions": "[]"})
+    list(reader.pushFilters([day_files.GreaterThan(("day",), date(2024, 8, 2)), day_files.EqualTo(("venue",), "BSE")]))
+    assert [f[2].day for p in reader.partitions() for f in p.value] == [5, 6]
+
+
+def test_landing_keeps_what_is_there(spark, tmp_path):
+    from tidemark.sources import day_files
+
+    root, shape = str(tmp_path / "land"), "source_id string, partition string, suffix string, content binary, extra int"
+    day_files.land(spark.createDataFrame([("b", "20240801", ".csv", b"one", 1), ("b", "20240802", ".csv", b" <page>", 1), ("n", "20240801", ".zip", None, 1)], shape), root)
+    day_files.land(spark.createDataFrame([("b", "20240801", ".csv", b"two", 1), ("b", "20240803", ".csv", b"three", 1)], shape), root)
+    found = {p.relative_to(root).as_posix(): p.read_bytes() for p in (tmp_path / "land").rglob("*") if p.is_file()}
+    assert found == {"b/20240801.csv": b"one", "b/20240803.csv": b"three", "n/20240801.zip": b""}
+    with pytest.raises(Exception, match="append"):
+        spark.createDataFrame([("b", "1", ".x", b"")], "source_id string, partition string, suffix string, content binary").write.format("landing").option("path", root).mode("overwrite").save()

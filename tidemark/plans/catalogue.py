@@ -315,7 +315,7 @@ FROM schedule x ASOF JOIN adjusted b ON x.isin = b.isin AND x.ex_date > b.trade_
 }
 
 
-_ENTRIES |= readers.entries(DIVERGENT, PRIMARY, TRACKS) | stores.entries(DIVERGENT, PRIMARY, TRACKS)
+_ENTRIES |= readers.entries(DIVERGENT, PRIMARY, TRACKS) | stores.entries(PRICE_COLUMNS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

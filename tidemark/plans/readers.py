@@ -265,12 +265,6 @@ def _verdicts_added(s, d):
     return sinks.add_verdicts(days.where("venue = 'BSE'"), days.withColumn("bars", F.lit(-1)))
 
 
-def _synced(s, d):
-    versions = registry.load_registry(s, VERSIONS)[1]
-    other = s.createDataFrame([("bse", "old"), ("nse", "old")], "source_id string, version string").select("source_id", F.lit("1980-01-01").cast("date").alias("effective_from"), "version", F.lit(None).cast("date").alias("effective_to"))
-    return sinks.replace_versions(other, versions)
-
-
 def _lined(s, d):
     return market.observations(s, d).withColumn("line", F.col("local_symbol")).select("isin", "venue", "line", "trade_date", "turnover")
 
@@ -389,7 +383,6 @@ LEFT JOIN (SELECT trade_date, count(*) AS n, max(bps) AS worst FROM divergent GR
             f"SELECT {LISTING_TEXT.replace('scrip_code,', chr(39).join(['CASE WHEN isin < ', 'IN0000010000', ' THEN scrip_code ELSE ', 'new', ' END AS scrip_code,']))} FROM customer_listings"),
         "primary_venue_insert": (_spans_added, primary, "SELECT isin, CAST(effective_from AS VARCHAR) AS effective_from, CAST(as_of_date AS VARCHAR) AS as_of_date, CASE WHEN venue = 'BSE' THEN CAST(effective_to AS VARCHAR) END AS effective_to, venue FROM primary_venue"),
         "verdict_insert": (_verdicts_added, divergent, "SELECT venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(trade_date AS VARCHAR) AS as_of_date, detail IS NULL AS is_complete, CASE WHEN venue = 'BSE' THEN bars ELSE -1 END AS bars, divergent_instruments FROM verdicts"),
-        "registry_sync": (_synced, "", "SELECT * FROM (VALUES ('bse', '1990-01-01', 'legacy', '1997-12-31'), ('bse', '1998-02-01', 'udiff', NULL), ('nse', '1980-01-01', 'old', NULL)) AS t(source_id, effective_from, version, effective_to)"),
         "dominant_rows": (
             _dominant_rows, "",
             "SELECT o.isin, o.venue, local_symbol AS line, count(*) AS n FROM observations o SEMI JOIN (SELECT * FROM (SELECT isin, venue, local_symbol AS line, sum(turnover) AS t FROM observations GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY isin, venue ORDER BY t DESC, line) = 1) w ON o.isin = w.isin AND o.venue = w.venue AND local_symbol = line GROUP BY ALL"),

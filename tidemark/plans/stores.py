@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans import readers
-from tidemark.sources import day_files, files, registry
+from tidemark.operators import asof, spreads
+from tidemark.plans import market, readers
+from tidemark.sources import counters, day_files, files, registry, sinks, snapshots
+from tidemark.sources.snapshots import Store
 
 VENUES = {"bse_bars": "BSE", "nse_bars": "NSE"}
 VERSIONS = "\n".join(
@@ -99,6 +101,80 @@ def _pruned(s, d):
     return scanned.groupBy("path", "version").agg(F.count("at").alias("n"), F.max("error").alias("error"))
 
 
+def _counted(s, d):
+    """Bars and actions are written once, and the counts come with the writes."""
+    text = readers._text(s, d)
+    rows = text.withColumn("venue", F.when(F.col("code").cast("long") % 2 == 0, "BSE").otherwise("NSE")).withColumn("series", F.when(F.col("volume") != "13", F.col("series")))
+    bars, seen = counters.equity_counted(rows)
+    bars.write.parquet(fresh(s, d, "counted_bars"))
+    records = files.parse_actions(readers._payloads(s, d))
+    actions, told = counters.actions_counted(records, files.bse_scrips(readers._customer_listings(s, d)), readers.REPORTED, "bse_actions")
+    actions.write.parquet(fresh(s, d, "counted_actions"))
+    return s.createDataFrame(counters.as_rows(seen, "bars") + counters.as_rows(told, "actions"), "run string, what string, code string, n long")
+
+
+def _appended(s, d):
+    """Deliveries in three appends that overlap: the first half, all but some, all of them again."""
+    facts, store = market.delivery_daily(s, d), Store(s, fresh(s, d, "appended"))
+    for some in ("as_of_date < DATE '1997-06-01'", "delivery_quantity % 7 <> 0", "true"):
+        snapshots.append_new(store, facts.where(some), "delivery_daily")
+    return store.read()
+
+
+def _maintained(s, d):
+    """The latest price of each key after ten batches of versions, some of them late."""
+    arrived, store = fresh(s, d, "arrived"), Store(s, fresh(s, d, "maintained"))
+    market.price_daily(s, d).write.parquet(arrived)
+    facts = s.read.parquet(arrived)
+    for i in range(10):
+        snapshots.keep_latest(store, facts.where(F.pmod(F.xxhash64("isin", "as_of_date"), F.lit(10)) == i), asof.PRICE_KEYS, batch_id=i)
+    return store.read()
+
+
+def bucketed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Prices and deliveries as tables laid out by key."""
+    tag = f"{zlib.crc32(d.encode()):08x}"
+    return sinks.save_bucketed(market.price_daily(s, d), f"price_by_key_{tag}", 8), sinks.save_bucketed(market.delivery_daily(s, d), f"delivery_by_key_{tag}", 8)
+
+
+def _participation(s, d):
+    prices, deliveries = bucketed(s, d)
+    return spreads.delivery_participation(asof.latest_price(prices), asof.latest_delivery(deliveries))
+
+
+def _sources(s, d):
+    """Nations as sources: the tier is the region, the number of customers the rate."""
+    n = readers._table(s, d, "nation")
+    rate = readers._table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.count("*") % 90 + 1).cast("decimal(6,3)").alias("rate"))
+    return n.join(rate, "n_nationkey").select("n_nationkey", F.col("n_name").alias("source_id"), (F.col("n_regionkey") % 4 + 1).cast("short").alias("tier"), F.lit(None).cast("string").alias("sebi_curation_ref"), F.concat(F.lit("https://example.org/"), "n_nationkey").alias("base_url"), F.col("rate").alias("requests_per_second"), F.lit("keep").alias("cache_policy"), F.lit(None).cast("string").alias("owner_notes"))
+
+
+def _versions(s, d):
+    """Each nation's suppliers as versions: one begins with each of the first days of their sales."""
+    sold = readers._table(s, d, "lineitem").join(readers._table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(readers._table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return sold.groupBy(F.col("n_name").alias("source_id"), F.trunc(F.col("l_shipdate").cast("date"), "year").alias("effective_from")).agg(F.concat(F.lit("v"), F.min("l_suppkey")).alias("version")).withColumn("effective_to", F.last_day(F.add_months("effective_from", 11)))
+
+
+def _synced(s, d):
+    """A registry of all nations, then a sync of some of them: new addresses, and versions from 1996 on; every eleventh loses its versions."""
+    root, sources, versions = fresh(s, d, "registry"), _sources(s, d), _versions(s, d)
+    snapshots.sync_registry(s, root, sources.drop("n_nationkey"), versions)
+    some = sources.where("n_nationkey % 3 = 1").withColumn("base_url", F.concat("base_url", F.lit("/new"))).drop("n_nationkey")
+    later = versions.where("effective_from >= DATE '1996-01-01'").join(sources.where("n_nationkey % 3 = 1 AND n_nationkey % 11 <> 1").select("source_id"), "source_id", "left_semi")
+    snapshots.sync_registry(s, root, some, later.select("source_id", "effective_from", F.concat("version", F.lit("b")).alias("version"), "effective_to"))
+    kept = Store(s, f"{root}/source_registry").read().select("source_id", "tier", "base_url", "requests_per_second")
+    return kept.join(Store(s, f"{root}/source_schema_version").read(), "source_id", "left")
+
+
+def _merged_listings(s, d):
+    """Listings of some customers, then a merge of all: closed ones close, new ones come."""
+    store, listings = Store(s, fresh(s, d, "listings")), readers._customer_listings(s, d)
+    opened = listings.where("isin < 'IN0000010000'").withColumns({"delisting_date": F.lit(None).cast("date"), "closure_reason": F.lit(None).cast("string")})
+    store.replace(opened)
+    snapshots.merge_into(store, listings.withColumn("scrip_code", F.lit("new")), snapshots.MERGES["listing"])
+    return store.read()
+
+
 MONTH_FILES = """
 month_files AS (
   SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 'bse_bars' ELSE 'nse_bars' END AS source_id, m + CAST(8 - isodow(m) AS INTEGER) AS file_day
@@ -123,10 +199,14 @@ day_rows AS (
     CAST(l_extendedprice AS DECIMAL(18,2)) AS p, CAST(l_quantity AS BIGINT) AS volume, l_linenumber AS n
   FROM month_files f JOIN states s ON f.source_id = s.source_id AND f.file_day = s.file_day WHERE error IS NULL)"""
 )
+COUNTED = """
+series_rows AS (
+  SELECT CASE WHEN l_partkey % 2 = 0 THEN 'BSE' ELSE 'NSE' END AS venue, CASE WHEN l_quantity <> 13 THEN list_extract(['A', 'EQ', 'G', 'B', 'BE', 'X', 'GB'], CAST((l_linenumber + l_partkey) % 7 + 1 AS INTEGER)) END AS series FROM lineitem),
+judged_rows AS (SELECT *, coalesce(CASE venue WHEN 'BSE' THEN series IN ('A', 'B', 'X') ELSE series IN ('EQ', 'BE') END, false) AS equity FROM series_rows)"""
 FIRST, LAST = "1995-01-02", "2001-12-31"
 
 
-def entries(divergent: str, primary: str, tracks: str) -> dict[str, tuple]:
+def entries(price_columns: str) -> dict[str, tuple]:
     """Name to (plan, extra common table expressions, select), as in the catalogue."""
     weekdays = f"(SELECT count(*) FROM (SELECT unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 1 DAY)) AS x) WHERE isodow(x) <= 5)"
     return {
@@ -135,6 +215,29 @@ def entries(divergent: str, primary: str, tracks: str) -> dict[str, tuple]:
         "day_files_pruned": (
             _pruned, MONTH_FILES,
             "SELECT path, 'legacy' AS version, CASE WHEN error IS NULL THEN n ELSE 0 END AS n, error FROM file_paths WHERE source_id = 'nse_bars' AND file_day >= DATE '1996-02-01' AND file_day < DATE '1997-01-01'"),
+        "observed_counts": (
+            _counted, COUNTED + "," + readers.ANNOUNCED,
+            """SELECT 'bars' AS run, 'read' AS what, NULL AS code, count(*) AS n FROM judged_rows UNION ALL SELECT 'bars', 'kept', NULL, count(*) FROM judged_rows WHERE equity
+UNION ALL SELECT 'bars', 'skipped', venue || ':' || coalesce(series, '(none)'), count(*) FROM judged_rows WHERE NOT equity GROUP BY 3
+UNION ALL SELECT 'actions', 'read', NULL, count(*) FROM orders UNION ALL SELECT 'actions', 'unmatched', NULL, count(*) - (SELECT count(*) FROM terms) FROM orders
+UNION ALL SELECT 'actions', 'unhandled', NULL, count(*) FROM terms WHERE action_type = 'unhandled' UNION ALL SELECT 'actions', 'kept', NULL, count(*) FROM terms WHERE action_type <> 'unhandled'
+UNION ALL SELECT 'actions', 'kinds', action_type, count(*) FROM terms WHERE action_type <> 'unhandled' GROUP BY 3"""),
+        "append_once": (_appended, "", "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(as_of_date AS VARCHAR) AS as_of_date, delivery_quantity FROM delivery_daily"),
+        "latest_maintained": (_maintained, "", f"SELECT {price_columns} FROM latest_price"),
+        "latest_bucketed": (lambda s, d: asof.latest_price(bucketed(s, d)[0]), "", f"SELECT {price_columns} FROM latest_price"),
+        "participation_bucketed": (
+            _participation, "",
+            "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(greatest(p.as_of_date, q.as_of_date) AS VARCHAR) AS as_of_date, volume, delivery_quantity, CAST((2000000 * CAST(delivery_quantity AS HUGEINT) + volume) // nullif(2 * volume, 0) AS DOUBLE) / 10000 AS delivery_pct FROM latest_price p JOIN latest_delivery q USING (isin, venue, trade_date)"),
+        "registry_sync": (
+            _synced, "",
+            """SELECT n.source_id, tier, base_url, requests_per_second, CAST(effective_from AS VARCHAR) AS effective_from, version, CAST(effective_to AS VARCHAR) AS effective_to
+FROM (SELECT n_nationkey AS k, n_name AS source_id, n_regionkey % 4 + 1 AS tier, 'https://example.org/' || n_nationkey || CASE WHEN n_nationkey % 3 = 1 THEN '/new' ELSE '' END AS base_url, CAST(c % 90 + 1 AS DOUBLE) AS requests_per_second
+  FROM nation JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey) n
+LEFT JOIN (SELECT n_name AS source_id, CAST(date_trunc('year', l_shipdate) AS DATE) AS effective_from, 'v' || min(l_suppkey) || CASE WHEN n_nationkey % 3 = 1 THEN 'b' ELSE '' END AS version, CAST(date_trunc('year', l_shipdate) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) AS effective_to
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 3 <> 1 OR n_nationkey % 11 <> 1 AND l_shipdate >= DATE '1996-01-01' GROUP BY n_nationkey, n_name, date_trunc('year', l_shipdate)) v ON n.source_id = v.source_id"""),
+        "stored_listing_merge": (
+            _merged_listings, readers.CUSTOMER_LISTINGS,
+            f"SELECT {readers.LISTING_TEXT.replace('scrip_code,', chr(39).join(['CASE WHEN isin < ', 'IN0000010000', ' THEN scrip_code ELSE ', 'new', ' END AS scrip_code,']))} FROM customer_listings"),
         "day_outcomes": (
             lambda s, d: day_files.outcomes(_landed_days(s, d, "day_outcomes"), FIRST, LAST), MONTH_FILES,
             f"SELECT source_id, count(*) FILTER (WHERE error IS NULL) AS published, {weekdays} - count(*) FILTER (WHERE error IS NULL OR error LIKE 'failed%') AS missing, count(*) FILTER (WHERE error LIKE 'failed%') AS failed FROM file_paths WHERE file_day BETWEEN DATE '{FIRST}' AND DATE '{LAST}' GROUP BY 1"),

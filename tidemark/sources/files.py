@@ -170,11 +170,16 @@ def normalize_actions(rows: DataFrame, scrips: DataFrame, as_of: str, source_id:
     """(actions, rows whose terms the text doesn't give) of known scrips; of equal keys the first in the file stays."""
     parsed = rows.join(scrips.select("scrip_code", "isin"), "scrip_code").withColumn("a", parse_purpose(F.col("purpose")))
     unhandled = parsed.where("a.action_type = 'unhandled'").select("isin", "purpose", "exdate")
-    known = parsed.where("a.action_type <> 'unhandled'").select("isin", "ordinal", "a.*", F.to_date("exdate", "yyyyMMdd").alias("ex_date"))
+    return dated_actions(parsed.where("a.action_type <> 'unhandled'"), as_of, source_id), unhandled
+
+
+def dated_actions(parsed: DataFrame, as_of: str, source_id: str) -> DataFrame:
+    """Corporate actions of records with ``isin`` and their terms ``a``; of equal keys the first in the file stays."""
+    known = parsed.select("isin", "ordinal", "a.*", F.to_date("exdate", "yyyyMMdd").alias("ex_date"))
     w = Window.partitionBy("isin", "action_type", "ex_date", "qualifier").orderBy("ordinal")
     first = known.withColumn("_at", F.row_number().over(w)).where("_at = 1")
     dated = first.withColumn("as_of_date", F.lit(as_of).cast("date")).withColumn("source_id", F.lit(source_id))
-    return dated.select(*(F.col(f.name).cast(f.dataType) for f in CORPORATE_ACTION)), unhandled
+    return dated.select(*(F.col(f.name).cast(f.dataType) for f in CORPORATE_ACTION))
 
 
 def bse_scrips(listings: DataFrame) -> DataFrame:

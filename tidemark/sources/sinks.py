@@ -52,6 +52,11 @@ def add_verdicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return insert_if_absent(existing, incoming, ["venue", "trade_date", "as_of_date"])
 
 
+def merge_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Sources by id: what is known of one is replaced whole."""
+    return merge(existing, incoming, ["source_id"], [c for c in incoming.columns if c != "source_id"])
+
+
 def replace_versions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """All schema versions of the incoming sources are replaced; other sources keep theirs."""
     return existing.join(incoming.select("source_id").distinct(), "source_id", "left_anti").unionByName(incoming)
@@ -72,6 +77,16 @@ def read_facts(spark, path: str, first: str | None = None, last: str | None = No
     return df.drop("year")
 
 
+def save_bucketed(facts: DataFrame, name: str, buckets: int, keys: Sequence[str] = ("isin", "venue", "trade_date")) -> DataFrame:
+    """Facts as a table laid out by key: hashed to ``buckets`` and sorted in each, as-of date last; the table is returned.
+
+    Rows of one key are in one bucket, so the latest version of each is found, and tables laid out alike are joined on
+    the key, without a shuffle. One file a bucket: rows are dealt by the same hash before they are written.
+    """
+    facts.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, "as_of_date").saveAsTable(name)
+    return facts.sparkSession.table(name)
+
+
 def first_of_key(rows: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
     """The first row of each key by the order they were read in, kept in ``ordinal``."""
     return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal))).where("_at = 1").drop("_at")
