@@ -45,12 +45,6 @@ def spread_bps(a: Column, b: Column) -> Column:
     return F.round((F.abs(a - b) * 20_000).cast("decimal(24,4)") / (a + b), 4)
 
 
-def greatest_divisor(a: Column, b: Column) -> Column:
-    """The greatest common divisor of two positive longs: Euclid's steps, 90 of which are enough for 18 digits."""
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s["a"])
-
-
 def no_places(c: Column) -> Column:
     """A number without decimals, ties to even, and without thousands separators."""
     return F.replace(F.format_number(c, 0), F.lit(","), F.lit(""))

@@ -6,10 +6,15 @@ after, and the price is divided once. Products that outgrow 38 digits fail rathe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+from math import gcd
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import greatest_divisor, ratio
+from tidemark.functions.scalars import ratio
 from tidemark.operators.asof import first_of_group
 from tidemark.schemas import COUNT_CHANGING
 
@@ -21,28 +26,64 @@ def effective_actions(actions: DataFrame, ties: tuple[Column, ...] = ()) -> Data
 
     The filter comes first: a newer version without terms does not take an older one's place.
     """
-    usable = actions.where(F.col("action_type").isin(*COUNT_CHANGING) & (F.coalesce("ratio_from", F.lit(0)) != 0) & (F.coalesce("ratio_to", F.lit(0)) != 0))
-    return first_of_group(usable, ["isin", "action_type", "ex_date"], F.col("as_of_date").desc(), *(ties or (F.col("source_id"), F.col("qualifier"))))
+    return first_of_group(_usable(actions), ["isin", "action_type", "ex_date"], *_newest(ties))
+
+
+def _usable(actions: DataFrame) -> DataFrame:
+    return actions.where(F.col("action_type").isin(*COUNT_CHANGING) & (F.coalesce("ratio_from", F.lit(0)) != 0) & (F.coalesce("ratio_to", F.lit(0)) != 0))
+
+
+def _newest(ties: tuple[Column, ...]) -> tuple[Column, ...]:
+    return F.col("as_of_date").desc(), *(ties or (F.col("source_id"), F.col("qualifier")))
+
+
+_STEPS = "isin string, valid_from date, ex_date date, held decimal(38,0), after decimal(38,0), factor double"
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps of rows (isin, ex_date, action_type, a, b) that arrive by instrument, latest ex-date first, newest version first.
+
+    One pass: two running products and the step that waits for the ex-date before it are all that is held.
+    """
+    isin, day, kinds, held, after = None, None, set(), 1, 1
+    out: list[tuple] = []
+    for batch in batches:
+        for i, d, kind, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            if day is not None and (i, d) != (isin, day):
+                out.append((isin, d if i == isin else None, day, held, after))
+                kinds = set()
+            if i != isin or day is None:
+                held, after = 1, 1
+            isin, day = i, d
+            if kind not in kinds:  # the newest version of a type counts, types of one day compound
+                kinds.add(kind)
+                g = gcd(a, b)
+                held, after = held * (a // g), after * (b // g)
+        if out:
+            yield _steps(out)
+            out = []
+    if day is not None:
+        yield _steps([(isin, None, day, held, after)])
+
+
+def _steps(rows: list[tuple]) -> pa.RecordBatch:
+    isin, start, end, held, after = zip(*rows)
+    whole = pa.decimal128(38, 0)
+    columns = [pa.array(isin, pa.string()), pa.array(start, pa.date32()), pa.array(end, pa.date32()), *(pa.array([Decimal(x) for x in c], whole) for c in (held, after)), pa.array([a / b for a, b in zip(held, after)], pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, ["isin", "valid_from", "ex_date", "held", "after", "factor"])
 
 
 def factor_schedule(actions: DataFrame, ties: tuple[Column, ...] = ()) -> DataFrame:
     """Steps (isin, valid_from, ex_date, held, after, factor): the factor holds from ``valid_from`` up to, not on, ``ex_date``.
 
-    ``held`` / ``after`` is the product of from/to of every action that goes ex later than the day; actions of one
-    ex-date compound. ``factor`` is the quotient as a double, for reading; prices use the whole numbers. Products
-    fold over a list, as there is no exact product aggregate; an instrument has few actions, so the lists are short.
-    The first step's ``valid_from`` is null.
+    ``held`` / ``after`` is the product of from/to of every effective action that goes ex later than the day; actions of
+    one ex-date compound. ``factor`` is the quotient as a double, for reading; prices use the whole numbers. The first
+    step's ``valid_from`` is null. Actions are shuffled once, by instrument, sorted once, and folded in that order in
+    linear time, since there is no exact product aggregate.
     """
-    fold = lambda xs: F.aggregate(xs, F.lit(1).cast(WHOLE), lambda a, b: (a * b).cast(WHOLE))
-    millionths = lambda c: (F.col(c).cast("decimal(18,6)") * 1_000_000).cast("long")
-    sides = effective_actions(actions, ties).select("isin", "ex_date", millionths("ratio_from").alias("a"), millionths("ratio_to").alias("b")).withColumn("g", greatest_divisor(F.col("a"), F.col("b")))
-    steps = sides.select("isin", "ex_date", *(F.expr(f"{c} div g").cast(WHOLE).alias(c) for c in "ab"))
-    daily = steps.groupBy("isin", "ex_date").agg(fold(F.collect_list("a")).alias("a"), fold(F.collect_list("b")).alias("b"))
-    before = Window.partitionBy("isin").orderBy(F.col("ex_date").desc())
-    later = before.rowsBetween(Window.unboundedPreceding, 0)
-    held, after = (fold(F.collect_list(c).over(later)).alias(n) for c, n in (("a", "held"), ("b", "after")))
-    found = daily.select("isin", F.lead("ex_date").over(before).alias("valid_from"), "ex_date", held, after)
-    return found.withColumn("factor", F.col("held").cast("double") / F.col("after").cast("double"))
+    millionths = lambda c: (F.col(c).cast("decimal(18,6)") * 1_000_000).cast("long").alias(c)
+    dealt = _usable(actions).repartition("isin").sortWithinPartitions("isin", F.col("ex_date").desc(), "action_type", *_newest(ties))
+    return dealt.select("isin", "ex_date", "action_type", millionths("ratio_from"), millionths("ratio_to")).mapInArrow(_folded, _STEPS)
 
 
 def scaled(price: Column, held: Column, after: Column) -> Column:

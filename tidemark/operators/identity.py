@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import is_isin
 from tidemark.operators.asof import first_of_group
-from tidemark.schemas import SETTLED_AFTER_DAYS, TURNOVER_WINDOW_DAYS
+from tidemark.schemas import FOREVER, SETTLED_AFTER_DAYS, TURNOVER_WINDOW_DAYS
 
 LINE = ("isin", "venue", "line")
 
@@ -94,6 +96,61 @@ def in_force(bars: DataFrame, listings: DataFrame) -> DataFrame:
     return bars.join(l, on).drop("_isin", "exchange")
 
 
+def matched(points: DataFrame, spans: DataFrame, keys: Sequence[str], day: str, start: str, end: str) -> DataFrame:
+    """How many spans hold each point: ``keys``, ``day``, ``matches`` and ``span``, the span's other columns where it is one.
+
+    Both ends of a span count, a null end is open, and a null day or key is in none. Spans are cut into the calendar
+    years that they touch and met by equality on key and year, so a span is compared with the days of its own years,
+    not with all of its key; an open one ends with the last point. Points are merged first, so repeated ones count once.
+    """
+    single = points.select(*keys, F.col(day).alias("_day")).distinct().withColumn("_year", F.year("_day"))
+    last = points.agg(F.max(F.year(day))).first()[0] or 0
+    until = F.least(F.coalesce(F.year(end), F.lit(last)), F.lit(last))
+    years = F.when(F.year(start) <= until, F.sequence(F.year(start), until)).otherwise(F.array().cast("array<int>"))
+    others = [c for c in spans.columns if c not in keys]
+    cut = spans.select(*keys, F.explode(years).alias("_year"), F.struct(*others).alias("_span"))
+    hit = single.join(cut, [*keys, "_year"], "left")
+    inside = (F.col("_day") >= F.col(f"_span.{start}")) & F.coalesce(F.col("_day") <= F.col(f"_span.{end}"), F.col("_span").isNotNull())
+    found = hit.withColumn("_in", F.coalesce(inside, F.lit(False))).groupBy(*keys, "_year", "_day").agg(F.count_if("_in").alias("matches"), F.any_value(F.when(F.col("_in"), F.col("_span")), True).alias("span"))
+    return found.select(*keys, F.col("_day").alias(day), "matches", F.when(F.col("matches") == 1, F.col("span")).alias("span"))
+
+
+def listing_matches(bars: DataFrame, listings: DataFrame) -> DataFrame:
+    """``isin``, ``venue``, ``trade_date``, ``matches`` and ``span`` (the listing in force, where it is exactly one)."""
+    spans = listings.select("isin", F.col("exchange").alias("venue"), F.col("local_symbol").alias("listed_symbol"), "scrip_code", "listing_date", "delisting_date")
+    return matched(bars, spans, ("isin", "venue"), "trade_date", "listing_date", "delisting_date")
+
+
+def exactly_in_force(bars: DataFrame, listings: DataFrame) -> DataFrame:
+    """Bars with ``listed_symbol``, ``listing_date`` and ``delisting_date`` of the one listing in force on their day.
+
+    A bar that none, or more than one, holds is an error, raised when it is read: see ``listing_matches`` for all of them.
+    """
+    found = listing_matches(bars, listings)
+    said = F.concat(F.col("matches").cast("string"), F.lit(" listings hold "), F.concat_ws(" ", "isin", "venue", F.col("trade_date").cast("string")))
+    one = F.when(F.col("matches") == 1, F.col("span")).otherwise(F.raise_error(said))
+    sure = found.select("isin", "venue", "trade_date", one.alias("span"))
+    return bars.join(sure, ["isin", "venue", "trade_date"]).select(*(bars[c] for c in bars.columns), "span.listed_symbol", "span.listing_date", "span.delisting_date")
+
+
+def resolve_dated_keys(rows: DataFrame, listings: DataFrame, venue: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with the ISIN that their key stood for on their day, keys and days with none or several) of a venue's rows.
+
+    ``rows`` have ``venue_key`` and ``trade_date``. A key that was handed on to another instrument resolves to each in
+    its time. Several listings of one ISIN agree; of different ones they are ``ambiguous``, and none is ``unknown``.
+    """
+    keyed = listings.where(F.col("exchange") == venue).select(F.coalesce("scrip_code", "local_symbol").alias("venue_key"), "isin", "listing_date", "delisting_date")
+    w = Window.partitionBy("venue_key", "isin").orderBy("listing_date", F.col("delisting_date").asc_nulls_last())
+    reach = F.max(F.coalesce("delisting_date", F.lit(FOREVER).cast("date"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (reach.isNull() | (F.col("listing_date") > F.date_add(F.least(reach, F.lit("9999-12-30").cast("date")), 1))).cast("int")
+    runs = keyed.withColumn("_run", F.sum(fresh).over(w)).groupBy("venue_key", "isin", "_run").agg(F.min("listing_date").alias("listing_date"), F.max(F.coalesce("delisting_date", F.lit(FOREVER).cast("date"))).alias("_until"))
+    merged = runs.select("venue_key", "isin", "listing_date", F.nullif("_until", F.lit(FOREVER).cast("date")).alias("delisting_date"))
+    found = matched(rows, merged, ("venue_key",), "trade_date", "listing_date", "delisting_date")
+    known = found.where("matches = 1").select("venue_key", "trade_date", "span.isin")
+    left = found.where("matches <> 1").select("venue_key", "trade_date", F.when(F.col("matches") == 0, "unknown").otherwise("ambiguous").alias("reason"))
+    return rows.join(known, ["venue_key", "trade_date"]), left
+
+
 def overlaps(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Spans that end after the next one of their group starts; expected to be none."""
     following = F.lead(start).over(Window.partitionBy(*keys).orderBy(start, F.col(end).asc_nulls_last()))

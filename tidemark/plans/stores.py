@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, spreads
+from tidemark.operators import asof, identity, spreads
 from tidemark.plans import market, readers
-from tidemark.sources import counters, day_files, files, registry, sinks, snapshots
+from tidemark.sources import counters, day_files, exports, files, registry, sinks, snapshots
 from tidemark.sources.snapshots import Store
 
 VENUES = {"bse_bars": "BSE", "nse_bars": "NSE"}
@@ -175,6 +175,75 @@ def _merged_listings(s, d):
     return store.read()
 
 
+def _exported(s, d):
+    """The latest prices as an ordered text, read back with their place in it."""
+    path = fresh(s, d, "exported")
+    exports.export_ordered(asof.latest_price(market.price_daily(s, d)), "price_daily", path)
+    return exports.numbered(exports.read_export(s, path, "price_daily")).select("n", "isin", "venue", "trade_date", "close", "previous_close")
+
+
+def _disorder(s, d):
+    """How many rows of an ordered export, and of the same lines in another order, stand before a smaller one."""
+    ordered, mixed = fresh(s, d, "ordered"), fresh(s, d, "mixed")
+    exports.export_ordered(readers._customer_listings(s, d), "listing", ordered)
+    s.read.text(ordered).orderBy(F.reverse("value")).coalesce(1).write.text(mixed)
+    keys = sinks.EXPORT_ORDER["listing"]
+    found = exports.disorder(exports.read_export(s, ordered, "listing"), keys).agg(F.count("*").alias("ordered"))
+    rows = exports.read_text_table(exports.numbered_lines(s, mixed), "listing", exports.header_of(s, ordered))
+    return found.select("ordered", F.lit(not exports.disorder(rows, keys).isEmpty()).alias("mixed"))
+
+
+def _loaded(s, d):
+    """Exports of three tables of one another, loaded in key order; then prices of unknown instruments, which are refused."""
+    folder, root = fresh(s, d, "seed"), fresh(s, d, "loaded")
+    facts = readers._facts(s, d)
+    known = facts["instrument_master"]()
+    for table, rows in (("instrument_master", known), ("price_daily", facts["price_daily"]()), ("delivery_daily", facts["delivery_daily"]()), ("listing", facts["listing"]().join(known.select("isin"), "isin", "left_semi"))):
+        exports.export_ordered(rows, table, f"{folder}/{table}.csv")
+    exports.bulk_load(s, folder, root)
+    late = fresh(s, d, "seed_late")
+    exports.export_ordered(market.customer_bars(s, d).distinct().select("isin", "venue", "trade_date", F.col("trade_date").alias("as_of_date"), F.lit(1).alias("delivery_quantity")), "delivery_daily", f"{late}/delivery_daily.csv")
+    try:
+        exports.bulk_load(s, late, root)
+        refused = "nothing"
+    except exports.ForeignKeyViolation as e:
+        refused = str(e).split(":")[0]
+    counted = [Store(s, f"{root}/{t}").read().agg(F.lit(t).alias("table"), F.count("*").alias("n")) for t in ("instrument_master", "listing", "price_daily", "delivery_daily")]
+    return files.concatenate(*counted).withColumn("refused", F.lit(refused))
+
+
+def _order_spans(s, d):
+    """Spans of customers' orders as listings of one venue, with days that none and days that several hold."""
+    days = market.customer_bars(s, d).select("isin", "trade_date").distinct().where("day(trade_date) > 8")
+    return days.select("isin", F.lit("NSE").alias("exchange"), F.concat(F.lit("S"), F.date_format("trade_date", "yyyyMMdd")).alias("local_symbol"), F.lit(None).cast("string").alias("scrip_code"), F.col("trade_date").alias("listing_date"),
+                       F.when(F.day("trade_date") != 13, F.date_add("trade_date", 90 + F.day("trade_date"))).alias("delisting_date"))
+
+
+def _matches(s, d):
+    found = identity.listing_matches(market.customer_bars(s, d), _order_spans(s, d))
+    return found.select("isin", "trade_date", "matches", F.col("span.listed_symbol").alias("listed_symbol"))
+
+
+def _exact(s, d):
+    """Orders of customers that are listed throughout, on their own venue."""
+    held = readers._customer_listings(s, d)
+    bars = market.customer_bars(s, d).where("trade_date >= DATE '1995-01-02'").drop("venue").join(held.where("delisting_date IS NULL").select("isin", F.col("exchange").alias("venue")), "isin").select("isin", "venue", "trade_date").distinct()
+    return identity.exactly_in_force(bars, held).drop("delisting_date")
+
+
+def _handed_on(s, d):
+    """Keys that pass from customer to customer: some days nobody has one, some days two do."""
+    k = F.col("c_custkey")
+    start = F.date_add(F.lit("1992-01-01").cast("date"), (F.floor(k / 50) * 200).cast("int"))
+    held = F.when(k % 7 == 0, 230).when(k % 7 == 1, 150).otherwise(199)
+    return readers._table(s, d, "customer").select(market.isin(k).alias("isin"), F.lit("BSE").alias("exchange"), F.lit("x").alias("local_symbol"), F.concat(F.lit("K"), (k % 50).cast("string")).alias("scrip_code"), start.alias("listing_date"), F.date_add(start, held).alias("delisting_date"))
+
+
+def _dated(s, d, which: int):
+    rows = readers._table(s, d, "orders").select(F.concat(F.lit("K"), (F.col("o_custkey") % 50).cast("string")).alias("venue_key"), F.col("o_orderdate").cast("date").alias("trade_date"), "o_orderkey")
+    return identity.resolve_dated_keys(rows, _handed_on(s, d), "BSE")[which]
+
+
 MONTH_FILES = """
 month_files AS (
   SELECT *, CASE WHEN l_partkey % 2 = 0 THEN 'bse_bars' ELSE 'nse_bars' END AS source_id, m + CAST(8 - isodow(m) AS INTEGER) AS file_day
@@ -203,6 +272,18 @@ COUNTED = """
 series_rows AS (
   SELECT CASE WHEN l_partkey % 2 = 0 THEN 'BSE' ELSE 'NSE' END AS venue, CASE WHEN l_quantity <> 13 THEN list_extract(['A', 'EQ', 'G', 'B', 'BE', 'X', 'GB'], CAST((l_linenumber + l_partkey) % 7 + 1 AS INTEGER)) END AS series FROM lineitem),
 judged_rows AS (SELECT *, coalesce(CASE venue WHEN 'BSE' THEN series IN ('A', 'B', 'X') ELSE series IN ('EQ', 'BE') END, false) AS equity FROM series_rows)"""
+ORDER_SPANS = """
+order_spans AS (
+  SELECT isin, 'S' || strftime(trade_date, '%Y%m%d') AS listed_symbol, trade_date AS a, CASE WHEN day(trade_date) <> 13 THEN trade_date + CAST(90 + day(trade_date) AS INTEGER) END AS b
+  FROM (SELECT DISTINCT isin, trade_date FROM customer_bars WHERE day(trade_date) > 8))"""
+HANDED_ON = """
+handed_on AS (
+  SELECT isin, venue_key, a, a + CASE WHEN k % 7 = 0 THEN 230 WHEN k % 7 = 1 THEN 150 ELSE 199 END AS b
+  FROM (SELECT c_custkey AS k, 'IN' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '0' AS isin, 'K' || c_custkey % 50 AS venue_key, DATE '1992-01-01' + CAST(c_custkey // 50 * 200 AS INTEGER) AS a FROM customer)),
+keyed_orders AS (SELECT 'K' || o_custkey % 50 AS venue_key, CAST(o_orderdate AS DATE) AS trade_date, o_orderkey FROM orders),
+key_counts AS (
+  SELECT o.venue_key, trade_date, count(h.isin) AS n, min(h.isin) AS isin
+  FROM (SELECT DISTINCT venue_key, trade_date FROM keyed_orders) o LEFT JOIN handed_on h ON o.venue_key = h.venue_key AND trade_date BETWEEN a AND b GROUP BY ALL)"""
 FIRST, LAST = "1995-01-02", "2001-12-31"
 
 
@@ -238,6 +319,23 @@ LEFT JOIN (SELECT n_name AS source_id, CAST(date_trunc('year', l_shipdate) AS DA
         "stored_listing_merge": (
             _merged_listings, readers.CUSTOMER_LISTINGS,
             f"SELECT {readers.LISTING_TEXT.replace('scrip_code,', chr(39).join(['CASE WHEN isin < ', 'IN0000010000', ' THEN scrip_code ELSE ', 'new', ' END AS scrip_code,']))} FROM customer_listings"),
+        "ordered_export": (
+            _exported, "",
+            "SELECT row_number() OVER (ORDER BY isin, venue, latest_price.trade_date) AS n, isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(close AS DOUBLE) AS close, CAST(previous_close AS DOUBLE) AS previous_close FROM latest_price"),
+        "export_disorder": (_disorder, "", "SELECT CAST(0 * count(*) AS BIGINT) AS ordered, count(*) > 0 AS mixed FROM customer"),
+        "bulk_loaded": (
+            _loaded, "",
+            """SELECT t AS "table", n, (SELECT count(DISTINCT (isin, trade_date)) FROM customer_bars WHERE isin NOT IN (SELECT isin FROM latest_price)) || ' rows of delivery_daily have no instrument_master' AS refused
+FROM (SELECT 'instrument_master' AS t, count(DISTINCT isin) AS n FROM latest_price UNION ALL SELECT 'listing', count(*) FROM customer WHERE 'IN' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '0' IN (SELECT isin FROM latest_price)
+UNION ALL SELECT 'price_daily', count(*) FROM price_daily UNION ALL SELECT 'delivery_daily', count(*) FROM delivery_daily)"""),
+        "listing_matches": (
+            _matches, ORDER_SPANS,
+            "SELECT c.isin, CAST(trade_date AS VARCHAR) AS trade_date, count(a) AS matches, CASE WHEN count(a) = 1 THEN min(listed_symbol) END AS listed_symbol FROM (SELECT DISTINCT isin, trade_date FROM customer_bars) c LEFT JOIN order_spans o ON c.isin = o.isin AND trade_date >= a AND (b IS NULL OR trade_date <= b) GROUP BY c.isin, c.trade_date"),
+        "exactly_in_force": (
+            _exact, readers.CUSTOMER_LISTINGS,
+            "SELECT DISTINCT c.isin, exchange AS venue, CAST(trade_date AS VARCHAR) AS trade_date, local_symbol AS listed_symbol, CAST(listing_date AS VARCHAR) AS listing_date FROM customer_bars c JOIN customer_listings l ON c.isin = l.isin WHERE delisting_date IS NULL AND trade_date >= DATE '1995-01-02'"),
+        "dated_keys": (lambda s, d: _dated(s, d, 0), HANDED_ON, "SELECT o.venue_key, CAST(o.trade_date AS VARCHAR) AS trade_date, o_orderkey, isin FROM keyed_orders o JOIN key_counts c ON o.venue_key = c.venue_key AND o.trade_date = c.trade_date WHERE n = 1"),
+        "dated_keys_left": (lambda s, d: _dated(s, d, 1), HANDED_ON, "SELECT venue_key, CAST(trade_date AS VARCHAR) AS trade_date, CASE WHEN n = 0 THEN 'unknown' ELSE 'ambiguous' END AS reason FROM key_counts WHERE n <> 1"),
         "day_outcomes": (
             lambda s, d: day_files.outcomes(_landed_days(s, d, "day_outcomes"), FIRST, LAST), MONTH_FILES,
             f"SELECT source_id, count(*) FILTER (WHERE error IS NULL) AS published, {weekdays} - count(*) FILTER (WHERE error IS NULL OR error LIKE 'failed%') AS missing, count(*) FILTER (WHERE error LIKE 'failed%') AS failed FROM file_paths WHERE file_day BETWEEN DATE '{FIRST}' AND DATE '{LAST}' GROUP BY 1"),

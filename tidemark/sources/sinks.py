@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quality import checked
@@ -117,32 +117,15 @@ def laid_out(df: DataFrame, table: str) -> DataFrame:
 
 def csv_lines(df: DataFrame, table: str) -> DataFrame:
     """``line``: each row of a table's export as a line of CSV, without the header; nulls are empty."""
-    return laid_out(df, table).select(F.to_csv(F.struct("*"), {"nullValue": "", "emptyValue": "", "dateFormat": "yyyy-MM-dd"}).alias("line"))
+    return laid_out(df, table).select(line_of(table).alias("line"))
 
 
-def export_table(df: DataFrame, table: str, path: str) -> None:
-    """A table's export: its fixed columns and header, in its fixed order."""
-    export_csv(laid_out(df, table), path, *EXPORT_ORDER[table])
+def line_of(table: str) -> Column:
+    """A row of a table's export as text."""
+    return F.to_csv(F.struct(*TABLES[table].names), {"nullValue": "", "emptyValue": "", "dateFormat": "yyyy-MM-dd"})
 
 
 def parse_seed(lines: DataFrame, table: str) -> DataFrame:
     """Rows of a table from lines of its export (column ``line``); blank fields, of white space too, are null."""
     text = F.from_csv("line", ", ".join(f"{f.name} string" for f in TABLES[table]), {"quote": '"', "escape": '"'})
     return lines.select(text.alias("r")).select(*(F.nullif(F.trim(f"r.{f.name}"), F.lit("")).cast(f.dataType).alias(f.name) for f in TABLES[table]))
-
-
-def bulk_load(spark, folder: str, root: str) -> list[str]:
-    """Append ``<table>.csv`` of a folder to the tables below ``root``, parents first; the header names the columns.
-
-    Tables without a file are left out; the tables loaded are returned, in order.
-    """
-    loaded = []
-    for table in LOAD_ORDER:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.csv")
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            continue
-        raw = spark.read.option("header", True).csv(f"{folder}/{table}.csv")
-        typed = raw.select(*(F.nullif(F.trim(f.name), F.lit("")).cast(f.dataType).alias(f.name) for f in TABLES[table] if f.name in raw.columns))
-        typed.write.mode("append").parquet(f"{root}/{table}")
-        loaded.append(table)
-    return loaded
