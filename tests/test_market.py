@@ -165,3 +165,73 @@ def test_entry_and_oracles(spark, sf):
         rows = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
         form = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
         assert sorted(map(form, map(tuple, got.collect())), key=str) == sorted(map(form, rows), key=str), name
+
+
+def spans(spark, *rows):
+    """(isin, symbol, code, from, to)"""
+    return spark.createDataFrame([(i, "BSE", s, c, a, b, None) for i, s, c, a, b in rows], LISTING)
+
+
+def days(spark, *rows):
+    return spark.createDataFrame([(i, "BSE", d) for i, d in rows], "isin string, venue string, trade_date date")
+
+
+def test_each_day_is_held_by_exactly_one_listing(spark):
+    end = date(2023, 12, 31)
+    listed = spans(spark, ("I", "A", None, date(2021, 3, 5), end), ("I", "B", None, end + timedelta(1), None), ("J", "C", None, date(2022, 1, 1), date(2022, 6, 30)), ("J", "D", None, date(2022, 6, 1), None), ("K", "E", None, date(2030, 1, 1), None))
+    held = {(r.isin, r.trade_date): (r.matches, r.span and r.span.listed_symbol) for r in identity.listing_matches(days(
+        spark, ("I", date(2021, 3, 4)), ("I", date(2021, 3, 5)), ("I", end), ("I", end), ("I", end + timedelta(1)), ("I", date(2027, 5, 5)), ("J", date(2022, 6, 1)), ("J", date(2022, 6, 30)), ("J", date(2022, 7, 1)), ("K", date(2025, 1, 1)), ("L", end), (None, end), ("I", None)), listed).collect()}
+    assert held == {
+        ("I", date(2021, 3, 4)): (0, None), ("I", date(2021, 3, 5)): (1, "A"), ("I", end): (1, "A"), ("I", end + timedelta(1)): (1, "B"), ("I", date(2027, 5, 5)): (1, "B"), ("J", date(2022, 6, 1)): (2, None), ("J", date(2022, 6, 30)): (2, None),
+        ("J", date(2022, 7, 1)): (1, "D"), ("K", date(2025, 1, 1)): (0, None), ("L", end): (0, None), (None, end): (0, None), ("I", None): (0, None),
+    }
+    good = days(spark, ("I", date(2021, 3, 5)), ("I", date(2021, 3, 5)), ("J", date(2022, 7, 1)))
+    assert sorted((r.isin, r.listed_symbol) for r in identity.exactly_in_force(good, listed).collect()) == [("I", "A"), ("I", "A"), ("J", "D")]
+    for isin, day, n in (("I", date(2021, 3, 4), 0), ("J", date(2022, 6, 1), 2)):
+        with pytest.raises(Exception, match=f"{n} listings hold {isin} BSE {day}"):
+            identity.exactly_in_force(days(spark, (isin, day)), listed).collect()
+    assert identity.listing_matches(days(spark), listed).count() == 0 and identity.listing_matches(good, spans(spark)).where("matches = 0").count() == 2
+
+
+def test_a_key_stands_for_each_instrument_in_its_time(spark):
+    d = lambda m, n=1: date(2023, m, n)
+    listed = spans(spark, ("I", "X", "500", d(1), d(3)), ("J", "Y", "500", d(5), d(9)), ("K", "Z", "500", d(8), None), ("L", "A", "600", d(1), d(6)), ("L", "B", "600", d(4), None), ("M", "SYM", None, d(1), None))
+    rows = spark.createDataFrame([(k, m, i) for i, (k, m) in enumerate([("500", d(2)), ("500", d(3)), ("500", d(4)), ("500", d(5)), ("500", d(9)), ("500", d(10)), ("600", d(5)), ("600", d(7)), ("SYM", d(5)), ("none", d(5)), ("500", d(2))])], "venue_key string, trade_date date, n int")
+    known, left = identity.resolve_dated_keys(rows, listed, "BSE")
+    assert {r.n: r.isin for r in known.collect()} == {0: "I", 1: "I", 3: "J", 5: "K", 6: "L", 7: "L", 8: "M", 10: "I"}
+    assert sorted(map(tuple, left.collect())) == [("500", d(4), "unknown"), ("500", d(9), "ambiguous"), ("none", d(5), "unknown")]
+
+
+def test_the_schedule_is_one_fold(spark):
+    """Many instruments and batches: the products of plain fractions, in one shuffle and one sort."""
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(2)
+    rows, ratios = [], {}
+    for i in range(40):
+        for k in range(rng.randrange(12)):
+            day, kind = DAY + timedelta(rng.randrange(9) * 30), rng.choice(("split", "bonus", "consolidation"))
+            for version in range(rng.randrange(1, 3)):
+                a, b = rng.choice([(1, 2), (1, 5), (3, 1), (D("1.5"), 3)])
+                if (i, day, kind, version, k) not in ratios:
+                    rows.append((f"I{i:02}", kind, day, "s", DAY + timedelta(100 * k + version), "ordinary", D(a), D(b), None))
+    best = {}
+    for r in sorted(rows, key=lambda r: r[4]):
+        best[r[0], r[1], r[2]] = Fraction(r[6]) / Fraction(r[7])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        steps = adjustment.factor_schedule(spark.createDataFrame(rows, CORPORATE_ACTION).repartition(3))
+        got = {(r.isin, r.ex_date): (Fraction(int(r.held), int(r.after)), r.valid_from) for r in steps.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for isin, day in {(k[0], k[2]) for k in best}:
+        product = Fraction(1)
+        for (i, _, d), f in best.items():
+            if i == isin and d >= day:
+                product *= f
+        want[isin, day] = (product, max((d for i, _, d in best if i == isin and d < day), default=None))
+    assert got == want and len(want) > 60
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("RoundRobin") <= 1 and plan.count("+- Sort") + plan.count("Sort [") <= 2

@@ -122,7 +122,7 @@ def csv_lines(df: DataFrame, table: str) -> DataFrame:
 
 def line_of(table: str) -> Column:
     """A row of a table's export as text."""
-    return F.to_csv(F.struct(*TABLES[table].names), {"nullValue": "", "emptyValue": "", "dateFormat": "yyyy-MM-dd"})
+    return F.to_csv(F.struct(*TABLES[table].names), {"nullValue": "", "emptyValue": "", "dateFormat": "yyyy-MM-dd", "quote": '"', "escape": '"'})
 
 
 def parse_seed(lines: DataFrame, table: str) -> DataFrame:
