@@ -162,3 +162,40 @@ def test_very_many_secrets_in_one_text(spark):
     df = spark.range(1).select(F.lit(1).alias("doc_id"), F.repeat(F.lit("token=a1b2c3d4 é "), 620_000).alias("text"))
     row = secret_scan.digest(df.where("doc_id = 1"), F.col("doc_id"), F.lit("o")).select("n_assign", F.length("spans").alias("n")).first()
     assert row.n_assign == 620_000 and row.n > 10_000_000
+
+
+def test_tokens_in_runs_and_a_megabyte_without_one(spark):
+    """Time grows with the text: a megabyte of openings, of parts, and of whole tokens end to end."""
+    import time
+
+    parts = "eyJ" + "a1" * 6
+    token = ".".join((parts, parts, parts))
+    texts = ["eyJ" * 333_000, (parts + ".") * 60_000, (token + " ") * 20_000, "x" + token, token + "." + token, f"({token})", "eyJshort.a.b", "é" + token]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r.spans for r in secret_scan.digest(docs, F.col("doc_id"), F.lit("o")).collect()}
+    assert time.time() - began < 60
+    found = {i: [tuple(map(int, s.split(":")[1:])) for s in t.split(",") if s.startswith("jwt")] for i, t in rows.items()}
+    for i, t in enumerate(texts):
+        assert found[i] == [m.span() for m in re.finditer(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", t)], i
+    assert len(found[2]) == 20_000 and found[0] == found[3] == found[6] == [] and found[7] == [(1, 48)]
+
+
+def test_many_secrets_of_one_text_are_masked_in_time(spark):
+    import time
+
+    rng = random.Random(3)
+    values = ["".join(rng.choice("abcdefghijkmnpqrsuvwxyzABCDEFGHJK123456789") for _ in range(20)) for _ in range(40_000)]
+    text = "é " + " and ".join(f"password={v}" for v in values) + " end 世"
+    docs = spark.createDataFrame([(1, text, "o", len(text))], "doc_id long, text string, source string, n_chars long")
+    began = time.time()
+    (row,) = secret_scan.redact(docs, F.col("doc_id"), F.col("source")).collect()
+    assert time.time() - began < 60
+    assert row.text == "é " + " and ".join(["[SECRET]"] * len(values)) + " end 世" and row.n_chars == len(row.text)
+
+
+def test_spans_that_overlap_are_masked_once_and_neighbours_twice(spark):
+    from tidemark.llm.secret_scan import _apart
+
+    live = spark.createDataFrame([(1, 5, a, b) for a, b in ((3, 9), (5, 12), (12, 14), (20, 30), (21, 22), (20, 30))], "doc_id long, text_hash long, start int, end int")
+    assert [tuple(s) for s in _apart(live).first().spans] == [(3, 12), (12, 14), (20, 30)]

@@ -12,7 +12,7 @@ def _found() -> str:
         "access": (1, 20, "AKIA[A-Z0-9]+", 0),
         "hex": (2, 24, "[0-9a-f]+", 0),
         "pem": (3, 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:([^-]*(?:-[^-]+){0,16})-----END [A-Z ]{0,40}PRIVATE KEY-----)?", 1),
-        "jwt": (4, 1, "eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", 0),
+        "jwt": (4, 1, "(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,})", 1),
     }
     return "\nUNION ALL ".join(
         f"SELECT row, doc_id, source, '{k}' AS kind, {rank} AS rank, {least} AS least, string_split_regex(t, $${p}$$) AS gaps, regexp_extract_all(t, $${p}$$, 0) AS whole, regexp_extract_all(t, $${p}$$, {g}) AS vals FROM d"
@@ -23,10 +23,10 @@ def _found() -> str:
 OP4 = rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
 raw AS ({_found()}),
-each_one AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM raw WHERE len(whole) > 0),
+each_one AS (SELECT row, doc_id, source, kind, rank, least, i, vals[i] AS val, whole[i] AS w, length(gaps[i]) AS gap FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM raw WHERE len(whole) > 0)),
 placed AS (
-  SELECT row, doc_id, source, kind, rank, least, vals[i] AS val, whole[i] AS w, length(whole[i]) AS n,
-    list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS start
+  SELECT row, doc_id, source, kind, rank, least, val, w, CASE WHEN kind = 'jwt' THEN length(val) ELSE length(w) END AS n,
+    sum(gap + length(w)) OVER (PARTITION BY row, kind ORDER BY i ROWS UNBOUNDED PRECEDING) - CASE WHEN kind = 'jwt' THEN length(val) ELSE length(w) END AS start
   FROM each_one),
 valued AS (
   SELECT *, CASE WHEN kind <> 'pem' THEN val ELSE coalesce(nullif(regexp_replace(val, '[ \t\n\x0B\f\r]|\\[nr]', '', 'g'), ''), w) END AS value

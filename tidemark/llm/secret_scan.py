@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import checkpoint, spread_join
@@ -20,7 +20,8 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
     "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    # No character of a token stands in front, and no part is given back, so each part is looked at three times at most.
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 1),
 }
 BASE = ("assign", "access", "hex")
 #: What a text must hold for a kind's pattern to be worth running, where that is cheaper to ask.
@@ -152,6 +153,28 @@ def digest(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     return rows.join(verdicts, "row", "left").select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied", "n_unclear", "most_repositories", "most_owners")))
 
 
+def _apart(live: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``spans``, sorted; spans that overlap are one."""
+    own = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    each = live.select("doc_id", "text_hash", "start", "end").distinct().withColumn("_new", F.when(before > F.col("start"), 0).otherwise(1))
+    runs = each.withColumn("_run", F.sum("_new").over(own)).groupBy("doc_id", "text_hash", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def _kept(wide: Column, spans: Column, length: Column) -> Column:
+    """The pieces of a text between ``spans``, the first and the last included.
+
+    ``wide`` is the text with four bytes a code point, so that a piece is found by its place, not by counting up to it.
+    """
+
+    def piece(i: Column) -> Column:
+        start = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+        return F.decode(F.substring(wide, start * 4 + 1, (F.coalesce(F.get(spans, i)["start"], length) - start) * 4), "UTF-32")
+
+    return F.transform(F.sequence(F.lit(0), F.size(spans)), piece)
+
+
 def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[SECRET]") -> DataFrame:
     """``docs``, all columns, with the live-looking credentials in ``text`` replaced by ``mark`` and ``n_chars`` made to fit.
 
@@ -160,18 +183,11 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[SEC
     The row travels as one struct, so columns of any name stay apart from those of the join.
     """
     live = judged(candidates(scan(docs, repository, owner))).where("verdict = 'live'")
-    spans = live.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
     text = F.col("r.text")
     on = F.col("r.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_hash"))
-    cut = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
-    marked = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda state, s: F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], cut(state["at"], s["start"]), F.lit(mark))).alias("out")),
-        lambda state: F.concat(state["out"], cut(state["at"], F.length(text))),
-    )
+    marked = _let(F.encode(text, "UTF-32"), lambda wide: F.array_join(_kept(wide, F.col("spans"), F.length(text)), mark))
     hit = F.col("spans").isNotNull()
-    changed = rows.join(spans, on, "left").select("r", hit.alias("hit"), F.when(hit, marked).otherwise(text).alias("t"))
+    changed = rows.join(_apart(live), on, "left").select("r", hit.alias("hit"), F.when(hit, marked).otherwise(text).alias("t"))
     new = {"text": F.col("t"), "n_chars": F.when(F.col("hit"), F.length("t").cast("long")).otherwise(F.col("r.n_chars")) if "n_chars" in docs.columns else None}
     return changed.select(*((new[c] if c in new else F.col(f"r.`{c}`")).alias(c) for c in docs.columns))
