@@ -115,9 +115,9 @@ def test_verdicts(spark):
     typical = spark.createDataFrame([("BSE", 4), ("NSE", 2)], "venue string, typical long")
     calendar = spark.createDataFrame([("BSE", DAY), ("NSE", DAY), ("NSE", DAY + timedelta(1))], "venue string, trade_date date")
     got = {(r.venue, r.trade_date): r for r in validation.day_verdicts(p, typical, calendar=calendar).collect()}
-    assert got["BSE", DAY].detail == "only 1 bars, below the 2 a full file carries; 1 instruments diverge across venues, worst 952 basis points"
+    assert got["BSE", DAY].detail == "1 bars instead of 2 or more; 1 instruments whose venues disagree, by 952 bps at most"
     assert got["NSE", DAY].divergent_instruments == 1 and not got["NSE", DAY].is_complete
-    assert got["NSE", DAY + timedelta(1)].detail == "the venue published no bars"
+    assert got["NSE", DAY + timedelta(1)].detail == "empty day"
     dated = validation.day_verdicts(p.withColumn("read_for", p["as_of_date"]), limit_bps=1e6, read_for="read_for").first()
     assert dated.is_complete and dated.detail is None
     counts = price(spark, *((f"I{i}", "BSE", DAY + timedelta(n), DAY, 1) for n, k in enumerate((1, 2, 3, 4)) for i in range(k)))
@@ -235,3 +235,8 @@ def test_the_schedule_is_one_fold(spark):
     assert got == want and len(want) > 60
     plan = adjustment.factor_schedule(spark.createDataFrame(rows, CORPORATE_ACTION))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+
+
+def test_headers_of_many_files(spark):
+    rows = spark.createDataFrame([(1, "a, b ,c"), (2, "b"), (3, None), (4, "A,b,c,d")], "n int, header string")
+    assert sorted((r.n, r.missing) for r in quality.lacking(rows, "header", ("a", "b", "c")).collect()) == [(2, "a"), (2, "c"), (3, "a"), (3, "b"), (3, "c"), (4, "a")]

@@ -91,3 +91,12 @@ def shared(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def missing_columns(df: DataFrame, required) -> list[str]:
     """Required columns that aren't there, sorted; names are compared without outer spaces."""
     return sorted(set(required) - {c.strip() for c in df.columns})
+
+
+def lacking(headed: DataFrame, header: str, required) -> DataFrame:
+    """A row with ``missing`` for each required column that a row's header (names between commas) doesn't name, outer spaces aside.
+
+    The form of ``missing_columns`` for very many files at once: headers are data, and each is looked at in its row.
+    """
+    names = F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda n: F.trim(n))
+    return headed.select("*", F.explode(F.array_except(F.array(*(F.lit(n) for n in sorted(required))), names)).alias("missing"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import adjustment, asof, identity, quality, spreads, survey, validation
 from tidemark.plans import market, readers, stores
-from tidemark.schemas import EQUITY_SERIES
+from tidemark.schemas import EQUITY_SERIES, FEW_BARS
 from tidemark.sources import files, registry, sinks
 
 AS_OF = "1998-06-15"
@@ -170,7 +170,8 @@ trailing_sums AS (
 leaders AS (SELECT * FROM trailing_sums QUALIFY row_number() OVER (PARTITION BY isin, computed_on ORDER BY turnover DESC, venue) = 1),
 starts AS (SELECT * FROM (SELECT *, lag(venue) OVER (PARTITION BY isin ORDER BY computed_on) AS before_venue FROM leaders) WHERE before_venue IS DISTINCT FROM venue),
 primary_venue AS (SELECT isin, computed_on AS effective_from, computed_on AS as_of_date, lead(computed_on) OVER (PARTITION BY isin ORDER BY computed_on) AS effective_to, venue FROM starts)"""
-DIVERGENT = """
+_FEW = f"printf('{FEW_BARS}', CAST(bars AS VARCHAR), CAST(CAST(floor(0.5 * typical) AS BIGINT) AS VARCHAR))"
+DIVERGENT = f"""
 divergent AS (
   SELECT * FROM (SELECT isin, trade_date, (max(CAST(close AS DOUBLE)) - min(CAST(close AS DOUBLE))) / (CAST(sum(close) AS DOUBLE) / count(close)) * 10000.0 AS bps, count(DISTINCT venue) AS venues FROM latest_price GROUP BY isin, trade_date)
   WHERE venues >= 2 AND bps > 500),
@@ -178,8 +179,7 @@ daily_bars AS (SELECT venue, trade_date, count(*) AS bars FROM latest_price GROU
 typical AS (SELECT venue, bars AS typical FROM daily_bars QUALIFY row_number() OVER (PARTITION BY venue ORDER BY bars, trade_date) = count(*) OVER (PARTITION BY venue) // 2 + 1),
 verdicts AS (
   SELECT b.venue, b.trade_date, bars, coalesce(n, 0) AS divergent_instruments,
-    nullif(concat_ws('; ', CASE WHEN bars < floor(0.5 * typical) THEN 'only ' || bars || ' bars, below the ' || CAST(floor(0.5 * typical) AS BIGINT) || ' a full file carries' END,
-      CASE WHEN n > 0 THEN n || ' instruments diverge across venues, worst ' || CAST(CAST(round_even(worst, 0) AS BIGINT) AS VARCHAR) || ' basis points' END), '') AS detail
+    nullif(concat_ws('; ', CASE WHEN bars < floor(0.5 * typical) THEN {_FEW} END, CASE WHEN n > 0 THEN {readers.APART_SQL} END), '') AS detail
   FROM daily_bars b LEFT JOIN typical t ON b.venue = t.venue LEFT JOIN (SELECT trade_date, count(*) AS n, max(bps) AS worst FROM divergent GROUP BY 1) w ON b.trade_date = w.trade_date)"""
 TRACKS = """
 named AS (SELECT *, 'S' || year(trade_date) AS local_symbol FROM latest_price),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars
 from tidemark.operators import asof, identity, quality, survey, validation
 from tidemark.plans import market, views
-from tidemark.schemas import COUNT_CHANGING, EQUITY_SERIES
+from tidemark.schemas import APART, COUNT_CHANGING, EQUITY_SERIES, MISDATED
 from tidemark.sources import files, registry, sinks
 
 SERIES = ("A", "EQ", "G", "B", "BE", "X", "GB")
@@ -312,7 +312,23 @@ def _fresh(s, d):
 
 
 def _absent(s, d):
-    return s.createDataFrame([(c,) for c in quality.missing_columns(_udiff(s, d).drop("ISIN", "TradDt"), files.UDIFF.values())], "missing string")
+    """Columns that each of a set of headers lacks: one header an order, with one column renamed and one padded by its key."""
+    names = F.array(*map(F.lit, files.UDIFF.values()))
+    key = (F.col("o_orderkey") % 14).cast("int")
+    header = F.array_join(F.transform(names, lambda n, i: F.when(i == key, F.concat(n, F.lit("_old"))).when(i == (key + 1) % 14, F.concat(F.lit("  "), n, F.lit(" "))).otherwise(n)), ",")
+    headed = _table(s, d, "orders").select("o_orderkey", header.alias("header"))
+    return quality.lacking(headed, "header", files.UDIFF.values()).groupBy("missing").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"))
+
+
+def _gate(s, d):
+    """What the gate for instruments that can't be named says of parts' codes."""
+    codes = _table(s, d, "part").select(F.when(F.col("p_size") > 25, market.isin(F.col("p_partkey"))).otherwise(F.concat("p_brand", F.lit("-"), "p_size")).alias("isin"))
+    try:
+        identity.require_resolvable(codes)
+        said = "nothing"
+    except identity.UnresolvableInstrument as e:
+        said = str(e)
+    return codes.agg(F.count("*").alias("rows")).select("rows", F.lit(said).alias("said"))
 
 
 def _unaccepted(s, d):
@@ -325,6 +341,7 @@ def _export(table: str, *columns: str) -> str:
     return "SELECT concat_ws(',', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns) + f") AS line FROM {table}"
 
 
+APART_SQL = f"printf('{APART}', CAST(n AS VARCHAR), CAST(CAST(round_even(worst, 0) AS BIGINT) AS VARCHAR))"
 LATEST_SPREAD = """
 spread AS (
   SELECT isin, trade_date, as_of_date, CAST((400000000 * CAST(abs(b - n) * 10000 AS HUGEINT) + CAST((b + n) * 10000 AS HUGEINT)) // (2 * CAST((b + n) * 10000 AS HUGEINT)) AS DOUBLE) / 10000 AS bps
@@ -374,8 +391,8 @@ def entries(divergent: str, primary: str, tracks: str) -> dict[str, tuple]:
             "SELECT isin, name FROM (SELECT 'IN' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '0' AS isin, event_type || ' ' || event_id % 4 AS name, user_id % 4 <> 0 AS fresh, event_id % 2 AS venue_order, CAST(ts AS DATE) AS day FROM events) QUALIFY row_number() OVER (PARTITION BY isin ORDER BY CASE WHEN fresh THEN -venue_order ELSE 0 END, CASE WHEN fresh THEN -epoch(day) ELSE epoch(day) END, CASE WHEN fresh THEN 0 ELSE venue_order END, CASE WHEN fresh THEN name END DESC NULLS LAST, name) = 1"),
         "misdated_days": (
             _misdated, divergent,
-            """SELECT c.venue, CAST(c.trade_date AS VARCHAR) AS trade_date, CAST(c.trade_date AS VARCHAR) AS as_of_date, NOT mis AND n IS NULL AS is_complete, bars, coalesce(n, 0) AS divergent_instruments,
-  nullif(concat_ws('; ', CASE WHEN mis THEN 'a bar carries a trade date other than the day it was read for' END, CASE WHEN n > 0 THEN n || ' instruments diverge across venues, worst ' || CAST(CAST(round_even(worst, 0) AS BIGINT) AS VARCHAR) || ' basis points' END), '') AS detail
+            f"""SELECT c.venue, CAST(c.trade_date AS VARCHAR) AS trade_date, CAST(c.trade_date AS VARCHAR) AS as_of_date, NOT mis AND n IS NULL AS is_complete, bars, coalesce(n, 0) AS divergent_instruments,
+  nullif(concat_ws('; ', CASE WHEN mis THEN '{MISDATED}' END, CASE WHEN n > 0 THEN {APART_SQL} END), '') AS detail
 FROM (SELECT venue, rd AS trade_date, count(*) AS bars, bool_or(rd <> trade_date) AS mis FROM (SELECT venue, trade_date, CASE WHEN volume % 50 = 0 THEN CAST(trade_date + INTERVAL 1 MONTH AS DATE) ELSE trade_date END AS rd FROM latest_price) GROUP BY 1, 2) c
 LEFT JOIN (SELECT trade_date, count(*) AS n, max(bps) AS worst FROM divergent GROUP BY 1) w ON c.trade_date = w.trade_date"""),
         "listing_merge": (
@@ -396,6 +413,11 @@ LEFT JOIN (SELECT trade_date, count(*) AS n, max(bps) AS worst FROM divergent GR
         "fresh_isins": (
             _fresh, "",
             "SELECT c.isin, action_type, CAST(ex_date AS VARCHAR) AS ex_date, o_orderkey, CAST(first_day AS VARCHAR) AS first_day FROM corporate_action c JOIN (SELECT isin, CAST(date_trunc('month', min(trade_date)) AS DATE) AS first_day FROM customer_bars GROUP BY 1) f ON c.isin = f.isin AND ex_date = first_day"),
-        "missing_columns": (_absent, "", "SELECT unnest(['ISIN', 'TradDt']) AS missing"),
+        "missing_columns": (
+            _absent, "",
+            f"SELECT missing, count(*) AS n, min(o_orderkey) AS least FROM (SELECT o_orderkey, list_extract({list(files.UDIFF.values())}, CAST(o_orderkey % 14 + 1 AS INTEGER)) AS missing FROM orders) GROUP BY 1"),
+        "resolvability_gate": (
+            _gate, "",
+            "SELECT (SELECT count(*) FROM part) AS rows, (SELECT count(*) FROM part WHERE p_size <= 25) || ' rows without a valid ISIN: [' || string_agg(chr(39) || code || chr(39), ', ' ORDER BY code) || ']' AS said FROM (SELECT DISTINCT p_brand || '-' || p_size AS code FROM part WHERE p_size <= 25 ORDER BY 1 LIMIT 5)"),
         "unaccepted_values": (_unaccepted, "", "SELECT action_type, count(*) AS n FROM corporate_action WHERE action_type NOT IN ('split', 'bonus', 'consolidation') GROUP BY 1 UNION ALL SELECT 'no ratio', count(*) FROM corporate_action WHERE ratio_from IS NULL OR ratio_to IS NULL"),
     }

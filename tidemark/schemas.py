@@ -25,6 +25,12 @@ SETTLED_AFTER_DAYS = 90
 TURNOVER_WINDOW_DAYS = 90
 FOREVER = "9999-12-31"
 
+# What a verdict on a day says of it.
+NO_BARS = "empty day"
+FEW_BARS = "%s bars instead of %s or more"
+MISDATED = "bars dated on another day"
+APART = "%s instruments whose venues disagree, by %s bps at most"
+
 
 _TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "short": ShortType(), "boolean": BooleanType(), "date": DateType(), "timestamp": TimestampType()}
 
