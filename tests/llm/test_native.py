@@ -72,32 +72,19 @@ def test_private_keys(spark):
 
 
 def plain_prints(text, k=winnowing.K, w=winnowing.W):
-    """The definition, one character after the other: a rolling hash, and of every w neighbours the rightmost least."""
+    """The definition: a hash of each gram, and of every w neighbours the rightmost least."""
     from xxhash import xxh64_intdigest
 
-    full = (1 << 64) - 1
-    moved = lambda v, n: v << n & full
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    letters = [xxh64_intdigest(c.encode(), 42) for c in text]
-    if not text:
-        return []
+    hashed = lambda t: xxh64_intdigest(t.encode("utf-32-be"), 42) >> 64 - winnowing.BITS
     if len(text) < k:
-        return [(signed(xxh64_intdigest(text.encode(), 42)), 0)]
-    rolling, h = [], 0
-    for i, v in enumerate(letters):
-        h = moved(h, 1) ^ v
-        if i >= k:
-            h ^= moved(letters[i - k], k)
-        if i >= k - 1:
-            rolling.append(h)
-    gram = [(signed(v), i) for i, v in enumerate(rolling)]
+        return [(hashed(text), 0)] if text else []
+    gram = [(hashed(text[i : i + k]), i) for i in range(len(text) - k + 1)]
     windows = [gram[i : i + w] for i in range(len(gram) - w + 1)] or [gram]
-    return sorted({min(win, key=lambda x: (x[0] & full, -x[1])) for win in windows}, key=lambda x: x[1])
+    return sorted({min(win, key=lambda x: (x[0], -x[1])) for win in windows}, key=lambda x: x[1])
 
 
 def read(shown):
-    parts = [p.split(":") for p in shown.split(",")] if shown else []
-    return [(int(h, 16) - (1 << 64) if int(h, 16) >> 63 else int(h, 16), int(p)) for h, p in parts]
+    return [(int(h, 16), int(p)) for h, p in (x.split(":") for x in shown.split(","))] if shown else []
 
 
 def alike(a, b):
@@ -105,15 +92,20 @@ def alike(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_winnowing(spark):
+@pytest.mark.parametrize("chunk", [4096, 17, 64])
+def test_winnowing(spark, monkeypatch, chunk):
+    monkeypatch.setattr(winnowing, "CHUNK", chunk)
     rng = random.Random(8)
     rows = [(i, "".join(rng.choice("ab\né 日😀x") for _ in range(rng.choice([0, 1, 15, 16, 17, 46, 47, 48, 63, 64, 65, 110, 111, 112, 300])))) for i in range(90)] + [(200, "z" * 300), (201, None), (201, None), (202, "ab" * 200)]
     out = winnowing.fingerprints(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, prints int")).collect()
     assert len(out) == len(rows)
     for r in out:
-        assert [tuple(x) for x in r.prints] == plain_prints(r.text), r.text
-        in_blocks = winnowing.selected(r.text, block=64)
-        assert list(zip(in_blocks[0].view("int64").tolist(), in_blocks[1].tolist())) == plain_prints(r.text), r.text
+        assert [(x.hash, x.pos) for x in r.prints] == plain_prints(r.text), r.text
+
+
+def test_no_python_on_the_main_path(spark, sf):
+    plan = winnowing.compare_edited(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|InArrow", plan)
 
 
 def test_shared_runs_leave_a_common_fingerprint(spark):
