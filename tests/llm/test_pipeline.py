@@ -130,4 +130,24 @@ def test_repeated_lines_and_far_fingerprints(spark):
         rows += [(d, f"{text} {line}"), (d + 1, " ".join([text, *[line] * 30]))]
     got = {r.doc_id: r.group_id for r in nd.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d - d % 2 for d, _ in rows}
-    assert nd.shard_links([(1, 0, b"s" * nd.SKETCH), (2, (1 << 40) - 1, b"s" * nd.SKETCH)])[0] == [(2, 1)]
+    assert nd.shard_links([(1, 0, b"s" * nd.SKETCH), (2, (1 << nd.RADIUS) - 1, b"s" * nd.SKETCH)])[0] == [(2, 1)]
+    assert nd.shard_links([(1, 0, b"s" * nd.SKETCH), (2, (1 << nd.RADIUS + 1) - 1, b"s" * nd.SKETCH)])[0] == []
+
+
+def test_fingerprints_at_the_bound_are_within_the_radius():
+    """Random sets that share just 0.8 of their union, or a little more: how many pairs the tree would not propose."""
+    import numpy as np
+
+    from tidemark.llm.simhash import fold
+
+    rng = np.random.default_rng(3)
+    some = lambda n: rng.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + rng.integers(0, 2, n, np.uint64)
+    for union, allowed in ((5, 2), (10, 0), (40, 0), (200, 0)):
+        far = 0
+        for _ in range(1500):
+            common = int(np.ceil(0.8 * union))
+            rest = union - common
+            shared, left = some(common), some(rest // 2)
+            x, y = np.concatenate([shared, left]), np.concatenate([shared, some(rest - rest // 2)])
+            far += ((fold(x) ^ fold(y)) & ((1 << 64) - 1)).bit_count() > nd.RADIUS
+        assert far <= allowed, union
