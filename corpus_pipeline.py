@@ -3,6 +3,10 @@
 Toxic documents go; of each group of near-duplicates one stays; documents that hold a benchmark passage go;
 live-looking credentials are masked; and the rest is mixed to the target weights of its sources. The last stage
 returns what the mix takes: one row a document, with the words taken.
+
+In every stage a null text is an empty one, columns besides those of ``documents`` are left behind, and an empty table
+gives an empty one. Rows are what is kept or dropped, not ids: repeated rows, and rows of one or a null doc_id, are
+judged each by itself, but for the near-duplicates.
 """
 
 from __future__ import annotations
@@ -17,25 +21,29 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under 0.3; the lexicon is learned from the labels as in op1."""
+    """Documents whose score is under 0.3, as they were; the lexicon is learned from the labels as in op1. Empty texts stay."""
     tuned(spark)
     lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
     return toxicity.below(docs.select(*COLUMNS), lexicon, 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingle similarity 0.8 or more: that of the smallest doc_id."""
+    """One document of each group of five-word shingle similarity 0.8 or more: that of the smallest doc_id.
+
+    Repeated rows and exact copies are one group; texts without a word are copies of each other.
+    """
     tuned(spark)
     return near_duplicates.keep_one(docs).select(*COLUMNS)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark within its edit budget."""
+    """Documents without a passage of the benchmark within its edit budget; a benchmark without items drops none."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, live-looking credentials masked; a document is a repository, its source the owner."""
+    """All documents, live-looking credentials masked and ``n_chars`` made to fit; a document is a repository, its source the
+    owner, and all rows without a source are one owner's."""
     return secret_scan.redact(docs, F.col("doc_id"), F.col("source")).select(*COLUMNS)
 
 
