@@ -22,3 +22,14 @@ def test_components_of_a_long_path_and_a_star(spark, monkeypatch):
     got = {r.node: r.root for r in graph.components(path.unionByName(star).unionByName(loops)).collect()}
     assert got == {i: 0 for i in range(1, 3001)} | {i: 5000 for i in range(5001, 7000)} | {9002: 9001}
     assert graph.components(path.limit(0)).count() == 0
+
+
+def test_left_joins_keep_rows_without_a_partner(spark, monkeypatch):
+    monkeypatch.setattr(base, "LEAST_HOT", 5)
+    monkeypatch.setattr(base, "HOT_KEYS", 4)
+    rows = base.checkpoint(spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 40 + ["cold"] * 3 + ["lost"] * 20 + ["rare", None])], "k string, n int"))
+    lookup = spark.createDataFrame([("hot", 1), ("cold", 2), ("other", 3)], "k string, v int")
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(lookup, ["k"], how).collect()))
+        assert sorted(map(str, base.spread_join(rows, lookup, "k", how=how).collect())) == want
+        assert len(want) == (43 if how == "inner" else 65)
