@@ -61,6 +61,10 @@ class Vocabulary:
             if self.model.encode(probe) != [i for ids in self.segment(words_of(probe)) for i in ids]:
                 raise ValueError(f"{path} doesn't encode {probe!r} word by word")
 
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """The text of each list of ids; null lists count as empty."""
+        return self.model.decode([x or [] for x in ids.to_pylist()], num_threads=1) if len(ids) else []
+
     def segment(self, words: list[str]) -> list[list[int]]:
         """The ids of each marked word; the empty one is a marker alone."""
         return [ids if word else self.lone for word, ids in zip(words, self.model.encode(words, num_threads=1))] if words else []
@@ -168,23 +172,26 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def make():
         own = vocabulary(model)
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.model.decode([x or [] for x in b.column(1).to_pylist()], num_threads=1) if b.num_rows else [], pa.string())], ["doc_id", "ids", "text"])
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.decode(b.column(1)), pa.string())], ["doc_id", "ids", "text"])
 
     return map_batches(encoded.select("doc_id", "ids"), make, "doc_id long, ids array<int>, text string")
 
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and the SHA-256 of the ids (unsigned, four bytes each, least first) and of the decoded text."""
+    """``doc_id``, ``n_tokens`` and the SHA-256 of the ids (unsigned, four bytes each, least first) and of the decoded text.
+
+    Texts are decoded and digested in one worker, so that they needn't leave it.
+    """
 
     def make():
+        own = vocabulary(model)
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             column = batch.column(1)
             flat, ends = column.values.to_numpy(zero_copy_only=False).astype("<u4"), column.offsets.to_numpy()
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in batch.column(2).to_pylist()])],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            digests = [pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()) for found in ((flat[a:b].tobytes() for a, b in zip(ends, ends[1:])), (t.encode() for t in own.decode(column)))]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return step
 
-    return map_batches(decode(encode(docs, model), model), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(encode(docs, model), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
