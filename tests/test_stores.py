@@ -1,8 +1,10 @@
 """Stored tables: versions that switch whole, appends that check keys, latest versions kept up to date, counts taken while writing."""
 
+import os
 import random
 from datetime import date, timedelta
 from decimal import Decimal as D
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +203,17 @@ def test_action_counts_and_examples(spark):
 def test_bucketed_tables_read_what_was_written(spark):
     facts = delivered(spark, *versions(60))
     assert values(sinks.save_bucketed(facts, "bucket_probe", 4)) == values(facts)
+
+
+def test_bucketed_tables_replace_what_another_session_left(spark, sf):
+    """A folder in the warehouse whose table the catalog doesn't know, as after a restart."""
+    prices, _ = stores.bucketed(spark, sf, "restarted")
+    want = values(prices)
+    name = next(t.name for t in spark.catalog.listTables() if t.name.startswith("restarted_price"))
+    place = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first()[1].removeprefix("file:")
+    for t in [t.name for t in spark.catalog.listTables() if t.name.startswith("restarted_")]:
+        left = spark.sql(f"DESCRIBE EXTENDED {t}").where("col_name = 'Location'").first()[1].removeprefix("file:")
+        spark.sql(f"DROP TABLE {t}")
+        os.makedirs(left, exist_ok=True)
+        Path(left, "left").write_text("x")
+    assert values(stores.bucketed(spark, sf, "restarted")[0]) == want and not Path(place, "left").exists()

@@ -131,14 +131,14 @@ def _maintained(s, d):
     return store.read()
 
 
-def bucketed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Prices and deliveries as tables laid out by key."""
-    tag = f"{zlib.crc32(d.encode()):08x}"
-    return sinks.save_bucketed(market.price_daily(s, d), f"price_by_key_{tag}", 8), sinks.save_bucketed(market.delivery_daily(s, d), f"delivery_by_key_{tag}", 8)
+def bucketed(s: SparkSession, d: str, query: str = "bucketed") -> tuple[DataFrame, DataFrame]:
+    """Prices and deliveries as tables laid out by key, each query's its own; folders that a session before left are replaced."""
+    made = {"price": market.price_daily(s, d), "delivery": market.delivery_daily(s, d)}
+    return tuple(sinks.save_bucketed(facts, f"{query}_{name}_{zlib.crc32(d.encode()):08x}", 8, path=fresh(s, d, f"{query}_{name}")) for name, facts in made.items())
 
 
 def _participation(s, d):
-    prices, deliveries = bucketed(s, d)
+    prices, deliveries = bucketed(s, d, "participation_bucketed")
     return spreads.delivery_participation(asof.latest_price(prices), asof.latest_delivery(deliveries))
 
 
@@ -305,7 +305,7 @@ UNION ALL SELECT 'actions', 'unhandled', NULL, count(*) FROM terms WHERE action_
 UNION ALL SELECT 'actions', 'kinds', action_type, count(*) FROM terms WHERE action_type <> 'unhandled' GROUP BY 3"""),
         "append_once": (_appended, "", "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(as_of_date AS VARCHAR) AS as_of_date, delivery_quantity FROM delivery_daily"),
         "latest_maintained": (_maintained, "", f"SELECT {price_columns} FROM latest_price"),
-        "latest_bucketed": (lambda s, d: asof.latest_price(bucketed(s, d)[0]), "", f"SELECT {price_columns} FROM latest_price"),
+        "latest_bucketed": (lambda s, d: asof.latest_price(bucketed(s, d, "latest_bucketed")[0]), "", f"SELECT {price_columns} FROM latest_price"),
         "participation_bucketed": (
             _participation, "",
             "SELECT isin, venue, CAST(trade_date AS VARCHAR) AS trade_date, CAST(greatest(p.as_of_date, q.as_of_date) AS VARCHAR) AS as_of_date, volume, delivery_quantity, CAST((2000000 * CAST(delivery_quantity AS HUGEINT) + volume) // nullif(2 * volume, 0) AS DOUBLE) / 10000 AS delivery_pct FROM latest_price p JOIN latest_delivery q USING (isin, venue, trade_date)"),

@@ -77,13 +77,16 @@ def read_facts(spark, path: str, first: str | None = None, last: str | None = No
     return df.drop("year")
 
 
-def save_bucketed(facts: DataFrame, name: str, buckets: int, keys: Sequence[str] = ("isin", "venue", "trade_date")) -> DataFrame:
+def save_bucketed(facts: DataFrame, name: str, buckets: int, keys: Sequence[str] = ("isin", "venue", "trade_date"), path: str | None = None) -> DataFrame:
     """Facts as a table laid out by key: hashed to ``buckets`` and sorted in each, as-of date last; the table is returned.
 
     Rows of one key are in one bucket, so the latest version of each is found, and tables laid out alike are joined on
     the key, without a shuffle. One file a bucket: rows are dealt by the same hash before they are written.
+    With ``path`` the data lies there and what is there is replaced, also where the session's catalog doesn't know the
+    table, as after a restart; without it Spark refuses a warehouse folder that it doesn't know.
     """
-    facts.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, "as_of_date").saveAsTable(name)
+    write = facts.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, "as_of_date")
+    (write.option("path", path) if path else write).saveAsTable(name)
     return facts.sparkSession.table(name)
 
 
