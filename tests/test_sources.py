@@ -1,6 +1,7 @@
 """File readers, sinks, the registry and the arrival stream, on files made for them."""
 
 import io
+import json
 import zipfile
 from datetime import date
 from decimal import Decimal as D
@@ -246,3 +247,36 @@ def test_landing_keeps_what_is_there(spark, tmp_path):
     assert found == {"b/20240801.csv": b"one", "b/20240803.csv": b"three", "n/20240801.zip": b""}
     with pytest.raises(Exception, match="append"):
         spark.createDataFrame([("b", "1", ".x", b"")], "source_id string, partition string, suffix string, content binary").write.format("landing").option("path", root).mode("overwrite").save()
+
+
+def test_long_day_files_are_written_and_read_in_pieces(spark, tmp_path):
+    """Files of many blocks, plain and zipped: no worker holds a whole one."""
+    import pyarrow as pa
+
+    from tidemark.sources import day_files
+
+    head, line = NEW.format(day="2024-08-14", close=1, series="A").splitlines()
+    n, root = 60_000, str(tmp_path / "land")
+    body = spark.range(n, numPartitions=3).selectExpr("explode(array('csv', 'zip')) AS kind", "1 AS at", f"format_string('%s,%08d\n', '{line}', id) AS text")
+    pieces = spark.createDataFrame([("csv", 0, head + ",Rmks\n"), ("zip", 0, head + ",Rmks\n")], "kind string, at int, text string").unionByName(body)
+    day_files.land_pieces(pieces.selectExpr("if(kind = 'csv', 'b', 'n') AS source_id", "'20240814' AS partition", "concat('.', kind) AS suffix", "if(kind = 'zip', 'x.csv', null) AS entry", "at", "cast(text AS binary) AS content"), root)
+    plain = (tmp_path / "land" / "b" / "20240814.csv").read_bytes()
+    with zipfile.ZipFile(tmp_path / "land" / "n" / "20240814.zip") as z:
+        assert z.read("x.csv") == plain
+    assert plain.decode().splitlines() == [head + ",Rmks", *(f"{line},{i:08d}" for i in range(n))]
+    venues, versions = day_sources(spark)
+    scanned = day_files.scan_days(spark, root, venues, versions)
+    assert {(r.path, r.n, r.a, r.b, r.e) for r in scanned.groupBy("path").agg(F.count("at").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"), F.max("error").alias("e")).collect()} == {(p, n, 1, n, None) for p in ("b/20240814.csv", "n/20240814.zip")}
+    states = day_files.scan_days(spark, root, venues, versions, lines=False)
+    assert {(r.path, r.at, r.error) for r in states.collect()} == {("b/20240814.csv", None, None), ("n/20240814.zip", None, None)}
+    # A bad line at the end is found before any row is given out.
+    (tmp_path / "land" / "b" / "20240814.csv").write_bytes(plain + b"1,2\n")
+    reader = day_files.DayFileReader({"path": root, "venues": json.dumps(venues), "versions": json.dumps([("b", "2024-08-01", None, "udiff"), ("n", "2024-08-01", None, "udiff")])})
+    before = pa.total_allocated_bytes()
+    most, rows, errors = 0, 0, []
+    for part in reader.partitions():
+        for batch in reader.read(part):
+            most, rows = max(most, pa.total_allocated_bytes() - before), rows + batch.num_rows
+            errors += [e for e in batch.column(6).to_pylist()[:1] if e]
+    assert rows == n + 1 and len(errors) == 1 and "Expected" in errors[0]
+    assert most < 8 * day_files.BLOCK_BYTES < 2 * len(plain)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 import zlib
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +40,8 @@ def fresh(s: SparkSession, d: str, name: str) -> str:
     return path
 
 
-def _day_texts(s: SparkSession, d: str) -> DataFrame:
-    """``source_id``, ``day``, ``flaw`` and ``lines``: line items as the files of two venues, one for each month.
+def _day_lines(s: SparkSession, d: str) -> DataFrame:
+    """``source_id``, ``day``, ``flaw``, ``head`` and ``line``: line items as the files of two venues, one for each month.
 
     A month's file is that of its first Monday after the first. In some months the file is a web page, lacks a
     column, is no archive or holds two entries.
@@ -59,34 +56,22 @@ def _day_texts(s: SparkSession, d: str) -> DataFrame:
     pick = lambda make: F.when(new, make(files.UDIFF)).when(bse, make(files.BSE_LEGACY)).otherwise(make(files.NSE_LEGACY))
     m = F.month("day")
     flaw = F.when(m == 7, "page").when(m == 9, "drift").when((m == 5) & ~bse, "two").when((m == 11) & ~bse, "broken").otherwise("")
-    held = rows.groupBy("source_id", "day", flaw.alias("flaw"), pick(head).alias("head")).agg(F.array_sort(F.collect_list(pick(line))).alias("lines"))
-    return held
+    return rows.select("source_id", "day", flaw.alias("flaw"), pick(head).alias("head"), pick(line).alias("line"))
 
 
-def _landed_days(s: SparkSession, d: str, name: str) -> DataFrame:
-    """The scan of landed day files: those of BSE plain, those of NSE zipped."""
-    made = _day_texts(s, d)
+def _landed_days(s: SparkSession, d: str, name: str, lines: bool = True) -> DataFrame:
+    """The scan of landed day files: those of BSE plain, those of NSE zipped. Lines travel one by one, so no file is held whole."""
+    rows = _day_lines(s, d)
     drifted = F.when(F.col("flaw") == "drift", F.regexp_replace("head", "OPEN|OpnPric", "Spare")).otherwise(F.col("head"))
-    text = F.when(F.col("flaw") == "page", "  <html>none</html>").otherwise(F.concat(drifted, F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n")))
-
-    def packed(batches):
-        for b in batches:
-            out = []
-            for source, flaw, content in zip(*(b.column(i).to_pylist() for i in (0, 3, 4))):
-                if source == "nse_bars" and flaw != "page":
-                    data = io.BytesIO()
-                    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-                        for i in range(2 if flaw == "two" else 1):
-                            z.writestr(f"bars{i}.CSV", content)
-                    content = b"no archive" if flaw == "broken" else data.getvalue()
-                out.append(content)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["source_id", "partition", "suffix", "content"])
-
-    suffix = F.when(F.col("source_id") == "nse_bars", ".zip").otherwise(".csv")
-    rows = made.select("source_id", F.date_format("day", "yyyyMMdd").alias("partition"), suffix.alias("suffix"), "flaw", text.cast("binary").alias("content"))
+    zipped, whole = F.col("source_id") == "nse_bars", F.col("flaw").isin("page", "broken")
+    first = F.when(F.col("flaw") == "page", "  <html>none</html>").when(F.col("flaw") == "broken", "no archive").otherwise(F.concat(drifted, F.lit("\n")))
+    heads = rows.select("source_id", "day", "flaw", "head").distinct().select("source_id", "day", "flaw", F.lit(0).alias("at"), first.alias("text"))
+    body = rows.where(~whole).select("source_id", "day", "flaw", F.lit(1).alias("at"), F.concat("line", F.lit("\n")).alias("text"))
+    entries = F.when(~zipped | whole, F.array(F.lit(None).cast("string"))).when(F.col("flaw") == "two", F.array(F.lit("bars0.CSV"), F.lit("bars1.CSV"))).otherwise(F.array(F.lit("bars0.CSV")))
+    pieces = heads.unionByName(body).select("source_id", F.date_format("day", "yyyyMMdd").alias("partition"), F.when(zipped, ".zip").otherwise(".csv").alias("suffix"), F.explode(entries).alias("entry"), "at", F.col("text").cast("binary").alias("content"))
     root = fresh(s, d, name)
-    day_files.land(rows.mapInArrow(packed, "source_id string, partition string, suffix string, content binary"), root, pages=True)
-    return day_files.scan_days(s, root, VENUES, registry.load_registry(s, VERSIONS)[1])
+    day_files.land_pieces(pieces, root)
+    return day_files.scan_days(s, root, VENUES, registry.load_registry(s, VERSIONS)[1], lines)
 
 
 def _days(s, d):
@@ -292,7 +277,7 @@ def entries(price_columns: str) -> dict[str, tuple]:
     weekdays = f"(SELECT count(*) FROM (SELECT unnest(generate_series(TIMESTAMP '{FIRST}', TIMESTAMP '{LAST}', INTERVAL 1 DAY)) AS x) WHERE isodow(x) <= 5)"
     return {
         "day_bars": (_days, DAY_ROWS, f"SELECT * FROM ({_bars_sql('BSE', 'bse_bars')}) UNION ALL SELECT * FROM ({_bars_sql('NSE', 'nse_bars')})"),
-        "day_bad_files": (lambda s, d: day_files.bad_files(_landed_days(s, d, "day_bad_files")), MONTH_FILES, "SELECT source_id, CAST(file_day AS VARCHAR) AS day, path, error FROM file_paths WHERE error IS NOT NULL"),
+        "day_bad_files": (lambda s, d: day_files.bad_files(_landed_days(s, d, "day_bad_files", lines=False)), MONTH_FILES, "SELECT source_id, CAST(file_day AS VARCHAR) AS day, path, error FROM file_paths WHERE error IS NOT NULL"),
         "day_files_pruned": (
             _pruned, MONTH_FILES,
             "SELECT path, 'legacy' AS version, CASE WHEN error IS NULL THEN n ELSE 0 END AS n, error FROM file_paths WHERE source_id = 'nse_bars' AND file_day >= DATE '1996-02-01' AND file_day < DATE '1997-01-01'"),
@@ -337,6 +322,6 @@ UNION ALL SELECT 'price_daily', count(*) FROM price_daily UNION ALL SELECT 'deli
         "dated_keys": (lambda s, d: _dated(s, d, 0), HANDED_ON, "SELECT o.venue_key, CAST(o.trade_date AS VARCHAR) AS trade_date, o_orderkey, isin FROM keyed_orders o JOIN key_counts c ON o.venue_key = c.venue_key AND o.trade_date = c.trade_date WHERE n = 1"),
         "dated_keys_left": (lambda s, d: _dated(s, d, 1), HANDED_ON, "SELECT venue_key, CAST(trade_date AS VARCHAR) AS trade_date, CASE WHEN n = 0 THEN 'unknown' ELSE 'ambiguous' END AS reason FROM key_counts WHERE n <> 1"),
         "day_outcomes": (
-            lambda s, d: day_files.outcomes(_landed_days(s, d, "day_outcomes"), FIRST, LAST), MONTH_FILES,
+            lambda s, d: day_files.outcomes(_landed_days(s, d, "day_outcomes", lines=False), FIRST, LAST), MONTH_FILES,
             f"SELECT source_id, count(*) FILTER (WHERE error IS NULL) AS published, {weekdays} - count(*) FILTER (WHERE error IS NULL OR error LIKE 'failed%') AS missing, count(*) FILTER (WHERE error LIKE 'failed%') AS failed FROM file_paths WHERE file_day BETWEEN DATE '{FIRST}' AND DATE '{LAST}' GROUP BY 1"),
     }
