@@ -39,20 +39,24 @@ def gram_hash(gram: Column) -> Column:
 
 def _hashes(chunk: Column, size: Column) -> Column:
     """For each gram of a chunk of ``size`` code points (``K`` at least), its hash and its complemented place."""
-    return _let(F.encode(chunk, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(0), size - K), lambda i: gram_hash(F.substring(wide, i * 4 + 1, F.lit(4 * K))) * (LOW + 1) + (LOW - i)))
+    return _let(F.encode(chunk, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(1), (size - K) * 4 + 1, F.lit(4)), lambda at, i: gram_hash(F.substring(wide, at, F.lit(4 * K))) * (LOW + 1) + (LOW - i)))
 
 
 def _rolled(h: Column, count: Column) -> Column:
     """(at, key) of each kept one of ``count`` hashes, in order; ``at`` is the first window that keeps it.
 
     Minima of 1, 2, 4, ... neighbours, each from the ones before; past the end there is nothing to compare with.
+    Places are complemented, so a kept one that is less than the one before it was kept as soon as a window
+    reached it, and a larger one as soon as the one before was out of the window: ``at`` is found for the kept alone.
     """
     least = h
     for step in (1 << i for i in range(W.bit_length() - 1)):
         least = (lambda xs, n: _let(xs, lambda v: F.zip_with(v, F.slice(v, n + 1, F.size(v)), lambda x, y: F.least(x, y))))(least, step)
     windows = F.slice(least, 1, F.greatest(count - W + 1, F.lit(1)))
-    fresh = lambda m: lambda x, i: F.when((i == 0) | (x != F.get(m, i - 1)), F.struct(i.alias("at"), x.alias("key")))
-    return _let(windows, lambda m: F.filter(F.transform(m, fresh(m)), lambda x: x.isNotNull()))
+    fresh = lambda m: F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1)))
+    place = lambda key: (F.lit(LOW) - key.bitwiseAND(F.lit(LOW))).cast("int")
+    first = lambda x, before: F.when(before.isNull(), 0).when(x < before, place(x) - W + 1).otherwise(place(before) + 1)
+    return _let(_let(windows, fresh), lambda kept: F.transform(kept, lambda x, i: F.struct(first(x, F.get(kept, i - 1)).alias("at"), x.alias("key"))))
 
 
 def _distinct(prints: Column) -> Column:
