@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import checkpoint, map_batches, spread_join, texts
@@ -114,13 +114,19 @@ def _banded(classes: DataFrame) -> DataFrame:
     return _sized(classes.select("id", F.posexplode("bands").alias("i", "band")).select(F.xxhash64("i", "band").alias("key"), "id", "i"))
 
 
+def _with_class(rows: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` (key, id, i) with columns of their class. The shards of a class travel as one list, so a class is met once, not once a shard."""
+    held = rows.groupBy("id").agg(F.collect_list(F.struct("key", "i")).alias("at"))
+    return held.join(classes.select("id", *columns), "id").select(F.explode("at").alias("at"), "id", *columns).select("at.key", "id", "at.i", *columns)
+
+
 def _sharded(first: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (key, id, fp, sketch) of shards with two members at least, of bounded size."""
-    finer = first.where(F.col("n") > SHARD).join(classes.select("id", "bands"), "id").select(F.xxhash64("key", F.get("bands", (F.col("i") + 1) % BANDS)).alias("key"), "id", "i")
+    finer = _with_class(first.where(F.col("n") > SHARD), classes, "bands").select(F.xxhash64("key", F.get("bands", (F.col("i") + 1) % BANDS)).alias("key"), "id", "i")
     second = _sized(finer)
     salted = second.where(F.col("n") > SHARD).withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("id", "i"), F.ceil(F.col("n") / SHARD))))
-    every = first.where(F.col("n") <= SHARD).select("key", "id").unionByName(second.where(F.col("n") <= SHARD).select("key", "id")).unionByName(salted.select("key", "id"))
-    return every.join(classes.select("id", "fp", "sketch"), "id")
+    every = first.where(F.col("n") <= SHARD).unionByName(second.where(F.col("n") <= SHARD)).unionByName(salted)
+    return _with_class(every, classes, "fp", "sketch").drop("i")
 
 
 def candidate_links(shards: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -160,8 +166,9 @@ def crowded_links(crowd: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     Exact, by prefixes: with shingles in one order, rarest first, the first that a pair has in common is among
     the first n - ceil(s * n) + 1 of either document, and among the first n - ceil(2s / (1 + s) * n) + 1 (its
-    core) of the shorter. Documents are dealt by such shingles; in a list each core document meets each other,
-    in blocks. Lists of one root alone are connected already.
+    core) of the shorter. Documents are dealt by such shingles; in a list each core document meets each other of
+    another root, in blocks: those of the list's commonest root are connected already and meet only the rest, so a
+    list costs its length and not its square where one group is most of it. Lists of one root alone are left out.
     """
     t = F.lit(similarity)
 
@@ -205,13 +212,23 @@ def crowded_links(crowd: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     reach = lambda share: F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1
     placed = each.join(shared, "s").select("id", "s", "n", place.alias("place")).where(F.col("place") <= reach(t))
     dealt = checkpoint(placed.select("id", "s", (F.col("place") <= reach(2 * t / (1 + t))).alias("core")).join(crowd.select("id", "root"), "id"))
-    lists = dealt.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).alias("guests"), F.ceil(F.count_if("core") / BLOCK).alias("hosts"), F.min("root").alias("least"), F.max("root").alias("most"))
-    open_lists = dealt.join(lists.where("hosts > 0 AND least <> most").drop("least", "most"), "s")
+    rooted = dealt.groupBy("s", "root").agg(F.count("*").alias("n"), F.count_if("core").alias("cores"))
+    lists = rooted.groupBy("s").agg(F.max(F.struct("n", "root", "cores")).alias("main"), F.sum("n").alias("n"), F.sum("cores").alias("cores"))
+    blocks = lambda n: F.ceil(n / BLOCK)
+    rest, rest_cores = F.col("n") - F.col("main.n"), F.col("cores") - F.col("main.cores")
+    open_lists = dealt.join(lists.where((rest > 0) & (F.col("cores") > 0)).select("s", F.col("main.root").alias("main"), blocks(F.col("n")).alias("all_"), blocks(rest).alias("rest"), blocks(rest_cores).alias("rest_cores"), blocks(F.col("main.cores")).alias("main_cores")), "s")
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    hosts = open_lists.where("core").select("s", "id", "root", "core", mine("hosts").alias("host"), spread("guests").alias("guest"))
-    guests = open_lists.select("s", "id", "root", F.lit(False).alias("core"), mine("guests").alias("guest"), spread("hosts").alias("host"))
-    met_at = hosts.unionByName(guests).select(F.xxhash64("s", "host", "guest").alias("key"), "id", "root", "core")
+
+    def meet(turn: int, hosting: Column, hosts: str, guesting: Column, guests: str) -> DataFrame:
+        """Core documents of ``hosting`` and all of ``guesting`` in the cells of a grid of blocks."""
+        met = open_lists.where((F.col(hosts) > 0) & (F.col(guests) > 0))
+        host = met.where(hosting & F.col("core")).select("s", "id", "root", "core", mine(hosts).alias("host"), spread(guests).alias("guest"))
+        guest = met.where(guesting).select("s", "id", "root", F.lit(False).alias("core"), mine(guests).alias("guest"), spread(hosts).alias("host"))
+        return host.unionByName(guest).select(F.xxhash64(F.lit(turn), "s", "host", "guest").alias("key"), "id", "root", "core")
+
+    other = F.col("root") != F.col("main")
+    met_at = meet(1, other, "rest_cores", F.lit(True), "all_").unionByName(meet(2, ~other, "main_cores", other, "rest"))
     full = met_at.join(crowd.select("id", "shingles"), "id").select("key", "id", "root", "core", "shingles")
     return full.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long")
 
