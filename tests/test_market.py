@@ -240,3 +240,11 @@ def test_the_schedule_is_one_fold(spark):
 def test_headers_of_many_files(spark):
     rows = spark.createDataFrame([(1, "a, b ,c"), (2, "b"), (3, None), (4, "A,b,c,d")], "n int, header string")
     assert sorted((r.n, r.missing) for r in quality.lacking(rows, "header", ("a", "b", "c")).collect()) == [(2, "a"), (2, "c"), (3, "a"), (3, "b"), (3, "c"), (4, "a")]
+
+
+def test_universe_rows_make_their_tracks_once(spark, sf):
+    """What is left to run after the choice reads the stored tracks, not the tables."""
+    from tidemark.plans import catalogue
+
+    plan = catalogue.queries()["universe_rows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan and "l_shipdate" not in plan

@@ -29,12 +29,13 @@ def calendar_gaps(bars: DataFrame, keys: tuple[str, ...] = ("isin", "venue")) ->
     return bars.withColumn("_gap", F.datediff("trade_date", F.lag("trade_date").over(w))).groupBy(*keys).agg(F.max("_gap").alias("gap"))
 
 
-def _numbered(bars: DataFrame) -> DataFrame:
+def _numbered(bars: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """``bars`` with ``_gap``: the venue's trading days strictly between a bar and the one before it of its instrument.
 
     A venue's days are numbered once, so a gap is a difference of numbers; a venue has few days, whatever its bars.
+    ``calendar`` holds the same (venue, trade_date) as ``bars`` where these are dear to make twice.
     """
-    days = bars.select("venue", "trade_date").distinct().withColumn("_no", F.row_number().over(Window.partitionBy("venue").orderBy("trade_date")))
+    days = (bars if calendar is None else calendar).select("venue", "trade_date").distinct().withColumn("_no", F.row_number().over(Window.partitionBy("venue").orderBy("trade_date")))
     w = Window.partitionBy("isin", "venue").orderBy("trade_date")
     return bars.join(days, ["venue", "trade_date"]).withColumn("_gap", F.greatest(F.col("_no") - F.lag("_no").over(w) - 1, F.lit(0)))
 
@@ -50,13 +51,13 @@ def worst_ratios(bars: DataFrame) -> DataFrame:
     return first_of_group(rated, ["isin", "venue"], F.col("ratio"), F.col("trade_date")).select("isin", "venue", F.col("ratio").alias("worst_ratio"), F.col("trade_date").alias("worst_ratio_day"))
 
 
-def track_survey(bars: DataFrame) -> DataFrame:
+def track_survey(bars: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """First and last day, days, symbols, turnover, worst ratio and longest gap for each (isin, venue).
 
-    One pass: the gap's window and the aggregate share their keys, so the bars are shuffled once.
+    One pass: the gap's window and the aggregate share their keys, so the bars are shuffled once. For ``calendar`` see ``_numbered``.
     """
     rated = F.when(F.col("previous_close") > 0, F.struct((F.col("close").cast("double") / F.nullif(F.col("previous_close"), F.lit(0)).cast("double")).alias("ratio"), F.col("trade_date").alias("day")))
-    tracked = _numbered(bars.withColumn("_worst", rated)).groupBy("isin", "venue").agg(
+    tracked = _numbered(bars.withColumn("_worst", rated), calendar).groupBy("isin", "venue").agg(
         F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"), F.count("*").alias("days"), F.size(F.collect_set("local_symbol")).cast("long").alias("symbols"), F.sum(F.coalesce("turnover", F.lit(0))).alias("turnover"),
         F.min("_worst").alias("_worst"), F.coalesce(F.max("_gap"), F.lit(0)).alias("longest_gap"),
     )

@@ -64,7 +64,15 @@ def _daily_observations(s, d):
 
 def _monthly_tracks(s, d):
     bars = _prices(s, d).withColumn("local_symbol", F.concat(F.lit("S"), F.year("trade_date").cast("string")))
-    return survey.track_survey(bars)
+    return survey.track_survey(bars, market._versions(s, d).select("venue", "trade_date").distinct())
+
+
+def _universe_rows(s, d):
+    """The tracks of the chosen. They are made once, stored and read again: they are few, what they are made of is not."""
+    path = stores.fresh(s, d, "universe_rows")
+    _monthly_tracks(s, d).write.parquet(path)
+    tracks = s.read.parquet(path)
+    return survey.chosen_only(tracks.select("isin", "venue", "days"), survey.greedy_universe(tracks, _range_end(None)))
 
 
 def _verdicts(s, d):
@@ -297,7 +305,7 @@ FROM schedule x ASOF JOIN adjusted b ON x.isin = b.isin AND x.ex_date > b.trade_
         "SELECT CAST(d AS VARCHAR) AS trade_date FROM (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT min(trade_date) AS a, max(trade_date) AS b FROM latest_price)) WHERE isodow(d) <= 5 AND d NOT IN (SELECT trade_date FROM latest_price)"),
     "track_survey": (_monthly_tracks, TRACKS, "SELECT isin, venue, CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day, days, symbols, CAST(turnover AS DOUBLE) AS turnover, worst_ratio, CAST(worst_ratio_day AS VARCHAR) AS worst_ratio_day, longest_gap FROM tracks"),
     "greedy_universe": (lambda s, d: survey.greedy_universe(_monthly_tracks(s, d), _range_end(None)), *_greedy_sql()),
-    "universe_rows": (lambda s, d: survey.chosen_only(_monthly_tracks(s, d).select("isin", "venue", "days"), survey.greedy_universe(_monthly_tracks(s, d), _range_end(None))), _greedy_sql()[0], f"SELECT isin, venue, days FROM tracks WHERE isin IN (SELECT isin FROM ({_greedy_sql()[1]}))"),
+    "universe_rows": (_universe_rows, _greedy_sql()[0], f"SELECT isin, venue, days FROM tracks WHERE isin IN (SELECT isin FROM ({_greedy_sql()[1]}))"),
     "dominant_line": (
         lambda s, d: identity.dominant_line(market.observations(s, d).select("isin", "venue", F.col("local_symbol").alias("line"), "turnover")), "",
         "SELECT isin, venue, line, CAST(turnover AS DOUBLE) AS turnover FROM (SELECT isin, venue, local_symbol AS line, sum(turnover) AS turnover FROM observations GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY isin, venue ORDER BY turnover DESC, line) = 1"),

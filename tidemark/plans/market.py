@@ -25,7 +25,8 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly bars of suppliers by line status; the line number says when a version became known."""
-    bars = _versions(spark, sf_dir).groupBy("isin", "venue", "trade_date", "as_of_date").agg(
+    dealt = _versions(spark, sf_dir).repartition("isin", "venue")  # most groups hold one row, and windows by instrument need no second shuffle
+    bars = dealt.groupBy("isin", "venue", "trade_date", "as_of_date").agg(
         F.min("price").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max("price").alias("close"), F.max("l_linenumber").alias("_n"),
         F.sum("quantity").alias("volume"), F.sum("value").cast("decimal(20,2)").alias("turnover"), F.count("*").alias("trade_count"),
     )
