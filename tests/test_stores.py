@@ -217,3 +217,16 @@ def test_bucketed_tables_replace_what_another_session_left(spark, sf):
         os.makedirs(left, exist_ok=True)
         Path(left, "left").write_text("x")
     assert values(stores.bucketed(spark, sf, "restarted")[0]) == want and not Path(place, "left").exists()
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    """One year holds all rows: adaptive plans deal it by size, and nothing is lost."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        rows = spark.range(40_000, numPartitions=4).selectExpr("uuid() AS x", "id")
+        store = Store(spark, str(tmp_path / "t"))
+        store.replace(rows, F.lit("1996"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert sum(p.suffix == ".parquet" for p in (tmp_path / "t").rglob("*")) > 1
+    assert store.read().selectExpr("count(*)", "count(DISTINCT id)", "sum(id)").first()[:] == (40_000, 40_000, 40_000 * 39_999 // 2)

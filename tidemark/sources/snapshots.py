@@ -87,8 +87,9 @@ class Store:
         if part is None:
             rows.write.parquet(f"{self.root}/{folder}")
             return {WHOLE: [folder]}
-        named = rows.withColumn("_part", part)
-        named.repartition("_part").write.partitionBy("_part").parquet(f"{self.root}/{folder}")
+        # Large parts are dealt to several tasks by their size, small ones share one; without adaptive plans a part is one task's.
+        named = rows.withColumn("_part", part).hint("rebalance", "_part")
+        named.write.partitionBy("_part").parquet(f"{self.root}/{folder}")
         return {unquote(n[6:]): [f"{folder}/{n}"] for n in self._names(folder) if n.startswith("_part=")}
 
     def commit(self, parts: dict[str, list[str]], schema: StructType, base: int, note: dict | None = None) -> int:
