@@ -138,6 +138,28 @@ def test_months_without_a_key_of_the_batch_keep_their_folders(spark, tmp_path):
     assert sorted(r.delivery_quantity for r in store.read().collect()) == [2, 7, 9]
 
 
+def test_a_batch_is_merged_by_one_exchange_and_one_sort(spark, tmp_path, monkeypatch):
+    """The choice of the newest and the write share both; a month beyond the rows of a task is several tasks', with the same result."""
+    rows, plans = versions(900), []
+    stage = Store.stage
+
+    def watched(self, frame, *how, **more):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return stage(self, frame, *how, **more)
+
+    monkeypatch.setattr(Store, "stage", watched)
+    for share, files in ((1_000_000, 1), (20, 2)):
+        monkeypatch.setattr(snapshots, "SHARE", share)
+        store = Store(spark, str(tmp_path / str(share)))
+        for i in range(3):
+            snapshots.keep_latest(store, delivered(spark, *rows[i::3]), asof.PRICE_KEYS, batch_id=i)
+        assert values(store.read()) == values(asof.latest_delivery(delivered(spark, *rows)))
+        folders = [tmp_path / str(share) / f for fs in store.manifest()["parts"].values() for f in fs]
+        assert max(len(list(f.glob("*.parquet"))) for f in folders) >= files and (files > 1 or all(len(list(f.glob("*.parquet"))) == 1 for f in folders))
+        assert "_part" not in store.read().columns and "_share" not in store.read().columns
+    assert all(p.count("Exchange ") == 1 and p.count("Sort [") == 1 for p in plans) and len(plans) == 6
+
+
 def test_a_stream_of_corrections_keeps_the_latest(spark, tmp_path):
     rows = versions(200, 7)
     for part in range(2):

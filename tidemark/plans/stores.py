@@ -109,10 +109,12 @@ def _appended(s, d):
 def _maintained(s, d):
     """The latest price of each key after ten batches of versions, some of them late."""
     arrived, store = fresh(s, d, "arrived"), Store(s, fresh(s, d, "maintained"))
-    market.price_daily(s, d).write.parquet(arrived)
-    facts = s.read.parquet(arrived)
+    facts = market.price_daily(s, d)
+    # Each file is sorted by batch, so that a batch reads its own pages of it.
+    facts.withColumn("batch", F.pmod(F.xxhash64("isin", "as_of_date"), F.lit(10))).sortWithinPartitions("batch").write.parquet(arrived)
+    arrivals = s.read.parquet(arrived)
     for i in range(10):
-        snapshots.keep_latest(store, facts.where(F.pmod(F.xxhash64("isin", "as_of_date"), F.lit(10)) == i), asof.PRICE_KEYS, batch_id=i)
+        snapshots.keep_latest(store, arrivals.where(F.col("batch") == i).drop("batch"), asof.PRICE_KEYS, batch_id=i)
     return store.read()
 
 

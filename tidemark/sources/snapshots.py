@@ -81,14 +81,18 @@ class Store:
         folders = [f"{self.root}/{f}" for fs in wanted.values() for f in fs]
         return self.spark.read.schema(shape).parquet(*folders) if folders else self.spark.createDataFrame([], shape)
 
-    def stage(self, rows: DataFrame, part: Column | None = None) -> dict[str, list[str]]:
-        """Write rows to a new folder, by part if one is given (never null); what was written, by part. No reader sees it yet."""
+    def stage(self, rows: DataFrame, part: Column | None = None, dealt: bool = False) -> dict[str, list[str]]:
+        """Write rows to a new folder, by part if one is given (never null); what was written, by part. No reader sees it yet.
+
+        Rows that are ``dealt`` lie by part, so that a part is in few tasks, and are written from where they are.
+        """
         folder = f"data/{uuid.uuid4().hex}"
         if part is None:
             rows.write.parquet(f"{self.root}/{folder}")
             return {WHOLE: [folder]}
         # Large parts are dealt to several tasks by their size, small ones share one; without adaptive plans a part is one task's.
-        named = rows.withColumn("_part", part).hint("rebalance", "_part")
+        named = rows.withColumn("_part", part)
+        named = named if dealt else named.hint("rebalance", "_part")
         named.write.partitionBy("_part").parquet(f"{self.root}/{folder}")
         return {unquote(n[6:]): [f"{folder}/{n}"] for n in self._names(folder) if n.startswith("_part=")}
 
@@ -108,14 +112,14 @@ class Store:
             files.delete(aside, False)
         return base + 1
 
-    def replace(self, rows: DataFrame, part: Column | None = None, touched: Sequence[str] | None = None, base: int | None = None, note: dict | None = None) -> int:
-        """The table's next version: ``rows`` in place of all parts, or of the parts ``touched`` alone."""
+    def replace(self, rows: DataFrame, part: Column | None = None, touched: Sequence[str] | None = None, base: int | None = None, note: dict | None = None, dealt: bool = False) -> int:
+        """The table's next version: ``rows`` in place of all parts, or of the parts ``touched`` alone; a column ``_part`` is not stored."""
         base = self.version() if base is None else base
         held = self.manifest(base)["parts"] if touched is not None else {}
-        staged = self.stage(rows, part)
+        staged = self.stage(rows, part, dealt)
         if touched is not None and (outside := sorted(set(staged) - set(touched))):
             raise ValueError(f"rows of parts that were not to change: {outside[:5]}")
-        return self.commit({p: f for p, f in held.items() if p not in (touched or ())} | staged, rows.schema, base, note)
+        return self.commit({p: f for p, f in held.items() if p not in (touched or ())} | staged, rows.drop("_part").schema, base, note)
 
     def add(self, rows: DataFrame, part: Column | None = None, base: int | None = None, note: dict | None = None) -> int:
         """The table's next version: what is there and ``rows``."""
@@ -198,6 +202,10 @@ def append_new(store: Store, facts: DataFrame, table: str, on_repeat: str = "dro
     return repeated
 
 
+#: Rows of a month, about, that one task takes up.
+SHARE = 1_000_000
+
+
 def keep_latest(store: Store, batch: DataFrame, keys: Sequence[str], day: str = "trade_date", batch_id: int | None = None) -> list[str]:
     """Bring a kept table of latest versions up to date with a batch of facts; the months that were rewritten.
 
@@ -210,12 +218,23 @@ def keep_latest(store: Store, batch: DataFrame, keys: Sequence[str], day: str =
     if batch_id is not None and note.get("batch", -1) >= batch_id:
         return []
     month = F.date_format(day, "yyyy-MM")
-    months = sorted(r[0] for r in batch.select(month.alias("m")).distinct().collect())
+    sizes = lambda rows: dict(rows.groupBy(F.trunc(day, "month").alias(day)).count().select(month, "count").collect())
+    come = sizes(batch)
+    months = sorted(come)
     if not months:
         return []
     kept = store.read(base, months, batch.schema)
     both = kept.withColumn("_age", F.lit(0)).unionByName(batch.withColumn("_age", F.lit(1)))
     others = [F.col(c).asc_nulls_first() for c in batch.columns if c not in keys and c != "as_of_date"]
-    newest = first_of_group(both, keys, F.col("as_of_date").desc(), F.col("_age"), *others).select(*batch.columns)
-    store.replace(newest, month, months, base, {"batch": batch_id} if batch_id is not None else note or None)
+    # One exchange and one sort serve the choice and the write: both go by month and, in large months, by a share of the keys.
+    there = sizes(kept) if store.manifest(base)["parts"] else {}
+    shares = {m: -(-(n + there.get(m, 0)) // SHARE) for m, n in come.items()}
+    part, rest, count = F.coalesce(month, F.lit("")), [k for k in keys if k != day], F.lit(1)
+    for m, n in shares.items():
+        count = F.when(part == m, n).otherwise(count) if n > 1 else count
+    share = F.pmod(F.xxhash64(*rest), count) if rest else F.lit(0)
+    tasks = min(sum(shares.values()), int(store.spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = both.withColumns({"_part": part, "_share": share}).repartition(tasks, "_part", "_share")
+    newest = first_of_group(dealt, ["_part", "_share", *keys], F.col("as_of_date").desc(), F.col("_age"), *others).select(*batch.columns, "_part")
+    store.replace(newest, F.col("_part"), months, base, {"batch": batch_id} if batch_id is not None else note or None, dealt=True)
     return months
