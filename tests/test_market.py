@@ -237,6 +237,31 @@ def test_the_schedule_is_one_fold(spark):
     assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
 
 
+def test_steps_meet_the_bars_around_them(spark):
+    """Several ex-dates between two bars, on a bar, before the first and after the last, on two venues, against a plain search; bars are sorted once."""
+    days = [DAY + timedelta(n) for n in (0, 1, 5, 6, 20)]
+    closes = {("I", v, d): D(10 * (n + 1) + len(v) * k) for k, v in enumerate(("BSE", "NSE")) for n, d in enumerate(days[k:])} | {("J", "NSE", DAY): D(7)}
+    held = price(spark, *((*k, k[2], c) for k, c in closes.items())).repartition(3)
+    terms = {DAY + timedelta(n): f for n, f in ((-3, 2), (0, 3), (3, 5), (4, 7), (6, 11), (30, 13))}
+    frame = actions(spark, *(("split", d, d, 1, f) for d, f in terms.items()))
+    want = []
+    for ex in terms:
+        for venue in ("BSE", "NSE"):
+            mine = sorted(d for i, v, d in closes if (i, v) == ("I", venue))
+            before, on = max((d for d in mine if d < ex), default=None), min((d for d in mine if d >= ex), default=None)
+            if before and on:
+                later = 1
+                for d, f in terms.items():
+                    later *= f if d > before else 1
+                close = closes["I", venue, before]
+                want.append((venue, ex, before, close, (close / later).quantize(D("0.0001")), on, closes["I", venue, on]))
+    found = adjustment.step_closure(held, frame)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Union") == 0
+    got = [(r.venue, r.ex_date, r.before_day, r.before_close, r.adjusted_before, r.on_day, r.on_close) for r in found.collect()]
+    assert sorted(got) == sorted(want) and len(want) == 6
+
+
 def test_headers_of_many_files(spark):
     rows = spark.createDataFrame([(1, "a, b ,c"), (2, "b"), (3, None), (4, "A,b,c,d")], "n int, header string")
     assert sorted((r.n, r.missing) for r in quality.lacking(rows, "header", ("a", "b", "c")).collect()) == [(2, "a"), (2, "c"), (3, "a"), (3, "b"), (3, "c"), (4, "a")]

@@ -112,18 +112,18 @@ def adjust(bars: DataFrame, actions: DataFrame, ties: tuple[Column, ...] = ()) -
 def step_closure(bars: DataFrame, actions: DataFrame, ties: tuple[Column, ...] = ()) -> DataFrame:
     """For each ex-date and venue the last close before it and the first from it on, and their quotient as published and as adjusted.
 
-    ``adjusted_step`` near 1 says that the adjustment closes the step. Bars and ex-dates are laid in one order, an
-    ex-date in front of its day's bar, so neighbours are found without a range join.
+    ``adjusted_step`` near 1 says that the adjustment closes the step. A bar knows the next of its venue, and an ex-date
+    falls between two such bars once a venue. Only the closes before an ex-date are adjusted: by the first ex-date after
+    the bar, which is the first of those between the same two bars.
     """
-    lines = bars.select("isin", "venue").distinct()
-    marks = factor_schedule(actions, ties).select("isin", "ex_date").join(lines, "isin").select("isin", "venue", F.col("ex_date").alias("trade_date"), F.lit(0).alias("at"))
-    series = adjust(bars, actions, ties).select("isin", "venue", "trade_date", F.lit(1).alias("at"), "close", "adjusted_close")
-    w = Window.partitionBy("isin", "venue").orderBy("trade_date", "at")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    day = F.when(F.col("at") == 1, F.col("trade_date"))
-    seen = series.unionByName(marks, allowMissingColumns=True).withColumns({
-        "before_day": F.last(day, True).over(back), "before_close": F.last("close", True).over(back), "adjusted_before": F.last("adjusted_close", True).over(back),
-        "on_day": F.first(day, True).over(ahead), "on_close": F.first("close", True).over(ahead),
-    })
-    both = seen.where("at = 0 AND before_day IS NOT NULL AND on_day IS NOT NULL").withColumnRenamed("trade_date", "ex_date").drop("at", "close", "adjusted_close")
-    return both.withColumns({"raw_step": ratio(F.col("before_close"), F.col("on_close")), "adjusted_step": ratio(F.col("adjusted_before"), F.col("on_close"))})
+    w = Window.partitionBy("isin", "venue").orderBy("trade_date")
+    following = bars.repartition("isin").select("isin", "venue", F.col("trade_date").alias("before_day"), F.col("close").alias("before_close"), F.lead("trade_date").over(w).alias("on_day"), F.lead("close").over(w).alias("on_close"))
+    steps = factor_schedule(actions, ties).select(F.col("isin").alias("_isin"), "valid_from", "ex_date", "held", "after")
+    between = (F.col("isin") == F.col("_isin")) & (F.col("before_day") < F.col("ex_date")) & (F.col("ex_date") <= F.col("on_day"))
+    found = following.where("on_day IS NOT NULL").join(steps, between)
+    nearest = F.min(F.struct("ex_date", "held", "after")).over(Window.partitionBy("isin", "venue", "before_day"))
+    both = found.withColumn("_step", nearest).withColumn("adjusted_before", scaled(F.col("before_close"), F.col("_step.held"), F.col("_step.after")))
+    return both.select(
+        "isin", "venue", "ex_date", "before_day", "before_close", "adjusted_before", "on_day", "on_close",
+        ratio(F.col("before_close"), F.col("on_close")).alias("raw_step"), ratio(F.col("adjusted_before"), F.col("on_close")).alias("adjusted_step"),
+    )
